@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import blocks
+
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose encodings a task holds before it starts afresh.
@@ -119,20 +121,6 @@ class TrieBpe:
         return b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-def _blocks(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of a few million characters, so that a batch of long texts is never held as pieces at once."""
-    block, size = [], 0
-    for t in texts:
-        t = t if isinstance(t, str) else ""
-        block.append(t)
-        size += len(t)
-        if size > most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 _LOADED: dict[str, TrieBpe] = {}
 
 
@@ -159,7 +147,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "token_i
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = _tokenizer(spec.value)
         for texts in batches:
-            yield pd.Series([ids for block in _blocks(texts) for ids in bpe.encode(block)], dtype=object)
+            yield pd.Series([ids for block in blocks(texts) for ids in bpe.encode(block)], dtype=object)
 
     return docs.withColumn(into, encode(F.col(text)))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,44 @@ def remainder(id_column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def blocks(texts: Iterable[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+    """Runs of texts of some million characters, nulls as empty: what a task holds at once doesn't grow with a batch of long texts."""
+    block, size = [], 0
+    for t in texts:
+        t = t if isinstance(t, str) else ""
+        block.append(t)
+        size += len(t)
+        if size > most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:
+    """(text, label, share) of about `rows` rows (and no more than twice as many) of each label 0 and 1, by a hash of the id.
+
+    share is the weight that gives the labels their true shares again, 1 on average. Sorted, so reruns agree. Which
+    rows are taken is settled on the labels, before any text is read; of several labels of an id the least counts.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if not counts:
+        return pd.DataFrame({"text": [], "label": [], "share": []})
+    dice = F.pmod(F.xxhash64(F.lit("labels"), doc_id), F.lit(1 << 30)) / float(1 << 30)
+    part = F.coalesce(*(F.when(F.col("label") == k, min(1.0, rows / n)) for k, n in sorted(counts.items())))
+    chosen = known.where(dice < part)
+    found = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen.limit(4 * rows)), doc_id)
+    frame = found.select("text", "label").limit(4 * rows).toPandas()
+    frame["text"] = frame["text"].fillna("")
+    frame = frame.sort_values(["text", "label"], ignore_index=True)
+    taken = frame["label"].value_counts()
+    share = {k: counts[k] / taken[k] for k in taken.index}
+    total = sum(share[k] * taken[k] for k in taken.index)
+    frame["share"] = frame["label"].map(share) * len(frame) / max(total, 1)
+    return frame
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
