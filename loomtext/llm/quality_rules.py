@@ -1,6 +1,6 @@
 """Line-first cleaning, in column expressions only.
 
-Each line with a word is judged by itself: punctuation (does it end as a sentence does, without shouting),
+Each line with a word is judged by itself: punctuation (does a clause or sentence end in it, without shouting),
 navigation (separators between menu entries) and boilerplate (fixed phrases, symbol runs). Failing lines are
 removed; a document that loses more than MOST_LOST of its characters is rejected, as is one that fails the base
 rule on its words. Null and empty texts have no words and fail the base rule. Repeated rows get equal verdicts.
@@ -63,7 +63,7 @@ def repeated_words(words: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word is to go."""
     n_words = F.greatest(F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(1))
-    unpunctuated = ~line.rlike("[.!?…:;,。！？]['\"”’»)\\]]*" + SPACE + "*$")
+    unpunctuated = ~line.rlike("[.!?…:;,。！？]['\"”’»)\\]]*(" + SPACE + "|$)")
     shouting = 4 * F.regexp_count(line, F.lit("!")) > n_words
     navigation = 5 * F.regexp_count(line, F.lit("[|»›•·]")) > n_words
     symbols = 10 * F.regexp_count(line, F.lit(SYMBOLS)) > n_words
@@ -139,7 +139,7 @@ judged AS (
     len(regexp_extract_all(line, '!')) AS bangs,
     len(regexp_extract_all(line, '[|»›•·]')) AS seps,
     len(regexp_extract_all(line, '{SYMBOLS}')) AS syms,
-    regexp_matches(line, '[.!?…:;,。！？][''"”’»)\]]*[\x20\x09-\x0D]*$') AS ends,
+    regexp_matches(line, '[.!?…:;,。！？][''"”’»)\]]*([\x20\x09-\x0D]|$)') AS ends,
     regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') AS furniture
   FROM lines
 ),
