@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, langid, licenses, line_dedup, mixing, quality_cnn, quality_rules, simhash, toxicity
+from loomtext.llm import ann, bpe, langid, licenses, line_dedup, mixing, quality_cnn, quality_rules, simhash, toxicity
 from loomtext.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op9_licenses": op9_licenses,
     "op10_langid": op10_langid,
