@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import cut, staged
 
-SAMPLE, TREES, CELL, DEGREE, REVERSE, ROUNDS = 16_384, 4, 150, 16, 10, 2
-EF, EXPAND, ENTRIES, MOST_STEPS = 64, 24, 256, 25
+SAMPLE, TREES, CELL, DEGREE, REVERSE, NEAR, ROUNDS = 16_384, 4, 150, 32, 24, 12, 2
+EF, EXPAND, ENTRIES, MOST_STEPS = 192, 48, 256, 25
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -173,7 +173,7 @@ def descended(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, reverse: int
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
-        return _batch([_pairs(rows.column("m").to_numpy(), squared(matrix(rows.column("vec"))), 8)])
+        return _batch([_pairs(rows.column("m").to_numpy(), squared(matrix(rows.column("vec"))), NEAR)])
 
     return nearest(graph.unionByName(by_group(lists, ["at"], ["m"], compare, PAIRS)), k)
 
