@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.plans import text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = (text_queries,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_documents"))
+    """Sentences by language: rule triggers, normalising stages, boundaries, counts."""
+    counts = text_queries.i02_sentence_counts(spark, sf_dir)
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return counts.join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
