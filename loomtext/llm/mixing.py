@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import cut, staged
 
 WEIGHTS, SHARE, BOUND = (3, 1, 2), 1.5, 2
-NEWTON_STEPS, TOLERANCE, MOVES = 40, 1e-4, 12
+NEWTON_STEPS, TOLERANCE, SPARE = 40, 1e-4, 8
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
@@ -111,39 +111,37 @@ def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     return evened(staged(rated))
 
 
-def evened(rated: DataFrame, moves: int = MOVES) -> DataFrame:
-    """Move single documents by a copy until each source's words are as near its target as its documents allow.
+def evened(rated: DataFrame) -> DataFrame:
+    """Move single documents by a copy so that each source's words come as near its target as they let it.
 
-    A round takes, in each source, the one document whose size comes nearest to what is missing or over; that is a
-    plain minimum, so no source's documents meet in one task. It stops when no move brings a source nearer.
+    In each source, of the documents that can move the right way, one is picked for each power of two of the size and
+    each of SPARE parts of a hash (plain minima, so no source meets in one task, and at most 64 * SPARE picks a source).
+    The picks are then gone through from the largest: one that is no larger than what is still missing is moved.
     """
     words = rated.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.first("target").alias("target"))
     short = cut(words.select(F.col("source").alias("s_source"), (F.col("target") - F.col("words")).alias("short")))
-    moved = None
-    for _ in range(moves):
-        now = rated if moved is None else rated.join(moved, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by")
-        after = F.abs(F.abs("short") - F.col("size"))
-        fits = F.when(F.col("short") > 0, F.col("copies") < BOUND).otherwise(F.col("copies") > 0) & (after < F.abs("short") - 0.5)
-        best = (
-            now.where("doc_id is not null and size > 0")
-            .join(short, F.col("source").eqNullSafe(F.col("s_source")))
-            .where(fits)
-            .groupBy("s_source")
-            .agg(F.min(F.struct(after.alias("after"), F.col("doc_id"), F.col("size"), F.signum("short").cast("long").alias("by"))).alias("best"))
-        )
-        best = cut(best.select(F.col("s_source").alias("b_source"), "best.*"))
-        if best.isEmpty():
-            break
-        step = best.select("doc_id", "by")
-        moved = cut((step if moved is None else moved.unionByName(step)).groupBy("doc_id").agg(F.sum("by").alias("by")))
-        short = cut(
-            short.join(best, F.col("s_source").eqNullSafe(F.col("b_source")), "left").select(
-                "s_source", (F.col("short") - F.coalesce(F.col("by") * F.col("size"), F.lit(0))).alias("short")
-            )
-        )
-    if moved is None:
-        return rated
-    return rated.join(moved, "doc_id", "left").withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(BOUND), F.col("copies") + F.coalesce("by", F.lit(0))))).drop("by")
+    dice = F.xxhash64(F.lit("even"), F.col("doc_id"))
+    movable = F.when(F.col("short") > 0, F.col("copies") < BOUND).otherwise(F.col("copies") > 0)
+    picks = (
+        rated.where("doc_id is not null and size > 0")
+        .join(short, F.col("source").eqNullSafe(F.col("s_source")))
+        .where(movable & (F.col("size") <= F.abs("short")))
+        .groupBy("s_source", "short", F.floor(F.log2("size")).alias("band"), F.pmod(dice, F.lit(SPARE)).alias("part"))
+        .agg(F.min(F.struct(dice.alias("dice"), "doc_id", "size")).alias("pick"))
+        .groupBy("s_source", "short")
+        .agg(F.sort_array(F.collect_list(F.struct("pick.size", "pick.dice", "pick.doc_id")), asc=False).alias("picks"))
+    )
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = p["size"] <= acc["left"]
+        left = F.when(fits, acc["left"] - p["size"]).otherwise(acc["left"])
+        return F.struct(left.alias("left"), F.when(fits, F.concat(acc["ids"], F.array(p["doc_id"]))).otherwise(acc["ids"]).alias("ids"))
+
+    none = F.struct(F.abs("short").alias("left"), F.array().cast("array<long>").alias("ids"))
+    moved = picks.select(F.explode(F.aggregate("picks", none, step, lambda acc: acc["ids"])).alias("doc_id"), F.signum("short").cast("long").alias("by"))
+    moved = moved.groupBy("doc_id").agg(F.max("by").alias("by"))
+    changed = F.greatest(F.lit(0), F.least(F.lit(BOUND), F.col("copies") + F.coalesce("by", F.lit(0)))).cast("long")
+    return rated.join(moved, "doc_id", "left").withColumn("copies", changed).drop("by")
 
 
 def digest(docs: DataFrame) -> DataFrame:
