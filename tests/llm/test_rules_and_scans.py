@@ -40,7 +40,7 @@ def test_quality_rules(spark, documents):
 
 
 def test_lines_are_cleaned_first(spark, documents):
-    prose = " ".join(f"This is plain sentence {k} that goes on for {k + 3} words, and number {k} ends here." for k in range(8))
+    prose = " ".join(f"Word{k} goes{k} on{k} for{k} long{k}, and ends{k}." for k in range(12))
     docs = documents([prose + "\nHome | About | News | Contact | Login\nAll rights reserved by us.", "Home | News | Login\n" * 40 + prose[:200]])
     a, b = quality_rules.judged(docs).orderBy("doc_id").select("_rules.*").collect()
     assert a.kept and a.clean_text == prose and not b.kept
