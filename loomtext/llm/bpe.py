@@ -13,20 +13,27 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks
-
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose encodings a task holds before it starts afresh.
-HELD_WORDS = 800_000
+#: The same for texts of Latin-1 characters alone, with the classes written out, for the standard library's faster engine.
+_LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Distinct words whose encodings a task holds, in each of two generations, and pairs of tokens whose verdict it holds.
+HELD_WORDS, HELD_PAIRS = 600_000, 1_000_000
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,10 +59,13 @@ class TrieBpe:
         self.ranks = {(raw(a), raw(b)): n for n, (a, b) in enumerate(merges)}
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.longest = max(map(len, self.ids))
-        self.find = regex.compile(PIECES).findall
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
+        self.find_any, self.find_latin = regex.compile(PIECES).findall, re.compile(LATIN_PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.adjacent: dict[tuple[bytes, bytes], bool] = {}
+        self.special_ids = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        self.adjacent: dict[int, bool] = {}
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
         """Plain merging, lowest rank first: the definition that the traversal must agree with."""
@@ -67,36 +77,50 @@ class TrieBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def can_follow(self, left: bytes, right: bytes) -> bool:
-        """Whether `right` can be the token after `left`; at a word's start `left` is empty."""
-        found = self.adjacent.get((left, right))
+    def can_follow(self, left: int, right: int) -> bool:
+        """Whether token `right` can come after token `left`; at a word's start `left` is -1."""
+        key = (left + 1) << 20 | right
+        found = self.adjacent.get(key)
         if found is None:
-            if len(self.adjacent) > 2_000_000:
+            if len(self.adjacent) > HELD_PAIRS:
                 self.adjacent.clear()
-            found = self.adjacent[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            a, b = self.bytes_of.get(left, b""), self.bytes_of[right]
+            found = self.adjacent[key] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words: a depth-first walk over the trie of their bytes."""
-        ids, longest = self.ids, self.longest
-        path, starts, tokens = b"", [0], [b""]  # state of each prefix of the present path: index = its length
-        for raw, word in sorted((w.encode(), w) for w in words):
+        find, adjacent, longest = self.ids.get, self.adjacent.get, self.longest
+        path, starts, tokens = b"", [0], [-1]  # state of each prefix of the present path: index = its length
+        for raw, word in sorted([(w.encode(), w) for w in words]):
             shared, most = 0, min(len(raw), len(path))
             while shared < most and raw[shared] == path[shared]:
                 shared += 1
             del starts[shared + 1 :], tokens[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = raw[start:end]
-                    if token in ids and self.can_follow(tokens[start], token):
-                        starts.append(start)
-                        tokens.append(token)
-                        break
+                for start in range(end - longest if end > longest else 0, end):
+                    token = find(raw[start:end])
+                    if token is not None:
+                        left = tokens[start]
+                        fits = adjacent((left + 1) << 20 | token)
+                        if fits or fits is None and self.can_follow(left, token):
+                            starts.append(start)
+                            tokens.append(token)
+                            break
             path, out, end = raw, [], len(raw)
             while end:
-                out.append(ids[tokens[end]])
+                out.append(tokens[end])
                 end = starts[end]
-            self.held[word] = np.array(out[::-1], dtype="<u4").tobytes()
+            out.reverse()
+            self.held[word] = array("I", out).tobytes()
+
+    def find(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find_any(text)
+        return self.find_latin(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -106,13 +130,17 @@ class TrieBpe:
                 pieces.append([p for part in self.cut(text) for p in ([part] if part in self.special else self.find(part))])
             else:
                 pieces.append(self.find(text))
+        distinct = set().union(*pieces)
         if len(self.held) > HELD_WORDS:
-            self.held.clear()
-        for special, i in self.special.items():
-            self.held[special] = np.array([i], dtype="<u4").tobytes()
-        fresh = set().union(*pieces) - self.held.keys()
-        if fresh:
-            self.learn(list(fresh))
+            self.older, self.held = self.held, {}
+        fresh = []
+        for word in distinct - self.held.keys():
+            ids = self.older.get(word) or self.special_ids.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                self.held[word] = ids
+        self.learn(fresh)
         get = self.held.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -136,39 +164,57 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """`docs` with a binary column: the ids of the whole text as little-endian unsigned 32-bit integers.
+def _with(docs: DataFrame, path: str, source: str, added: dict[str, str], work) -> DataFrame:
+    """`docs` with the columns `added` (name: type), which `work` makes of the tokenizer and some values of `source`.
 
+    Batches are taken a slice of about a million bytes at a time, so a batch of long texts isn't held several times over.
     The vocabulary file is read once, by the driver, and sent to the tasks (its size does not grow with the data).
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    kept = [c for c in docs.columns if c not in added]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema), *(f"`{c}` {kind}" for c, kind in added.items())])
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec.value)
-        for texts in batches:
-            yield pd.Series([ids for block in blocks(texts) for ids in bpe.encode(block)], dtype=object)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_numpy(zero_copy_only=False)
+            run_of = np.cumsum(sizes, dtype=np.int64) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                made = work(bpe, part.column(source).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], [*kept, *added])
 
-    return docs.withColumn(into, encode(F.col(text)))
+    return docs.mapInArrow(run, schema)
+
+
+def _encode(bpe: TrieBpe, texts: list[str | None]) -> list[bytes]:
+    return bpe.encode([t or "" for t in texts])
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+    """`docs` with a binary column: the ids of the whole text as little-endian unsigned 32-bit integers."""
+    return _with(docs, path, text, {into: "binary"}, lambda bpe, texts: [pa.array(_encode(bpe, texts), pa.binary())])
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
-    """`docs` with the text that the ids of the binary column stand for."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    """`docs` with the text that the ids of the binary column stand for; no ids, no characters."""
+    return _with(docs, path, ids, {into: "string"}, lambda bpe, found: [pa.array([bpe.decode(x or b"") for x in found], pa.string())])
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _tokenizer(spec.value)
-        for found in batches:
-            yield pd.Series([bpe.decode(x) for x in found], dtype=object)
 
-    return docs.withColumn(into, decode(F.col(ids)))
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """`docs` with both columns, `encoded` and `decoded` in one go."""
+
+    def both(bpe: TrieBpe, texts: list[str | None]) -> list[pa.Array]:
+        found = _encode(bpe, texts)
+        return [pa.array(found, pa.binary()), pa.array([bpe.decode(x) for x in found], pa.string())]
+
+    return _with(docs, path, text, {ids: "binary", into: "string"}, both)
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What query op1 returns; hashes are taken by the JVM."""
-    found = encoded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
-    found = decoded(found.drop("text"), path)
+    found = round_trip(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
     return found.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -7,7 +7,8 @@ import pytest
 from loomtext.llm import bpe
 from loomtext.llm.queries import tokenizer_path
 
-PIECES = ["a", "b", " ", "  ", "\n", "\t", "é", "日本", "😀", "'s", "'ll", "1", "23", "<|endoftext|>", " ", "\x00", "ing", "the", "ﬀ", "_", "--", "İ", "aaaaaa", "<|endof", " "]
+PIECES = ["a", "b", " ", "  ", "\n", "\t", "é", "日本", "😀", "'s", "'ll", "1", "23", "<|endoftext|>", "\u2028", "\x00", "ing", "the", "ﬀ", "_", "--", "İ", "aaaaaa", "<|endof", "\x1c", "\x85", "\xa0", "\xb2", "\xbd", "\xaa", "\xd7", "\xf7", "'re", "'ve", "'m", "'d"]
+LATIN = [p for p in PIECES if all(ord(c) < 256 for c in p)]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def reference():
 
 def test_traversal_is_the_librarys_encoding(reference):
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["x" * 3000, " " * 700, ""]
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(LATIN) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["x" * 3000, " " * 700, ""]
     own = bpe.TrieBpe(bpe.read_spec(tokenizer_path()))
     for held in (10, 1_000_000):
         bpe.HELD_WORDS, before = held, bpe.HELD_WORDS
