@@ -42,19 +42,18 @@ _add("c10_index_join", lambda s, d: _read(s, d, "documents").select("doc_id", "l
 
 
 def zipped(s: SparkSession, d: str) -> DataFrame:
-    """Customers and suppliers of each nation, zipped by their keys' order; nations whose counts differ are left out."""
-    c = _read(s, d, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("left_key"))
-    u = _read(s, d, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("right_key"))
-    c = c.where("left_key % 15 = 0")
-    place = lambda k: F.row_number().over(Window.partitionBy("n").orderBy(k)).alias("i")
-    total = lambda: F.count("*").over(Window.partitionBy("n"))
-    a, b = c.select("n", "left_key", place("left_key"), total().alias("total")), u.select("n", "right_key", place("right_key"), total().alias("total"))
+    """Each segment's customers by key, zipped with the same by balance; groups whose counts differ would be left out."""
+    c = _read(s, d, "customer").select(F.col("c_mktsegment").alias("n"), F.col("c_custkey").alias("left_key"))
+    u = _read(s, d, "customer").select(F.col("c_mktsegment").alias("n"), F.col("c_custkey").alias("right_key"), "c_acctbal")
+    place = lambda *k: F.row_number().over(Window.partitionBy("n").orderBy(*k)).alias("i")
+    total = lambda: F.count("*").over(Window.partitionBy("n")).alias("total")
+    a, b = c.select("n", "left_key", place("left_key"), total()), u.select("n", "right_key", place("c_acctbal", "right_key"), total())
     return a.join(b, ["n", "i", "total"]).select("n", "left_key", "right_key")
 
 
-_add("c14_zip_join", zipped, """WITH a AS (SELECT c_nationkey AS n, c_custkey AS left_key, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer WHERE c_custkey % 15 = 0),
-  b AS (SELECT s_nationkey AS n, s_suppkey AS right_key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS t FROM supplier)
-  SELECT a.n, left_key, right_key FROM a JOIN b USING (n, i, t)""")
+_add("c14_zip_join", zipped, """WITH a AS (SELECT c_mktsegment AS n, c_custkey AS left_key, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer),
+  b AS (SELECT c_mktsegment AS n, c_custkey AS right_key, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS i FROM customer)
+  SELECT a.n, left_key, right_key FROM a JOIN b USING (n, i)""")
 
 
 def patched(s: SparkSession, d: str) -> DataFrame:

@@ -178,7 +178,12 @@ def fresh_lines(s, d):
 
 _add("l06_window_watch", fresh_lines, f"""WITH r AS (SELECT uri // 100 AS watch, uri % 100 AS seq, idx, text FROM ({_SEGMENTS}) WHERE trim(text) <> '')
   SELECT watch, seq, idx FROM (SELECT *, row_number() OVER (PARTITION BY watch, lower(text) ORDER BY seq, idx) AS n FROM r) WHERE n = 1 AND seq > 0 AND length(text) >= 24""")
-_add("c11_unseen", lambda s, d: _segments(s, d).where("uri >= 500").join(_segments(s, d).where("uri < 500").select(F.lower("text").alias("seen")), F.lower("text") == F.col("seen"), "left_anti").select("uri", "idx"), f"SELECT uri, idx FROM ({_SEGMENTS}) WHERE uri >= 500 AND lower(text) NOT IN (SELECT lower(text) FROM ({_SEGMENTS}) WHERE uri < 500)")
+_by_lang = lambda s, d: _read(s, d, "documents").select("lang", F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+_add(
+    "c11_unseen",
+    lambda s, d: _by_lang(s, d).where("lang <> 'en'").join(_by_lang(s, d).where("lang = 'en'").select(F.lower("text").alias("seen")), F.lower("text") == F.col("seen"), "left_anti").select("uri", "idx"),
+    f"WITH r AS (SELECT s.*, d.lang FROM ({_SEGMENTS}) s JOIN documents d ON d.doc_id = s.uri) SELECT uri, idx FROM r WHERE lang <> 'en' AND lower(text) NOT IN (SELECT lower(text) FROM r WHERE lang = 'en')",
+)
 _add(
     "l09_clipboard",
     lambda s, d: _read(s, d, "events").withColumn("last", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("last is not null and last <> event_type").select("event_id"),
