@@ -126,17 +126,22 @@ def bigram_similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of the multisets of character pairs."""
 
     def pairs(text: Column) -> Column:
-        t = flat(F.lower(text))
-        n = F.greatest(F.length(t) - 1, F.lit(0))
-        return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: t.substr(i, F.lit(2)))
+        def cut(t: Column) -> Column:
+            n = F.length(t) - 1
+            return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(2)))
+
+        return F.element_at(F.transform(F.array(flat(F.lower(text))), cut), 1)
+
+    def numbered(all_: Column) -> Column:
+        """Each pair with its number among equal ones, so that a plain intersection is the multisets'."""
+        return F.transform(all_, lambda g, i: F.concat(g, (i - F.array_position(all_, g)).cast("string")))
 
     def dice(both: Column) -> Column:
         x, y = both["x"], both["y"]
-        count = lambda all_, g: F.size(F.filter(all_, lambda h: h == g))
-        shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(count(x, g), count(y, g)))
+        shared = F.size(F.array_intersect(numbered(x), numbered(y)))
         return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2 * shared / (F.size(x) + F.size(y)))
 
-    measured = F.element_at(F.transform(F.array(F.struct(pairs(a).alias("x"), pairs(b).alias("y"))), dice), 1)
+    measured = F.element_at(F.transform(F.array(F.struct(F.sort_array(pairs(a)).alias("x"), F.sort_array(pairs(b)).alias("y"))), dice), 1)
     return F.when(a == b, 1.0).otherwise(measured)
 
 

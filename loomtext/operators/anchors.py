@@ -69,6 +69,55 @@ def located(anchors: DataFrame, segments: DataFrame) -> DataFrame:
     return top.select("uri", F.when(F.col("how") == "hint", fallback).otherwise(F.col("idx")).cast("int").alias("index"), "how", ((F.col("how") == "exact") & ~F.col("rules_changed")).alias("verified"))
 
 
+def bare_words(text):
+    """Words alone, in lower case, punctuation taken out."""
+    return I.flat(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", "")))
+
+
+def created_offsets(segments: DataFrame, positions: DataFrame) -> DataFrame:
+    """"offsets" anchors (uri, quote, before, after, index): up to two neighbours each way, whole; none out of range."""
+    order = Window.partitionBy("uri").orderBy("idx")
+    rows = segments.withColumns({"before": F.collect_list("text").over(order.rowsBetween(-2, -1)), "after": F.collect_list("text").over(order.rowsBetween(1, 2))})
+    return rows.join(positions.withColumnRenamed("index", "idx"), ["uri", "idx"]).select("uri", F.col("text").alias("quote"), "before", "after", F.col("idx").alias("index"))
+
+
+def located_offsets(anchors: DataFrame, segments: DataFrame) -> DataFrame:
+    """(uri, index, how, verified, stamp_changed) for "offsets" anchors with stamp and current_stamp, one a uri.
+
+    The same ladder as `located`: punctuation doesn't count, likeness is that of character pairs, neighbours count by
+    their mean likeness, and only an anchor whose stamp is known and unchanged is verified.
+    """
+    order, every = Window.partitionBy("uri").orderBy("idx"), Window.partitionBy("uri")
+    near = {f"{way}{k}": getattr(F, way)("text", k).over(order) for way in ("lag", "lead") for k in (1, 2)}
+    rows = anchors.join(segments.withColumns(near | {"total": F.count("*").over(every)}), "uri", "left")
+    wanted = [(F.element_at("before", -k), F.col(f"lag{k}")) for k in (1, 2)] + [(F.get("after", F.lit(k - 1)), F.col(f"lead{k}")) for k in (1, 2)]
+    wanted = [(F.when(F.size("before") >= k, w) if k else w, h) for (w, h), k in zip(wanted, (1, 2, 0, 0))]
+    both = [(w, h, w.isNotNull() & h.isNotNull()) for w, h in wanted]
+    likeness = sum((F.when(ok, I.bigram_similarity(w, h)).otherwise(0.0) for w, h, ok in both), F.lit(0.0))
+    checked = sum((ok.cast("int") for _, _, ok in both), F.lit(0))
+    quote, words = bare_words(F.col("quote")), bare_words(F.col("text"))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    known = F.col("stamp").isNotNull() & F.col("current_stamp").isNotNull()
+    rows = rows.withColumns({
+        "equal": F.coalesce(quote == words, F.lit(False)),
+        "touch": F.coalesce(I.contained(pad(quote), pad(words)) | I.contained(pad(words), pad(quote)), F.lit(False)),
+        "same": F.coalesce(known & (F.col("stamp") == F.col("current_stamp")), F.lit(False)),
+        "changed": F.coalesce(known & (F.col("stamp") != F.col("current_stamp")), F.lit(False)),
+    })
+    rows = rows.withColumns({"n_equal": F.sum(F.col("equal").cast("int")).over(every), "n_touch": F.sum(F.col("touch").cast("int")).over(every)})
+    unsure = (F.col("n_equal") == 0) & (F.col("n_touch") == 0)
+    rows = rows.withColumn("score", F.when(unsure, F.coalesce(I.bigram_similarity(F.col("quote"), F.col("text")), F.lit(0.0))).otherwise(0.0))
+    rows = rows.withColumn("best", F.max("score").over(every))
+    how = F.when(F.col("n_equal") == 1, "exact").when(F.col("n_equal") > 1, "ambiguous").when(F.col("n_touch") > 0, "boundary").when(F.col("best") >= ACCEPT, "fuzzy").otherwise("hint")
+    rows = rows.withColumn("how", F.when(F.col("idx").isNull(), "hint").otherwise(how))
+    fits = F.when(F.col("how").isin("exact", "ambiguous"), F.col("equal")).when(F.col("how") == "boundary", F.col("touch")).when(F.col("how") == "fuzzy", F.col("score") >= F.col("best") - BAND).otherwise(True)
+    rows = rows.where(fits)  # neighbours are compared for candidates alone
+    near = F.when((checked > 0) & F.col("how").isin("ambiguous", "boundary", "fuzzy"), likeness / checked).otherwise(0.0) - F.abs(F.col("idx") - F.col("index")) / (F.col("total") * 1000)
+    top = rows.withColumn("near", near).withColumn("_rank", F.row_number().over(every.orderBy(F.desc("near"), "idx"))).where("_rank = 1")
+    hint = F.least("index", F.coalesce(F.col("total") - 1, F.lit(0)))
+    return top.select("uri", F.when(F.col("how") == "hint", hint).otherwise(F.col("idx")).cast("int").alias("index"), "how", ((F.col("how") == "exact") & F.col("same")).alias("verified"), F.col("changed").alias("stamp_changed"))
+
+
 def message(how, stamp_changed):
     """What a reader is told about how a place was found."""
     return (

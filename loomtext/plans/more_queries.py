@@ -128,6 +128,7 @@ def resumed(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("j11_resumed", resumed)
+_add("j02_located_offsets", lambda s, d: anchors.located_offsets(anchors.created_offsets(_segments(s, d), _positions(s, d)).withColumns({"stamp": F.lit("a"), "current_stamp": F.when(F.col("uri") % 3 == 0, "b").otherwise("a")}), changed_segments(s, d)))
 _HOW = "(['exact', 'ambiguous', 'boundary', 'fuzzy', 'hint'])[event_id % 5 + 1]"
 _add(
     "j07_messages",

@@ -23,6 +23,24 @@ def test_anchor_ladder(spark):
     assert located(spark, text, 9, ["only"]) == (0, "hint", False)
 
 
+def test_anchor_ladder_offsets(spark):
+    text = ["One little cat sat.", "The quick brown fox jumped over it.", "And then it slept well.", "One little cat sat."]
+
+    def find(index, after, stamp="a", now="a"):
+        rows = lambda t: spark.createDataFrame([(1, i, x) for i, x in enumerate(t)], "uri int, idx int, text string")
+        made = anchors.created_offsets(rows(text), spark.createDataFrame([(1, index)], "uri int, index int"))
+        made = made.withColumns({"stamp": F.lit(stamp).cast("string"), "current_stamp": F.lit(now).cast("string")})
+        return tuple(anchors.located_offsets(made, rows(after)).first())[1:]
+
+    assert find(1, ["New.", *text]) == (2, "exact", True, False)
+    assert find(1, ["New.", "the quick brown fox, jumped over it"], None) == (1, "exact", False, False)
+    assert find(1, text, "a", "b") == (1, "exact", False, True)
+    assert find(3, text) == (3, "ambiguous", False, False)
+    assert find(1, ["x", "The quick brown fox jumped over it. And then it slept."]) == (1, "boundary", False, False)
+    assert find(1, ["x", "y", "A quick brown fox jumps over it!"]) == (2, "fuzzy", False, False)
+    assert find(3, ["x", "y"]) == (1, "hint", False, False)
+
+
 def test_running_heads(spark):
     book = [(1, p, f"My Book\ntext of page {p}\nmore\nand more\nstill\n{p + 1}") for p in range(5)] + [(2, 0, "My Book\na"), (2, 1, "My Book\nb")]
     frame = spark.createDataFrame(book, "doc int, page int, text string")
