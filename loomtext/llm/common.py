@@ -29,11 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Drops the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: later steps start from files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table into the shared folder and read it back: later steps start from files that outlive executors.
+
+    The shuffle files behind it are dropped, since the written table replaces them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,8 +65,8 @@ def remainder(id_column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def blocks(texts: Iterable[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of some million characters, nulls as empty: what a task holds at once doesn't grow with a batch of long texts."""
+def blocks(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about a million characters, nulls as empty: what a task holds at once doesn't grow with a batch of long texts."""
     block, size = [], 0
     for t in texts:
         t = t if isinstance(t, str) else ""

@@ -41,7 +41,7 @@ SCRIPTS = (
 )
 BUCKETS = 1 << 17
 #: Cost of a switch, in nats; smoothing of a bucket; rows of each language that the model learns from (about).
-SWITCH, SMOOTH, ROWS_PER_LANGUAGE = 12.0, 0.05, 2_000
+SWITCH, SMOOTH, ROWS_PER_LANGUAGE = 12.0, 0.05, 1_000
 
 
 class Model(NamedTuple):
