@@ -31,7 +31,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Distinct words whose encodings a task holds, in each of two generations, and pairs of tokens whose verdict it holds.
-HELD_WORDS, HELD_PAIRS = 600_000, 1_000_000
+HELD_WORDS, HELD_PAIRS = 250_000, 500_000
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 
