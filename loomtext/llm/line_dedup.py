@@ -186,11 +186,12 @@ def _candidates(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
     """(later, nearest earlier, distance, whether there are more) of rows in order, each word's from its start to its end.
 
     In a large group a row drops out once an earlier one is as near as `sure`, so a group of copies takes about one
-    comparison a row and block.
+    comparison a row and block. A row that drops out before its last block counts as one that has more.
     """
     sizes = ends - starts
     n = len(rows["n"])
     best, at_x, count = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    unseen = np.zeros(n, dtype=bool)
 
     def keep(y: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
         nearer = far < best[y]
@@ -211,7 +212,9 @@ def _candidates(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
     for g in np.flatnonzero(sizes > SMALL).tolist():
         for a in range(starts[g], ends[g], WIDE):
             later = np.arange(a + 1, ends[g])
-            later = later[best[later] > sure]
+            near = best[later] <= sure
+            unseen[later[near]] = True
+            later = later[~near]
             x = np.arange(a, min(a + WIDE, ends[g]))
             for b in range(0, len(later), TALL):
                 y = later[b : b + TALL]
@@ -221,7 +224,7 @@ def _candidates(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
                 j = far.argmin(axis=1)
                 keep(y, x[j], far[np.arange(len(y)), j])
     y = np.flatnonzero(count)
-    return y, at_x[y], best[y], count[y] > 1
+    return y, at_x[y], best[y], (count[y] > 1) | unseen[y]
 
 
 ENTRY = ("token", "doc_id", "place", "n", "pos", "bits")

@@ -70,3 +70,29 @@ def test_texts_columns_and_empty(spark, documents):
     got = {r.doc_id: r.text for r in line_dedup.deduped(docs).collect()}
     assert got == {0: f"{line}\nshort", 1: "x\nlast", 2: None}
     assert line_dedup.deduped(documents([])).count() == 0
+
+
+def test_false_near_candidate_in_the_first_block(spark, documents):
+    rnd = random.Random(7)
+    common, shared = [f"c{k}" for k in range(60)], ["t1", "t2", "t3"]
+
+    def corpus(x, z, y):
+        lines = [x, *(shared + rnd_words for rnd_words in fill), z, y]
+        used = [w for line in lines for w in line]
+        ballast = [w for w in common for _ in range(2000 - used.count(w))]  # all counts, and so the order of words, stay the same
+        return [" ".join(line) for line in [*lines, ballast]]
+
+    fill = [rnd.sample(common, 15) for _ in range(700)]
+    probes = [[*shared, *common[:6], w] for w in common[6:]]
+    places = line_dedup.rarity(documents(corpus(*probes[:3])).select("doc_id", "text"))
+    bits = {r.doc_id: r.bits for r in line_dedup.lines_of(documents([" ".join(p) for p in probes]), places).collect()}
+    alike = {}
+    for i, b in bits.items():
+        alike.setdefault(b, []).append(common[6 + i])
+    (a, b, *_), (c, d, *_), (e, *_) = sorted(alike.values(), key=len)[::-1][:3]
+    same = [*shared, *common[:5]]
+    texts = corpus([*same, a, c], [*same, b, e], [*same, b, d])  # first and last: equal counts by bucket, Jaccard 8/12; the last two: 9/11
+    got = {r.doc_id: r.removed_lines or "" for r in line_dedup.digest(documents(texts)).collect()}
+    expected = brute(list(enumerate(texts)))
+    assert expected[702] == [0] and expected[701] == []
+    assert got == {i: ",".join(map(str, x)) for i, x in expected.items()}
