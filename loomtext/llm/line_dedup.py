@@ -2,9 +2,10 @@
 
 A line is the set of its words (ASCII letters lower-cased, parted by white space). A line is removed if an earlier
 line, by (doc_id, place), has a Jaccard similarity of THRESHOLD or more with it, whether or not that line stays.
-Lines of fewer than LEAST_WORDS distinct words, which repeat by chance, are left alone.
+Every line with a word takes part.
 
-Lines with equal sets are one class, settled by a plain minimum before any join. Between classes, words are ordered
+Lines with equal sets are one class, settled by a plain minimum before any join. Sets of fewer than LEAST_JOINED words
+are similar to equal sets only (4 words are to 5 that hold them), so they have no entries in the join. Between classes, words are ordered
 by rarity: the count of a word's bucket over all documents (it only orders words, so a fixed number of buckets
 does, and the result is exact). Two similar sets share a word among the rarest few of each (prefix filter), at
 places (positional filter) and with sizes (length filter) that leave room for the overlap, and their counts of words
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import blocks, staged
 
-LEAST_WORDS = 5
+LEAST_WORDS, LEAST_JOINED = 1, 4
 #: The threshold as a fraction, 4/5: sizes and overlaps are compared in integers.
 NUMERATOR, DENOMINATOR = 4, 5
 THRESHOLD = NUMERATOR / DENOMINATOR
@@ -102,7 +103,7 @@ LINE = "doc_id long, place long, n int, bits long, k1 long, k2 long, prefix arra
 
 
 def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
-    """A row for each line of LEAST_WORDS distinct words or more: its place, set keys, counts by bucket and rarest words."""
+    """A row for each line of LEAST_WORDS distinct words or more (all lines with a word): its place, set keys, counts by bucket and rarest words."""
     held = docs.sparkSession.sparkContext.broadcast(places)
     low = TOKEN_BITS - RARITY_BITS
 
@@ -114,7 +115,7 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
                 line, h, first = words_of(block)
                 rank = order[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
                 token = (rank << np.uint64(low)) | ((h >> np.uint64(20)) & np.uint64((1 << low) - 1))
-                keys = np.unique((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token)
+                keys, own_word = np.unique((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token, return_index=True)
                 of = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64)
                 token = keys & np.uint64((1 << TOKEN_BITS) - 1)
                 starts = np.flatnonzero(np.diff(of, prepend=-1))
@@ -127,10 +128,12 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
                     own = np.repeat(np.arange(len(starts)), sizes) * 16 + (again >> np.uint64(60)).astype(np.int64)
                     counts = (np.bincount(own, minlength=16 * len(starts)).reshape(-1, 16) & 15).astype(np.uint64)
                     bits = (counts << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                    k1, k2 = np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts), np.add.reduceat(again, starts)
+                    whole = h[own_word]  # tokens have 40 bits, too few to tell all words that are a line of their own apart
+                    other = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                    k1, k2 = np.add.reduceat(whole, starts), np.add.reduceat(other ^ (other >> np.uint64(32)), starts)
                     kept = sizes >= LEAST_WORDS
                     n, s = sizes[kept], starts[kept]
-                    prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+                    prefix = np.where(n < LEAST_JOINED, 0, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
                     offsets = np.concatenate(([0], np.cumsum(prefix)))
                     taken = np.repeat(s - offsets[:-1], prefix) + np.arange(offsets[-1])
                     doc = np.searchsorted(first, of[s], side="right") - 1

@@ -96,3 +96,10 @@ def test_false_near_candidate_in_the_first_block(spark, documents):
     expected = brute(list(enumerate(texts)))
     assert expected[702] == [0] and expected[701] == []
     assert got == {i: ",".join(map(str, x)) for i, x in expected.items()}
+
+
+def test_short_lines(spark, documents):
+    texts = ["All rights reserved.\nHome", "home\nall  rights RESERVED.", "全著作権所有。\none two three four", "全著作権所有。\none two three four five", "two three four\nfour three two\nall rights\n \n", "rights all all"]
+    got = {r.doc_id: r.removed_lines or "" for r in line_dedup.digest(documents(texts)).collect()}
+    assert got == {0: "", 1: "0,1", 2: "", 3: "0,1", 4: "1", 5: "0"}
+    assert got == {i: ",".join(map(str, x)) for i, x in brute(list(enumerate(texts))).items()}
