@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words, in column expressions only.
 
-The index maps the rarest words of each license template (by document frequency over the whole corpus) to
-their postings: the template and the word's position in it. A file's own rarest of these words are looked up;
-each occurrence votes for (template, where the template would start in the file), so votes that agree stand at
+The index maps the rarest words of each license template (by document frequency over the whole corpus, at least
+MANDATORY of them from its mandatory phrase) to their postings: the template and the word's position in it. All of
+these words are looked up in a file; each occurrence votes for (template, where the template would start in the file), so votes that agree stand at
 the right relative positions. A start with enough votes is verified: the template's mandatory phrase must
 stand there. The index and the templates are fixed in size; document frequencies are one count per index word.
 
@@ -50,8 +50,8 @@ TEMPLATES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy modify and or distribute"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-#: Rarest words of a template that the index holds, a file's rarest index words that are looked up, votes needed.
-INDEXED, LOOKED_UP, VOTES = 4, 12, 2
+#: Rarest words of a template that the index holds, how many of them the mandatory phrase has at least, votes needed.
+INDEXED, MANDATORY, VOTES = 4, 2, 2
 
 
 def words_of(text: Column) -> Column:
@@ -71,9 +71,19 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
 
 
 def index_of(frequencies: dict[str, int]) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Index words, rarest first (ties by code point), each with its postings (template number, position)."""
+    """Index words, rarest first (ties by code point), each with its postings (template number, position).
+
+    Words that no document has are left out, as they can't vote, unless there are no others at all.
+    """
     rarity = lambda w: (frequencies.get(w, 0), w)
-    chosen = {w for t in TEMPLATES for w in sorted(set(t.text.split()), key=rarity)[:INDEXED]}
+
+    def rarest(words: str) -> list[str]:
+        return sorted((w for w in set(words.split()) if frequencies.get(w, 0) > 0 or not any(frequencies.values())), key=rarity)
+
+    chosen = set()
+    for t in TEMPLATES:
+        phrase = rarest(t.mandatory)[:MANDATORY]
+        chosen |= {*phrase, *[w for w in rarest(t.text) if w not in phrase][: INDEXED - len(phrase)]}
     return [
         (w, [(n, at) for n, t in enumerate(TEMPLATES) for at, x in enumerate(t.text.split()) if x == w])
         for w in sorted(chosen, key=rarity)
@@ -110,10 +120,8 @@ def voted(words: Column, index: list[tuple[str, list[tuple[int, int]]]]) -> Colu
     ranked = F.transform(seen, lambda s: F.struct(F.element_at(rank, s["w"]).alias("r"), s["i"].alias("i")))
 
     def look_up(occurrences: Column) -> Column:
-        rarest = F.slice(F.sort_array(F.array_distinct(F.transform(occurrences, lambda s: s["r"]))), 1, LOOKED_UP)
-        used = let(rarest, lambda own: F.filter(occurrences, lambda s: F.array_contains(own, s["r"])))
         votes = F.flatten(
-            F.transform(used, lambda s: F.transform(F.get(postings, s["r"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["at"]).alias("at"))))
+            F.transform(occurrences, lambda s: F.transform(F.get(postings, s["r"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["at"]).alias("at"))))
         )
         return F.sort_array(votes)
 

@@ -123,3 +123,20 @@ def test_rates_meet_their_targets(spark, documents):
     for r in got:
         words.setdefault(r.source, [0.0, r.target])[0] += r.rate * r["size"]
     assert all(abs(a - b) <= 2e-4 * b + 1 for a, b in words.values())
+
+
+def test_every_notice_votes(spark, documents):
+    notices = [f"{x.text}. Some more words stand here." for x in licenses.TEMPLATES]
+    texts = ["\n".join(notices), *notices, *["under the terms of the general public version 2 for any purpose"] * 5]
+    got = {r.doc_id: r.labels for r in licenses.digest(documents(texts)).collect()}
+    assert set(got[0].split(",")) == {x.label for x in licenses.TEMPLATES}
+    assert all(x.label in got[n + 1].split(",") for n, x in enumerate(licenses.TEMPLATES))
+
+
+def test_a_mandatory_phrase_alone_is_found(spark, documents):
+    for x in licenses.TEMPLATES:
+        frequencies = dict.fromkeys(x.mandatory.split(), 3)
+        index = {w for w, _ in licenses.index_of(frequencies)}
+        assert len(index & set(x.mandatory.split())) >= 2 and index <= frequencies.keys()
+    got = licenses.digest(documents(["x redistribution and use in source and binary forms y", "no notice"])).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "bsd", 1: ""}
