@@ -36,6 +36,20 @@ def test_language(spark):
     assert [s["lang"] for s in spans] == ["en", "es"] and abs(spans[1]["start"] - len(mixed) / 2) < len(mixed) / 4
 
 
+def test_many_languages(spark):
+    rnd = random.Random(4)
+    names = [f"l{k:03d}" for k in range(600)]
+    own = {n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for n in names}
+    text = lambda n: " ".join(rnd.choice(own[n]) for _ in range(20))
+    few = names[:200]
+    model = langid.learned([text(n) for n in few for _ in range(3)], [n for n in few for _ in range(3)])
+    assert [x[0] for x in langid.label_block([text(n) for n in few], model)] == few
+    both = langid.label_block([f"{text(few[150])} {text(few[190])}"], model)[0][2]
+    assert [s["lang"] for s in both] == [few[150], few[190]]
+    docs = spark.createDataFrame([(k, n, n) for k, n in enumerate(names)], "doc_id long, text string, lang string")
+    assert {r.lang for r in langid.sample(docs).collect()} == set(names)
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(100):
