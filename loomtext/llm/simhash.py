@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm import near
 from loomtext.llm.common import components, staged
 
 SEGMENTS, BITS, RADIUS = 4, 64, 2
@@ -81,13 +82,9 @@ def grouped(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str =
 
 
 def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
-    """`docs` with one document of each group: the one of the smallest id. Columns stay.
-
-    Of rows that repeat that id, one stays: whichever text and source sort first. Rows with a null id stay.
-    """
-    kept = grouped(docs, words).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """`docs` with one row of each group of near duplicates: texts whose shingles have a Jaccard similarity of 0.8 or
+    more. RADIUS is op6's and finds few of them, so the stage has links of its own (see `near`). Columns stay."""
+    return near.keep_first(docs, words)
 
 
 def digest(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -63,3 +63,45 @@ def test_empty_and_keep_first(spark, documents):
     kept = simhash.keep_first(same.unionByName(same))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
     assert kept.columns == same.columns
+
+
+def near_brute(texts, words=5):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in root if root[i] == i}
+
+
+def test_keep_first_finds_near_copies(spark, documents):
+    rnd = random.Random(8)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = [None, "", "one", "ONE", "one two three", "a b c d e"]
+    for _ in range(25):
+        base = [rnd.choice(vocab) for _ in range(rnd.choice([60, 300, 500]))]
+        for changes in (0, 1, 2, 4, 6, 9, 14):
+            words = list(base)
+            for _ in range(changes * len(base) // 250 + (changes > 0)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocab)
+            texts.append(" ".join(words))
+    chain = [rnd.choice(vocab) for _ in range(200)]
+    for k in range(12):
+        chain[k * 15] = f"changed{k}"
+        texts.append("\n".join(chain))
+    rnd.shuffle(texts)
+    kept = {r.doc_id for r in simhash.keep_first(documents(texts)).collect()}
+    expected = near_brute(texts)
+    assert 25 <= len(expected) < 0.6 * len(texts)
+    assert len(kept ^ expected) <= 1  # a pair at 0.8 is a candidate with probability 0.9996
