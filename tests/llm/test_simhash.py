@@ -105,3 +105,12 @@ def test_keep_first_finds_near_copies(spark, documents):
     expected = near_brute(texts)
     assert 25 <= len(expected) < 0.6 * len(texts)
     assert len(kept ^ expected) <= 1  # a pair at 0.8 is a candidate with probability 0.9996
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f", "x"), (None, "a b c d e f", "y"), (None, "q r s t u v", "x"), (7, "q r s t u v", "x"), (7, "g h i j k l", "x"), (7, "g h i j k l", "x"), (8, "m n o p", "z"), (9, "m n o p", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(str, simhash.keep_first(d).collect())) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("source")))]
+    assert kept[0] == kept[1] == kept[2]
+    got = sorted((r.text, r.doc_id) for r in simhash.keep_first(docs).collect())
+    assert got == [("a b c d e f", None), ("g h i j k l", 7), ("m n o p", 8), ("q r s t u v", 7)]
