@@ -12,7 +12,8 @@ places (positional filter) and with sizes (length filter) that leave room for th
 in 16 buckets differ by no more than the sets may. The classes of a prefix word come to a task in order, as a sorted
 stream; each is compared with the earlier ones, and its nearest candidate is verified on the sets of whole word
 hashes, read again from the texts. A class whose nearest isn't similar but that has more candidates meets all of them
-in a plain join.
+in a plain join. A word of more than PART classes is dealt in parts of about that size: a class is compared within its
+part first, and if nothing similar is found there, with all parts, each in a cell of the join of its own.
 
 Null and empty texts have no lines to remove. Null ids sort first. Rows that repeat an id and a text share their
 places: a line is not earlier than its copy there, so both stay or both go. Removed lines go with their line ends.
@@ -231,13 +232,37 @@ def _candidates(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
 
 
 ENTRY = ("token", "doc_id", "place", "n", "pos", "bits")
+#: Classes of a prefix word that a task compares at once.
+PART = 4096
 PAIR = "y_id long, y_place long, x_id long, x_place long, far double, more boolean"
 
 
-def candidates(classes: DataFrame, sure: float = SURE) -> DataFrame:
-    """(y, x, far, more) for classes that share a prefix word: y's nearest candidate x by that word, and if it has more."""
-    entries = classes.select("doc_id", "place", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select(*ENTRY)
-    dealt = entries.repartition("token").sortWithinPartitions("token", "doc_id", "place")
+def entries_of(classes: DataFrame) -> DataFrame:
+    return classes.select("doc_id", "place", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select(*ENTRY)
+
+
+def common_words(classes: DataFrame, part: int = PART) -> DataFrame:
+    """(token, parts): prefix words of more than `part` classes, and in how many parts they are dealt."""
+    counts = entries_of(classes).groupBy("token").count().where(f"count > {part}")
+    return counts.select("token", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+
+
+def part_of(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "place"), parts).cast("int")
+
+
+def dealt(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """The entries, `split` where the word has several parts; token is the word and the part."""
+    part = F.coalesce(part_of(F.col("parts")), F.lit(0))
+    token = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(part.cast("long"))
+    found = entries_of(classes).join(common, "token", "left")
+    return found.select(token.alias("token"), *ENTRY[1:], F.col("parts").isNotNull().alias("split"))
+
+
+def candidates(classes: DataFrame, common: DataFrame, sure: float = SURE) -> DataFrame:
+    """(y, x, far, more) for classes that share a prefix word: y's nearest candidate x by that word, and if it may have
+    more. In a word of several parts every class may have more, and comes with a null x if its part has none."""
+    rows_of = dealt(classes, common).repartition("token").sortWithinPartitions("token", "doc_id", "place")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -248,7 +273,15 @@ def candidates(classes: DataFrame, sure: float = SURE) -> DataFrame:
             ends = np.append(starts[1:], len(token))
             columns = {c: rows.column(c).to_numpy() for c in ("n", "pos", "bits")}
             columns = {c: v.view(np.uint64) if c == "bits" else v.astype(np.int64) for c, v in columns.items()}
-            y, x, far, more = map(pa.array, _candidates(columns, starts, ends, sure))
+            y, x, far, more = _candidates(columns, starts, ends, sure)
+            split = rows.column("split").to_numpy()
+            alone = split.copy()
+            alone[y] = False
+            alone = np.flatnonzero(alone)
+            far, more = np.append(far, np.full(len(alone), np.inf)), np.append(more | split[y], np.ones(len(alone), dtype=bool))
+            none = np.append(np.zeros(len(y), dtype=bool), np.ones(len(alone), dtype=bool))
+            y, x = pa.array(np.append(y, alone)), pa.array(np.append(x, alone), mask=none)
+            far, more = pa.array(far), pa.array(more)
             if len(y):
                 ids, places = rows.column("doc_id").combine_chunks(), rows.column("place").combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(y), places.take(y), ids.take(x), places.take(x), far, more], ["y_id", "y_place", "x_id", "x_place", "far", "more"])
@@ -268,7 +301,7 @@ def candidates(classes: DataFrame, sure: float = SURE) -> DataFrame:
         if held:
             yield from settle(pa.concat_tables(held))
 
-    return dealt.mapInArrow(meet, PAIR)
+    return rows_of.mapInArrow(meet, PAIR)
 
 
 def _bucket(doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -330,11 +363,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.where(DENOMINATOR * common >= NUMERATOR * (F.size("y_words") + F.size("x_words") - common)).select("y_id", "y_place").distinct()
 
 
-def rest(classes: DataFrame, open_: DataFrame) -> DataFrame:
-    """All pairs that pass the filters for the classes `open_` (y_id, y_place)."""
-    e = classes.select("doc_id", "place", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    x = e.select(*(F.col(c).alias(f"x_{c}") for c in e.columns))
-    y = e.join(open_, (F.col("doc_id") == F.col("y_id")) & (F.col("place") == F.col("y_place")), "left_semi").select(*(F.col(c).alias(f"y_{c}") for c in e.columns))
+def rest(classes: DataFrame, open_: DataFrame, common: DataFrame, part: int = PART) -> DataFrame:
+    """All pairs that pass the filters for the classes `open_` (y_id, y_place); a cell of the join has a part of each side."""
+    e = entries_of(classes)
+    own = e.join(open_, (F.col("doc_id") == F.col("y_id")) & (F.col("place") == F.col("y_place")), "left_semi")
+    cells = own.groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias("y_parts")).join(common, "token", "left")
+    cells = staged(cells.select("token", "y_parts", F.coalesce("parts", F.lit(1)).alias("x_parts")))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    x = e.join(cells, "token").withColumns({"x_part": part_of(F.col("x_parts")), "y_part": every("y_parts")})
+    y = own.join(cells, "token").withColumns({"y_part": part_of(F.col("y_parts")), "x_part": every("x_parts")})
+    x, y = (side.select(*(F.col(c).alias(f"{end}_{c}") for c in (*ENTRY, "x_part", "y_part"))) for end, side in (("x", x), ("y", y)))
+    cell = (F.col("x_token") == F.col("y_token")) & (F.col("x_x_part") == F.col("y_x_part")) & (F.col("x_y_part") == F.col("y_y_part"))
     earlier = F.struct("x_doc_id", "x_place") < F.struct("y_doc_id", "y_place")
     size = F.col("x_n") + F.col("y_n")
     room = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
@@ -343,23 +382,24 @@ def rest(classes: DataFrame, open_: DataFrame) -> DataFrame:
     apart = [F.pmod(nibble("x_bits", k) - nibble("y_bits", k), F.lit(16)) for k in range(0, 64, 4)]
     differ = sum((F.least(p, 16 - p) for p in apart), F.lit(0))
     bits = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * size
-    met = y.join(x, (F.col("x_token") == F.col("y_token")) & earlier & near & bits)
+    met = y.join(x, cell & earlier & near & bits)
     return met.select(F.col("y_doc_id").alias("y_id"), "y_place", F.col("x_doc_id").alias("x_id"), "x_place").distinct()
 
 
-def removed_lines(docs: DataFrame, sure: float = SURE) -> DataFrame:
+def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART) -> DataFrame:
     """(doc_id, place) of each line to remove; place holds the line's number in its high half. Null ids come as NO_ID."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     lines = staged(lines_of(docs, rarity(docs)))
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c"), F.count("*").alias("n_lines"))
     classes = staged(grouped.select("k1", "k2", "n_lines", "c.*"))
     near = F.struct("far", "x_id", "x_place")
-    pairs = candidates(classes, sure).groupBy("y_id", "y_place").agg(F.min(near).alias("x"), (F.max(near) != F.min(near)).alias("several"), F.max("more").alias("more"))
+    common = staged(common_words(classes, part))
+    pairs = candidates(classes, common, sure).groupBy("y_id", "y_place").agg(F.min(near).alias("x"), (F.max(near) != F.min(near)).alias("several"), F.max("more").alias("more"))
     pairs = staged(pairs.select("y_id", "y_place", "x.x_id", "x.x_place", (F.col("several") | F.col("more")).alias("more")))
-    similar = staged(verified(docs, pairs.drop("more")))
+    similar = staged(verified(docs, pairs.where("x_id is not null").drop("more")))
     open_ = staged(pairs.where("more").select("y_id", "y_place").join(similar, ["y_id", "y_place"], "left_anti"))
     if not open_.isEmpty():
-        similar = similar.unionByName(staged(verified(docs, staged(rest(classes, open_)))))
+        similar = similar.unionByName(staged(verified(docs, staged(rest(classes, open_, common, part)))))
     gone = similar.select(F.col("y_id").alias("f_id"), F.col("y_place").alias("f_place"), F.lit(True).alias("gone"))
     firsts = classes.select("k1", "k2", "n_lines", F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"))
     firsts = firsts.join(gone, ["f_id", "f_place"], "left").where("gone or n_lines > 1")

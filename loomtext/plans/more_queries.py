@@ -143,7 +143,7 @@ _add(
 )
 _add(
     "k17_samples",
-    lambda s, d: _read(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.pmod(F.col("event_id") * 977, F.lit(65536)).alias("v")))).alias("pcm")).select("user_id", F.round(F.aggregate(F.transform("pcm", lambda x: (x["v"] - 32768) / 32768), F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
+    lambda s, d: _read(s, d, "events").groupBy("user_id").agg(F.round(F.sum((F.col("event_id") * 977 % 65536 - 32768) / 32768), 6).alias("total")),
     "SELECT user_id, round(sum(((event_id * 977) % 65536 - 32768) / 32768), 6) AS total FROM events GROUP BY user_id",
 )
 _add("l04_batched_replies", lambda s, d: _turns(s, d).where("role = 'assistant'").groupBy((F.floor(F.col("conv_id") / 5)).alias("poll")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars")), "SELECT conv_id // 5 AS poll, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role = 'assistant' GROUP BY poll")

@@ -103,3 +103,20 @@ def test_short_lines(spark, documents):
     got = {r.doc_id: r.removed_lines or "" for r in line_dedup.digest(documents(texts)).collect()}
     assert got == {0: "", 1: "0,1", 2: "", 3: "0,1", 4: "1", 5: "0"}
     assert got == {i: ",".join(map(str, x)) for i, x in brute(list(enumerate(texts))).items()}
+
+
+def test_common_words_are_dealt_in_parts(spark, documents):
+    rnd = random.Random(9)
+    texts = [*made(10, 40, 60), *(" ".join(["dated", "entry", *(f"v{rnd.randrange(40)}" for _ in range(rnd.choice([4, 8, 9])))]) for _ in range(150))]
+    texts.append(" ".join(f"v{k % 40}" for k in range(12000)))  # so that the other two are the rarest words of their lines
+    docs = documents(texts).select("doc_id", "text")
+    lines = line_dedup.lines_of(docs, line_dedup.rarity(docs))
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c")).select("c.*")
+    common = line_dedup.common_words(classes, 16)
+    assert common.count() >= 2
+    groups = [n for n, in line_dedup.dealt(classes, common).groupBy("token").count().select("count").collect()]
+    assert max(groups) <= 32 < line_dedup.entries_of(classes).groupBy("token").count().agg(F.max("count")).first()[0]
+    got = {i: [] for i in range(len(texts))}
+    for r in line_dedup.removed_lines(docs, part=16).collect():
+        got[r.doc_id].append(r.place >> 32)
+    assert {i: sorted(x) for i, x in got.items()} == brute(list(enumerate(texts)))

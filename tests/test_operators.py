@@ -89,3 +89,13 @@ def test_speech(spark):
     parts = spark.range(1).select(speech.chunks(F.array(*map(F.lit, ids)))).first()[0]
     assert [len(p) for p in parts] == [300, 401] and sum(parts, []) == ids and parts[1][0] == 16
     assert spark.range(1).select(speech.voice_rate(F.lit(2.0))).first()[0] == 6
+
+
+def test_samples_are_a_plain_sum(spark, tmp_path):
+    from loomtext.plans import registry
+
+    spark.range(1000).selectExpr("id AS event_id", "id % 2 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["k17_samples"](spark, str(tmp_path))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    expected = {u: round(sum((i * 977 % 65536 - 32768) / 32768 for i in range(u, 1000, 2)), 6) for u in (0, 1)}
+    assert {r.user_id: r.total for r in found.collect()} == expected
