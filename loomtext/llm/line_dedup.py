@@ -364,16 +364,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def rest(classes: DataFrame, open_: DataFrame, common: DataFrame, part: int = PART) -> DataFrame:
-    """All pairs that pass the filters for the classes `open_` (y_id, y_place); a cell of the join has a part of each side."""
-    e = entries_of(classes)
-    own = e.join(open_, (F.col("doc_id") == F.col("y_id")) & (F.col("place") == F.col("y_place")), "left_semi")
-    cells = own.groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias("y_parts")).join(common, "token", "left")
-    cells = staged(cells.select("token", "y_parts", F.coalesce("parts", F.lit(1)).alias("x_parts")))
+    """All pairs that pass the filters for the classes `open_` (y_id, y_place); for common words, a cell
+    of the join has a part of each side."""
+    opened = lambda e: e.join(open_, (F.col("doc_id") == F.col("y_id")) & (F.col("place") == F.col("y_place")), "left_semi")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    x = e.join(cells, "token").withColumns({"x_part": part_of(F.col("x_parts")), "y_part": every("y_parts")})
-    y = own.join(cells, "token").withColumns({"y_part": part_of(F.col("y_parts")), "x_part": every("x_parts")})
-    x, y = (side.select(*(F.col(c).alias(f"{end}_{c}") for c in (*ENTRY, "x_part", "y_part"))) for end, side in (("x", x), ("y", y)))
-    cell = (F.col("x_token") == F.col("y_token")) & (F.col("x_x_part") == F.col("y_x_part")) & (F.col("x_y_part") == F.col("y_y_part"))
+    e = entries_of(classes)
+    rare, split = e.join(common, "token", "left_anti"), e.join(common, "token", "left_semi")
+    cells = opened(split).groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias("y_parts")).join(common, "token")
+    cells = staged(cells)
+    x = split.join(cells, "token").withColumns({"x_part": part_of(F.col("parts")), "y_part": every("y_parts")})
+    y = opened(split).join(cells, "token").withColumns({"y_part": part_of(F.col("y_parts")), "x_part": every("parts")})
+    named = lambda side, end, columns: side.select(*(F.col(c).alias(f"{end}_{c}") for c in columns))
     earlier = F.struct("x_doc_id", "x_place") < F.struct("y_doc_id", "y_place")
     size = F.col("x_n") + F.col("y_n")
     room = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
@@ -382,8 +383,12 @@ def rest(classes: DataFrame, open_: DataFrame, common: DataFrame, part: int = PA
     apart = [F.pmod(nibble("x_bits", k) - nibble("y_bits", k), F.lit(16)) for k in range(0, 64, 4)]
     differ = sum((F.least(p, 16 - p) for p in apart), F.lit(0))
     bits = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * size
-    met = y.join(x, cell & earlier & near & bits)
-    return met.select(F.col("y_doc_id").alias("y_id"), "y_place", F.col("x_doc_id").alias("x_id"), "x_place").distinct()
+    token, filters = F.col("x_token") == F.col("y_token"), earlier & near & bits
+    cell = token & (F.col("x_x_part") == F.col("y_x_part")) & (F.col("x_y_part") == F.col("y_y_part"))
+    wide = (*ENTRY, "x_part", "y_part")
+    pair = (F.col("y_doc_id").alias("y_id"), "y_place", F.col("x_doc_id").alias("x_id"), "x_place")
+    met = named(opened(rare), "y", ENTRY).join(named(rare, "x", ENTRY), token & filters).select(*pair)
+    return met.unionByName(named(y, "y", wide).join(named(x, "x", wide), cell & filters).select(*pair)).distinct()
 
 
 def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART) -> DataFrame:
