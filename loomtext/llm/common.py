@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,17 +40,34 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def staged(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: later steps start from files that outlive executors.
 
-    The shuffle files behind it are dropped, since the written table replaces them.
+    The shuffle files behind it are dropped, since the written table replaces them. The table goes with `forget`, at the
+    latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    folder, files = _files(spark, path)
+    files.deleteOnExit(folder)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_path = path
+    return found
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for t in tables:
+        folder, files = _files(t.sparkSession, t._staged_path)
+        files.delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -79,6 +100,29 @@ def blocks(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[list[
         yield block
 
 
+def pieces(raw: bytes, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, which of them are white space) of pieces of about `most` bytes that end after white space."""
+    data, at = np.frombuffer(raw, dtype=np.uint8), 0
+    white = lambda part: (part == 32) | ((part >= 9) & (part <= 13))
+    while at < len(data):
+        end = min(at + most, len(data))
+        while end < len(data) and not len(gap := np.flatnonzero(white(data[end : end + most]))):
+            end = min(end + most, len(data))
+        if end < len(data):
+            end += int(gap[0]) + 1
+        yield data[at:end], white(data[at:end])
+        at = end
+
+
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2^bits bits, packed from the lowest, with those set that a column of longs names; so at most 2^(bits - 6) rows reach the driver."""
+    word = rows.groupBy((F.shiftright(column, 6)).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("set"))
+    found = word.toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[found["at"].to_numpy(dtype=np.int64)] = found["set"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:
     """(text, label, share) of about `rows` rows (and no more than twice as many) of each label 0 and 1, by a hash of the id.
 

@@ -2,21 +2,28 @@
 
 A line is the set of its words (ASCII letters lower-cased, parted by white space). A line is removed if an earlier
 line, by (doc_id, place), has a Jaccard similarity of THRESHOLD or more with it, whether or not that line stays.
-Every line with a word takes part.
-
-Lines with equal sets are one class, settled by a plain minimum before any join. Sets of fewer than LEAST_JOINED words
-are similar to equal sets only (4 words are to 5 that hold them), so they have no entries in the join. Between classes, words are ordered
-by rarity: the count of a word's bucket over all documents (it only orders words, so a fixed number of buckets
-does, and the result is exact). Two similar sets share a word among the rarest few of each (prefix filter), at
-places (positional filter) and with sizes (length filter) that leave room for the overlap, and their counts of words
-in 16 buckets differ by no more than the sets may. The classes of a prefix word come to a task in order, as a sorted
-stream; each is compared with the earlier ones, and its nearest candidate is verified on the sets of whole word
-hashes, read again from the texts. A class whose nearest isn't similar but that has more candidates meets all of them
-in a plain join. A word of more than PART classes is dealt in parts of about that size: a class is compared within its
-part first, and if nothing similar is found there, with all parts, each in a cell of the join of its own.
+Every line with a word takes part. Words are told apart by 64-bit hashes.
+
+1. Lines with equal sets are one class, settled by a plain minimum before any join. Sets of fewer than LEAST_JOINED
+   words are similar to equal sets only (4 words are to 5 that hold them), so they have no entries in the join.
+2. Words are ordered by rarity: the count of a word's bucket over all documents (it only orders words, so a fixed
+   number of buckets does, and the result is exact). Two similar sets share one of the rarest few words of each
+   (prefix filter), so a class has an entry for each of those. Entries of a word meet in a task, sorted by size: the
+   length filter is a window of that order, the positional filter follows, and last the parity of the words' counts in
+   128 buckets, which can't differ in more buckets than the sets do in words. Each class comes out once for a word, with its nearest earlier class.
+3. The sets of the classes that have a candidate are read again from the texts, in one pass, and the nearest
+   candidate is verified on them.
+4. A class whose nearest isn't similar, but that has more candidates, meets them all again among those sets, with
+   counts themselves to tell the nearest; what is still open then is verified against every candidate.
+
+In a word of more than WIDE classes, a class that is very near one of the word's earliest classes isn't compared
+further. If that one proves not to be similar, the class meets all others of its words again (`unseen`). A word of more
+than PART classes is dealt in parts of about that size; what finds nothing similar in its part meets the other parts,
+a pair of parts at a time. So no task holds more than PART classes a side, and no pair that may be similar is lost.
 
 Null and empty texts have no lines to remove. Null ids sort first. Rows that repeat an id and a text share their
-places: a line is not earlier than its copy there, so both stay or both go. Removed lines go with their line ends.
+places: a line is not earlier than its copy there, so both stay or both go. Removed lines go with their line ends. An
+empty table gives an empty result. A very long text is hashed in pieces that end between words.
 """
 
 from __future__ import annotations
@@ -28,15 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, staged
+from loomtext.llm.common import bitmap, blocks, forget, let, pieces, staged
 
 LEAST_WORDS, LEAST_JOINED = 1, 4
 #: The threshold as a fraction, 4/5: sizes and overlaps are compared in integers.
 NUMERATOR, DENOMINATOR = 4, 5
 THRESHOLD = NUMERATOR / DENOMINATOR
-RARITY_BITS, TOKEN_BITS, MARK_BITS = 18, 40, 24
+RARITY_BITS, TOKEN_BITS, MARK_BITS, CHUNK = 18, 40, 24, 4096
 #: A candidate as near as this, of 0 to 1, is taken to be the one to verify without looking for a nearer one.
 SURE = 0.5
+#: Classes of a prefix word that a task compares at once; groups in which a class may drop out, and what it meets first.
+PART, WIDE, HEADS = 4096, 512, 64
 #: Stands for a null id, and sorts first.
 NO_ID = -(1 << 63)
 
@@ -46,29 +55,37 @@ _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64, up to n at least."""
-    if not _powers or len(_powers[0]) < n:
-        up, down = np.full(n, _ODD, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0], _powers[1]
+    """Powers of an odd number and of its inverse, modulo 2^64, up to n at least. Those for a usual piece are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    up, down = np.full(n, _ODD, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+    up[0] = down[0] = 1
+    made = [np.cumprod(up, dtype=np.uint64, out=up), np.cumprod(down, dtype=np.uint64, out=down)]
+    if n <= 1 << 22:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line of the block, 64-bit hash) of each word, and the block's first line of each text."""
-    raw = np.frombuffer(("\n".join(texts) + "\n").encode().lower(), dtype=np.uint8)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[::2], edge[1::2]
-    line = np.cumsum(raw == 10)
-    up, down = powers(len(raw) + 1)
-    run = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(raw * up[: len(raw)], dtype=np.uint64, out=run[1:])
-    h = (run[ends] - run[starts]) * down[starts]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    lines, hashes, line_end = [], [], 0
+    for raw, space in pieces(("\n".join(texts) + "\n").encode().lower()):
+        inside = np.zeros(len(raw) + 2, dtype=np.int8)
+        np.logical_not(space, out=inside[1:-1].view(bool))
+        edge = np.flatnonzero(np.diff(inside))
+        starts, ends = edge[::2], edge[1::2]
+        breaks = np.flatnonzero(raw == 10)
+        up, down = powers(len(raw) + 1)
+        run = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(raw * up[: len(raw)], dtype=np.uint64, out=run[1:])
+        h = (run[ends] - run[starts]) * down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        lines.append(line_end + np.searchsorted(breaks, starts))
+        hashes.append(h)
+        line_end += len(breaks)
     counts = np.array([t.count("\n") + 1 for t in texts])
-    return line[starts], h, np.cumsum(counts) - counts
+    return np.concatenate(lines), np.concatenate(hashes), np.cumsum(counts) - counts
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -84,12 +101,23 @@ def rarity(docs: DataFrame) -> np.ndarray:
             for block in blocks(_texts(batch)):
                 _, h, _ = words_of(block)
                 total += np.bincount((h >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+        chunks = total.reshape(-1, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks))), pa.array([c.tobytes() for c in chunks])], ["chunk", "counts"])
 
-    found = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    counts[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([c.tobytes() for c in sums.values()])], ["chunk", "counts"])
+
+    kind = "chunk long, counts binary"
+    found = docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).toPandas()
+    counts = np.zeros((1 << RARITY_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    for chunk, own in zip(found["chunk"], found["counts"]):
+        counts[chunk] = np.frombuffer(own, dtype=np.int64)
+    counts = counts.ravel()
     places = np.empty(len(counts), dtype=np.uint32)
     places[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts), dtype=np.uint32)
     return places
@@ -100,13 +128,74 @@ def text_mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-LINE = "doc_id long, place long, n int, bits long, k1 long, k2 long, prefix array<int>"
+def _distinct(line: np.ndarray, h: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct words of each line, the rarest of a line first, ties by hash."""
+    low = TOKEN_BITS - RARITY_BITS
+    token = (order[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)] << np.uint64(low)) | ((h >> np.uint64(20)) & np.uint64((1 << low) - 1))
+    if len(line) and line[-1] < 1 << (64 - TOKEN_BITS):
+        key = (line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token
+        by = np.argsort(key)
+        own, k = h[by], key[by]
+        if ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():  # words that share a token
+            by = np.lexsort((h, key))
+    else:
+        by = np.lexsort((h, token, line))
+    line, h = line[by], h[by]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return line[new], h[new]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h + np.uint64(1)) * np.uint64(_ODD)
+    return h ^ (h >> np.uint64(31))
+
+
+def _again(h: np.ndarray) -> np.ndarray:
+    h = (_mixed(h) ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(30))
+
+
+def prefix_size(n):
+    """How many of the rarest words of a set of n are its prefix."""
+    return np.where(n < LEAST_JOINED, 0, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
+
+
+def _prefix_tokens(h: np.ndarray) -> np.ndarray:
+    return (_mixed(h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    size = rows.itemsize * rows.shape[1]
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of bytes again: two words of parities, or BUCKETS counts."""
+    rows = column.combine_chunks()
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.chunk(0)
+    ends = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(rows), -1)
+    return data if data.shape[1] == BUCKETS else data.copy().view(np.uint64)
+
+
+def _taken(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, offsets) of the first `sizes` elements from each start."""
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    return np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1]), offsets
+
+
+LINE = "doc_id long, place long, n int, bits binary, k1 long, k2 long, prefix array<int>"
+BUCKETS = 128
 
 
 def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
-    """A row for each line of LEAST_WORDS distinct words or more (all lines with a word): its place, set keys, counts by bucket and rarest words."""
+    """A row for each line with a word: its place, its number of distinct words, counts by bucket, set keys and rarest words."""
     held = docs.sparkSession.sparkContext.broadcast(places)
-    low = TOKEN_BITS - RARITY_BITS
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value.astype(np.uint64)
@@ -114,38 +203,26 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
             ids, marks, at = batch.column("doc_id"), batch.column("mark").to_numpy(), 0
             for block in blocks(_texts(batch)):
                 line, h, first = words_of(block)
-                rank = order[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-                token = (rank << np.uint64(low)) | ((h >> np.uint64(20)) & np.uint64((1 << low) - 1))
-                keys, own_word = np.unique((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token, return_index=True)
-                of = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64)
-                token = keys & np.uint64((1 << TOKEN_BITS) - 1)
+                of, h = _distinct(line, h, order)
                 starts = np.flatnonzero(np.diff(of, prepend=-1))
                 if len(starts):
-                    sizes = np.diff(starts, append=len(of))
-                    mixed = (token + np.uint64(1)) * np.uint64(_ODD)
-                    mixed ^= mixed >> np.uint64(31)
-                    again = (mixed ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x94D049BB133111EB)
-                    again ^= again >> np.uint64(30)
-                    own = np.repeat(np.arange(len(starts)), sizes) * 16 + (again >> np.uint64(60)).astype(np.int64)
-                    counts = (np.bincount(own, minlength=16 * len(starts)).reshape(-1, 16) & 15).astype(np.uint64)
-                    bits = (counts << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                    whole = h[own_word]  # tokens have 40 bits, too few to tell all words that are a line of their own apart
-                    other = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-                    k1, k2 = np.add.reduceat(whole, starts), np.add.reduceat(other ^ (other >> np.uint64(32)), starts)
-                    kept = sizes >= LEAST_WORDS
-                    n, s = sizes[kept], starts[kept]
-                    prefix = np.where(n < LEAST_JOINED, 0, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
-                    offsets = np.concatenate(([0], np.cumsum(prefix)))
-                    taken = np.repeat(s - offsets[:-1], prefix) + np.arange(offsets[-1])
-                    doc = np.searchsorted(first, of[s], side="right") - 1
-                    place = ((of[s] - first[doc]) << 32) | marks[at + doc]
+                    n = np.diff(starts, append=len(of))
+                    bucket = _again(h) >> np.uint64(57)
+                    one = np.uint64(1) << (bucket & np.uint64(63))
+                    bits = np.stack([np.bitwise_xor.reduceat(np.where((bucket > 63) == high, one, np.uint64(0)), starts) for high in (False, True)], axis=1)
+                    other = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                    k1, k2 = np.add.reduceat(h, starts), np.add.reduceat(other ^ (other >> np.uint64(32)), starts)
+                    taken, offsets = _taken(starts, prefix_size(n))
+                    doc = np.searchsorted(first, of[starts], side="right") - 1
+                    place = ((of[starts] - first[doc]) << 32) | marks[at + doc]
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(at + doc)),
                             pa.array(place),
                             pa.array(n.astype(np.int32)),
-                            *(pa.array(x[kept].view(np.int64)) for x in (bits, k1, k2)),
-                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((mixed[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                            _binary(bits),
+                            *(pa.array(x.view(np.int64)) for x in (k1, k2)),
+                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_prefix_tokens(h[taken]))),
                         ],
                         ["doc_id", "place", "n", "bits", "k1", "k2", "prefix"],
                     )
@@ -154,87 +231,150 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(lines, LINE)
 
 
-_NIBBLES, _BORROW = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x1010101010101010)
+# The comparisons of a task: rows are arrays n, room (words from the entry's on) and the buckets' counts, by size.
+
+
+def _windows(low: np.ndarray, high: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y): for each row y the rows x from low[y] to high[y], so many pairs at a time, but whole rows y."""
+    widths = np.maximum(high - low, 0)
+    rows = np.flatnonzero(widths)
+    ends = np.cumsum(widths[rows])
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        r = rows[at:to]
+        w = widths[r]
+        yield np.repeat(low[r] - np.cumsum(w) + w, w) + np.arange(w.sum()), np.repeat(r, w)
+        at = to
 
 
 def _least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many words, at least, two sets differ: by their counts of words in 16 buckets, each modulo 16."""
-    total = 0
-    for shift in (np.uint64(0), np.uint64(4)):
-        x, y = (a >> shift) & _NIBBLES, (b >> shift) & _NIBBLES
-        apart = np.ascontiguousarray(((x | _BORROW) - y) & _NIBBLES)
-        parts = apart.view(np.uint8).reshape(*apart.shape, 8)
-        total = total + np.minimum(parts, 16 - parts).sum(axis=-1, dtype=np.int64)
-    return total
-
-
-def _distance(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of rows x and y, the share of the words they may differ in that their counts by bucket do differ in; infinite if
-    the length, positional or count filter, all in integers, says that they can't be similar enough."""
-    nx, ny = rows["n"][x], rows["n"][y]
-    size = nx + ny
-    room = np.minimum(nx - rows["pos"][x], ny - rows["pos"][y])
-    fits = (DENOMINATOR * np.minimum(nx, ny) >= NUMERATOR * np.maximum(nx, ny)) & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * size)
-    far = np.full(fits.shape, np.inf)
-    differ = (DENOMINATOR + NUMERATOR) * _least_difference(rows["bits"][x][fits], rows["bits"][y][fits])
-    most = (DENOMINATOR - NUMERATOR) * size[fits]
-    far[fits] = np.where(differ <= most, differ / most, np.inf)
-    return far
-
-
-#: Groups of up to so many classes are compared all at once, by their rows' distance; larger ones a block at a time.
-SMALL, WIDE, TALL = 32, 256, 1024
-
-
-def _candidates(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, nearest earlier, distance, whether there are more) of rows in order, each word's from its start to its end.
-
-    In a large group a row drops out once an earlier one is as near as `sure`, so a group of copies takes about one
-    comparison a row and block. A row that drops out before its last block counts as one that has more.
-    """
-    sizes = ends - starts
-    n = len(rows["n"])
-    best, at_x, count = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    unseen = np.zeros(n, dtype=bool)
-
-    def keep(y: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
-        nearer = far < best[y]
-        best[y[nearer]], at_x[y[nearer]] = far[nearer], x[nearer]
-
-    small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
-    at = np.repeat(starts[small] - np.cumsum(sizes[small]) + sizes[small], sizes[small]) + np.arange(sizes[small].sum())
-    end = np.repeat(ends[small], sizes[small])
-    for gap in range(1, SMALL):
-        inside = at + gap < end
-        at, end = at[inside], end[inside]
-        if not len(at):
-            break
-        far = _distance(rows, at, at + gap)
-        good = far < np.inf
-        count[at[good] + gap] += 1
-        keep(at[good] + gap, at[good], far[good])
-    for g in np.flatnonzero(sizes > SMALL).tolist():
-        for a in range(starts[g], ends[g], WIDE):
-            later = np.arange(a + 1, ends[g])
-            near = best[later] <= sure
-            unseen[later[near]] = True
-            later = later[~near]
-            x = np.arange(a, min(a + WIDE, ends[g]))
-            for b in range(0, len(later), TALL):
-                y = later[b : b + TALL]
-                yy, xx = np.broadcast_arrays(y[:, None], x)
-                far = np.where(xx < yy, _distance(rows, xx, yy), np.inf)
-                count[y] += (far < np.inf).sum(axis=1)
-                j = far.argmin(axis=1)
-                keep(y, x[j], far[np.arange(len(y)), j])
-    y = np.flatnonzero(count)
-    return y, at_x[y], best[y], (count[y] > 1) | unseen[y]
+    """In how many words, at least, two sets differ: by their counts in BUCKETS buckets, modulo 256 or modulo 2."""
+    if a.dtype == np.uint8:
+        apart = a - b
+        return np.minimum(apart, -apart).sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _near(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, far) of the pairs that pass the length, positional and count filters. far, up to 1: of the words in which
+    the sets may differ, how many their counts do differ in."""
+    n, room = rows["n"], rows["room"]
+    size = n[x] + n[y]
+    fits = (NUMERATOR + DENOMINATOR) * np.minimum(room[x], room[y]) >= NUMERATOR * size
+    x, y, size = x[fits], y[fits], size[fits]
+    small = np.minimum(n[x], n[y])
+    fits = DENOMINATOR * small >= NUMERATOR * (size - small)
+    x, y, size = x[fits], y[fits], size[fits]
+    differ = (DENOMINATOR + NUMERATOR) * _least_difference(rows["bits"][x], rows["bits"][y])
+    most = (DENOMINATOR - NUMERATOR) * size
+    near = differ <= most
+    return x[near], y[near], differ[near] / most[near]
+
+
+class _Found:
+    """Of each row: its nearest earlier row, the distance, how many there are, and whether it has a partner at all."""
+
+    def __init__(self, rank: np.ndarray) -> None:
+        n = len(rank)
+        self.rank, self.far, self.x = rank, np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+        self.count, self.active, self.unseen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def add(self, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> None:
+        """Pairs of which x is the earlier one."""
+        if not len(y):
+            return
+        self.active[x] = self.active[y] = True
+        self.count += np.bincount(y, minlength=len(self.count))
+        by = np.lexsort((self.rank[x], far, y))
+        x, y, far = x[by], y[by], far[by]
+        first = np.flatnonzero(np.diff(y, prepend=-1))
+        x, y, far = x[first], y[first], far[first]
+        nearer = (far < self.far[y]) | ((far == self.far[y]) & (self.rank[x] < self.rank[self.x[y]]))
+        self.far[y[nearer]], self.x[y[nearer]] = far[nearer], x[nearer]
+
+
+def _size_window(group: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: where, in its group, sizes from `least` to `most` begin and end. Rows are sorted by group and size."""
+    span = int(n.max(initial=0)) + 2
+    key = group * span + n
+    bound = lambda sizes, side: np.searchsorted(key, group * span + np.clip(sizes, 0, span - 1), side=side)
+    return bound(least, "left"), bound(most, "right")
+
+
+def _candidates(rows: dict[str, np.ndarray], rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, sure: float, wide: int) -> _Found:
+    """What each row of words' groups meets. rows are sorted by word and size; rank is their order by (doc_id, place)."""
+    n, room = rows["n"], rows["room"]
+    found, sizes = _Found(rank), ends - starts
+    group = np.repeat(np.arange(len(starts)), sizes)
+    least = (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR
+    # as the larger of two, a row reaches the sizes that its place in the prefix leaves room for
+    low, high = _size_window(group, n, least, ((DENOMINATOR + NUMERATOR) * room - NUMERATOR * n) // NUMERATOR)
+    high = np.minimum(high, np.arange(len(n)))
+    wide_group = sizes > wide
+    high[wide_group[group]] = 0
+    for x, y in _windows(low, high):
+        x, y, far = _near(rows, x, y)
+        swap = rank[x] > rank[y]
+        found.add(np.where(swap, y, x), np.where(swap, x, y), far)
+    for g in np.flatnonzero(wide_group).tolist():
+        own = np.arange(starts[g], ends[g])
+        heads = own[np.argsort(rank[own])[:HEADS]]
+        for a in range(0, len(own), PART):
+            y, x = (v.ravel() for v in np.broadcast_arrays(own[a : a + PART, None], heads))
+            later = rank[x] < rank[y]
+            found.add(*_near(rows, x[later], y[later]))
+        found.unseen[own] = found.far[own] <= sure
+        found.count[own] = 0  # those that go on meet the heads again
+    if wide_group.any():
+        low, high = _size_window(group, n, least, DENOMINATOR * n // NUMERATOR)
+        high[~wide_group[group] | found.unseen] = 0
+        for x, y in _windows(low, high):
+            later = rank[x] < rank[y]
+            found.add(*_near(rows, x[later], y[later]))
+    return found
+
+
+def by_keys(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups, of `least` rows or more, the last apart."""
+    held: list[pa.RecordBatch] = []
+    n_held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for k, c in zip(keys, columns):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
+        cuts = np.flatnonzero(new)
+        if len(cuts) and n_held + cuts[-1] >= least:
+            cut = int(cuts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, n_held, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n_held += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rows(table: pa.Table, keys: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(arrays, rank, starts, ends) of a table of whole groups."""
+    n = table.column("n").to_numpy().astype(np.int64)
+    rows = {"n": n, "room": n - table.column("pos").to_numpy(), "bits": _unpacked(table.column("bits"))}
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[np.lexsort((table.column("place").to_numpy(), table.column("doc_id").to_numpy()))] = np.arange(len(n))
+    new = np.zeros(len(n), dtype=bool)
+    new[0] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return rows, rank, starts, np.append(starts[1:], len(n))
 
 
 ENTRY = ("token", "doc_id", "place", "n", "pos", "bits")
-#: Classes of a prefix word that a task compares at once.
-PART = 4096
-PAIR = "y_id long, y_place long, x_id long, x_place long, far double, more boolean"
+MET = "doc_id long, place long, x_id long, x_place long, far double, more boolean, unseen boolean, active boolean"
 
 
 def entries_of(classes: DataFrame) -> DataFrame:
@@ -243,7 +383,7 @@ def entries_of(classes: DataFrame) -> DataFrame:
 
 def common_words(classes: DataFrame, part: int = PART) -> DataFrame:
     """(token, parts): prefix words of more than `part` classes, and in how many parts they are dealt."""
-    counts = entries_of(classes).groupBy("token").count().where(f"count > {part}")
+    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().where(f"count > {part}")
     return counts.select("token", F.ceil(F.col("count") / part).cast("int").alias("parts"))
 
 
@@ -259,153 +399,240 @@ def dealt(classes: DataFrame, common: DataFrame) -> DataFrame:
     return found.select(token.alias("token"), *ENTRY[1:], F.col("parts").isNotNull().alias("split"))
 
 
-def candidates(classes: DataFrame, common: DataFrame, sure: float = SURE) -> DataFrame:
-    """(y, x, far, more) for classes that share a prefix word: y's nearest candidate x by that word, and if it may have
-    more. In a word of several parts every class may have more, and comes with a null x if its part has none."""
-    rows_of = dealt(classes, common).repartition("token").sortWithinPartitions("token", "doc_id", "place")
+def _met(table: pa.Table, found: _Found, out: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
+    ids, places = table.column("doc_id").combine_chunks(), table.column("place").combine_chunks()
+    none = np.isinf(found.far[out])
+    x = pa.array(found.x[out], mask=none)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(out)),
+            places.take(pa.array(out)),
+            ids.take(x),
+            places.take(x),
+            pa.array(found.far[out]),
+            pa.array(found.count[out] > 1),
+            pa.array((found.unseen | split)[out]),
+            pa.array(found.active[out]),
+        ],
+        ["doc_id", "place", "x_id", "x_place", "far", "more", "unseen", "active"],
+    )
+
+
+def candidates(classes: DataFrame, common: DataFrame, sure: float = SURE, wide: int = WIDE) -> DataFrame:
+    """MET: the classes that meet a candidate by a prefix word, once a word: the nearest earlier one, if there is one,
+    whether there are more, whether some may be unseen, and whether the class is part of a pair (`active`)."""
+    rows_of = dealt(classes, common).repartition("token").sortWithinPartitions("token", "n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            token = rows.column("token").to_numpy()
-            starts = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
-            ends = np.append(starts[1:], len(token))
-            columns = {c: rows.column(c).to_numpy() for c in ("n", "pos", "bits")}
-            columns = {c: v.view(np.uint64) if c == "bits" else v.astype(np.int64) for c, v in columns.items()}
-            y, x, far, more = _candidates(columns, starts, ends, sure)
-            split = rows.column("split").to_numpy()
-            alone = split.copy()
-            alone[y] = False
-            alone = np.flatnonzero(alone)
-            far, more = np.append(far, np.full(len(alone), np.inf)), np.append(more | split[y], np.ones(len(alone), dtype=bool))
-            none = np.append(np.zeros(len(y), dtype=bool), np.ones(len(alone), dtype=bool))
-            y, x = pa.array(np.append(y, alone)), pa.array(np.append(x, alone), mask=none)
-            far, more = pa.array(far), pa.array(more)
-            if len(y):
-                ids, places = rows.column("doc_id").combine_chunks(), rows.column("place").combine_chunks()
-                yield pa.RecordBatch.from_arrays([ids.take(y), places.take(y), ids.take(x), places.take(x), far, more], ["y_id", "y_place", "x_id", "x_place", "far", "more"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token = batch.column("token").to_numpy()
-            cut = int(np.searchsorted(token, token[-1], side="left"))
-            if cut:
-                yield from settle(pa.Table.from_batches([*[b for t in held for b in t.to_batches()], batch.slice(0, cut)]))
-                held = []
-            elif held and held[-1].column("token")[0].as_py() != token[0]:
-                yield from settle(pa.concat_tables(held))
-                held = []
-            held.append(pa.Table.from_batches([batch.slice(cut)]))
-        if held:
-            yield from settle(pa.concat_tables(held))
+        for table in by_keys(batches, ("token",)):
+            found = _candidates(*_rows(table, ("token",)), sure, wide)
+            split = table.column("split").to_numpy()
+            out = np.flatnonzero(found.active | split)
+            if len(out):
+                yield _met(table, found, out, split)
 
-    return rows_of.mapInArrow(meet, PAIR)
+    return rows_of.mapInArrow(meet, MET)
 
 
-def _bucket(doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
-    mixed = (doc_id.view(np.uint64) * np.uint64(_ODD)) ^ (place.view(np.uint64) * np.uint64(0x94D049BB133111EB))
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def nearest(met: DataFrame) -> DataFrame:
+    """One row a class: (doc_id, place, x_id, x_place, more, unseen, active)."""
+    near = F.when(F.col("x_id").isNotNull(), F.struct("far", "x_id", "x_place"))
+    several = (F.max(near) != F.min(near)) | F.max("more")
+    found = met.groupBy("doc_id", "place").agg(F.min(near).alias("x"), F.coalesce(several, F.lit(False)).alias("more"), F.max("unseen").alias("unseen"), F.max("active").alias("active"))
+    return found.select("doc_id", "place", "x.x_id", "x.x_place", "more", "unseen", "active")
 
 
-def word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, place, words): the distinct word hashes, 64 bits each, of the lines at `places` (doc_id, place).
+def word_sets(docs: DataFrame, at: DataFrame, places: np.ndarray) -> DataFrame:
+    """(doc_id, place, n, bits, prefix, words): the words of the lines at `at` (doc_id, place), their rarest ones, and their
+    counts in BUCKETS buckets.
 
     The places are marked in a bitmap of 2^MARK_BITS bits, so that lines which nobody asks for are mostly passed over
-    where they are read, and no text is shuffled; joins on the exact place drop the others.
+    where they are read, and no text is shuffled; a join on the exact place drops the others.
     """
+    mix = lambda doc_id, place: (doc_id.view(np.uint64) * np.uint64(_ODD) ^ place.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = lambda doc_id, place: (mix(doc_id, place) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bucket(batch.column("doc_id").to_numpy(), batch.column("place").to_numpy())))], ["bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bucket(batch.column("doc_id").to_numpy(), batch.column("place").to_numpy())))], ["bucket"])
 
-    bits = np.zeros(1 << MARK_BITS, dtype=bool)
-    bits[places.mapInArrow(mark, "bucket long").distinct().toPandas()["bucket"].to_numpy(dtype=np.int64)] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    held = docs.sparkSession.sparkContext.broadcast((bitmap(at.mapInArrow(mark, "bucket long"), "bucket", MARK_BITS), places))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(held.value).view(bool)
+        marked, order = held.value
+        wanted, order = np.unpackbits(marked, bitorder="little").view(bool), order.astype(np.uint64)
         for batch in batches:
-            ids, marks, at = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy(), 0
+            ids, marks, seen = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy(), 0
             for block in blocks(_texts(batch)):
-                line, h, first = words_of(block)
-                n_lines = int(first[-1]) + block[-1].count("\n") + 1
-                doc = np.searchsorted(first, np.arange(n_lines), side="right") - 1
-                place = ((np.arange(n_lines) - first[doc]) << 32) | marks[at + doc]
-                asked = wanted[_bucket(ids[at + doc], place)]
-                h, line = h[asked[line]], line[asked[line]]
-                order = np.lexsort((h, line))
-                h, line = h[order], line[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                h, line = h[new], line[new]
-                if len(h):
-                    starts = np.flatnonzero(np.diff(line, prepend=-1))
-                    own = line[starts]
-                    words = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc[own]]), pa.array(place[own]), words], ["doc_id", "place", "words"])
-                at += len(block)
+                n_lines = np.array([t.count("\n") + 1 for t in block])
+                doc = np.repeat(np.arange(len(block)), n_lines)
+                own_ids, own_place = ids[seen + doc], ((np.arange(len(doc)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)) << 32) | marks[seen + doc]
+                asked = wanted[bucket(own_ids, own_place)]
+                if asked.any():
+                    chosen, own_ids, own_place = [x for x, a in zip("\n".join(block).split("\n"), asked.tolist()) if a], own_ids[asked], own_place[asked]
+                    for k in range(0, len(chosen), 1 << 14):
+                        some = slice(k, k + (1 << 14))
+                        yield sets(chosen[some], own_ids[some], own_place[some], order)
+                seen += len(block)
+
+    def sets(texts: list[str], ids: np.ndarray, place: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+        line, h, _ = words_of(texts)
+        of, h = _distinct(line, h, order)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        n, own = np.diff(starts, append=len(of)), of[starts]
+        counts = np.bincount(np.repeat(np.arange(len(starts)), n) * BUCKETS + (_again(h) >> np.uint64(57)).astype(np.int64), minlength=BUCKETS * len(starts))
+        taken, offsets = _taken(starts, prefix_size(n))
+        prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_prefix_tokens(h[taken])))
+        words = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+        parts = [pa.array(ids[own]), pa.array(place[own]), pa.array(n.astype(np.int32)), _binary(counts.astype(np.uint8).reshape(-1, BUCKETS)), prefix, words]
+        return pa.RecordBatch.from_arrays(parts, ["doc_id", "place", "n", "bits", "prefix", "words"])
+
+    found = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(read, "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
+    return found.join(at.select("doc_id", "place"), ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, place) of the pairs (with x_id, x_place) whose sets of words are similar enough."""
+    own = sets.select("doc_id", "place", "words")
+    x = own.select(F.col("doc_id").alias("x_id"), F.col("place").alias("x_place"), F.col("words").alias("x_words"))
+    common = F.size(F.array_intersect("words", "x_words"))
+    both = pairs.join(own, ["doc_id", "place"]).join(x, ["x_id", "x_place"])
+    return both.where(DENOMINATOR * common >= NUMERATOR * (F.size("words") + F.size("x_words") - common)).select("doc_id", "place").distinct()
+
+
+def meetings(x: DataFrame, y: DataFrame, part: int = PART) -> DataFrame:
+    """Entries x and y whose word both sides have, as cells (token, x_part, y_part) of at most about `part` rows a side."""
+    kinds = {"x": x, "y": y}
+    cells = None
+    for end, rows in kinds.items():
+        counts = rows.groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias(f"{end}_parts"))
+        cells = counts if cells is None else cells.join(counts, "token")
+    cells = staged(cells)
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    sides = []
+    for end, other in ("xy", "yx"):
+        rows = kinds[end].join(cells, "token").withColumn(f"{end}_part", part_of(F.col(f"{end}_parts"))).withColumn(f"{other}_part", every(f"{other}_parts"))
+        sides.append(rows.select(*ENTRY, "x_part", "y_part", F.lit(end == "y").alias("asks")))
+    return sides[0].unionByName(sides[1]).repartition("token", "x_part", "y_part").sortWithinPartitions("token", "x_part", "y_part", "n")
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(read, "doc_id long, place long, words array<long>")
 
+CELL = ("token", "x_part", "y_part")
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The y of pairs whose sets of words, read from the texts, are similar enough."""
-    ends = pairs.select(F.col("y_id").alias("doc_id"), F.col("y_place").alias("place"))
-    ends = ends.unionByName(pairs.select(F.col("x_id").alias("doc_id"), F.col("x_place").alias("place"))).distinct()
-    read = staged(word_sets(docs, ends).dropDuplicates(["doc_id", "place"]))
-    for end in "yx":
-        own = read.select(F.col("doc_id").alias(f"{end}_id"), F.col("place").alias(f"{end}_place"), F.col("words").alias(f"{end}_words"))
-        pairs = pairs.join(own, [f"{end}_id", f"{end}_place"])
-    common = F.size(F.array_intersect("y_words", "x_words"))
-    return pairs.where(DENOMINATOR * common >= NUMERATOR * (F.size("y_words") + F.size("x_words") - common)).select("y_id", "y_place").distinct()
 
+def _asked(table: pa.Table) -> Iterator[tuple[_Found, np.ndarray, np.ndarray]]:
+    """(what was found, x, y) of a table of whole cells: rows that ask, y, meet the earlier ones that don't, x."""
+    rows, rank, starts, ends = _rows(table, CELL)
+    asks, n = table.column("asks").to_numpy(), rows["n"]
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    low, high = _size_window(group, n, (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR, DENOMINATOR * n // NUMERATOR)
+    high[~asks] = 0
+    ids, places = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
+    found = _Found(rank)
+    for x, y in _windows(low, high):
+        later = ~asks[x] & ((ids[x] < ids[y]) | ((ids[x] == ids[y]) & (places[x] < places[y])))
+        x, y, far = _near(rows, x[later], y[later])
+        found.add(x, y, far)
+        yield found, x, y
+    yield found, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-def rest(classes: DataFrame, open_: DataFrame, common: DataFrame, part: int = PART) -> DataFrame:
-    """All pairs that pass the filters for the classes `open_` (y_id, y_place); for common words, a cell
-    of the join has a part of each side."""
-    opened = lambda e: e.join(open_, (F.col("doc_id") == F.col("y_id")) & (F.col("place") == F.col("y_place")), "left_semi")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    e = entries_of(classes)
-    rare, split = e.join(common, "token", "left_anti"), e.join(common, "token", "left_semi")
-    cells = opened(split).groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias("y_parts")).join(common, "token")
-    cells = staged(cells)
-    x = split.join(cells, "token").withColumns({"x_part": part_of(F.col("parts")), "y_part": every("y_parts")})
-    y = opened(split).join(cells, "token").withColumns({"y_part": part_of(F.col("y_parts")), "x_part": every("parts")})
-    named = lambda side, end, columns: side.select(*(F.col(c).alias(f"{end}_{c}") for c in columns))
-    earlier = F.struct("x_doc_id", "x_place") < F.struct("y_doc_id", "y_place")
-    size = F.col("x_n") + F.col("y_n")
-    room = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
-    near = (DENOMINATOR * F.least("x_n", "y_n") >= NUMERATOR * F.greatest("x_n", "y_n")) & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * size)
-    nibble = lambda c, k: F.shiftrightunsigned(c, k).bitwiseAND(F.lit(15))
-    apart = [F.pmod(nibble("x_bits", k) - nibble("y_bits", k), F.lit(16)) for k in range(0, 64, 4)]
-    differ = sum((F.least(p, 16 - p) for p in apart), F.lit(0))
-    bits = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * size
-    token, filters = F.col("x_token") == F.col("y_token"), earlier & near & bits
-    cell = token & (F.col("x_x_part") == F.col("y_x_part")) & (F.col("x_y_part") == F.col("y_y_part"))
-    wide = (*ENTRY, "x_part", "y_part")
-    pair = (F.col("y_doc_id").alias("y_id"), "y_place", F.col("x_doc_id").alias("x_id"), "x_place")
-    met = named(opened(rare), "y", ENTRY).join(named(rare, "x", ENTRY), token & filters).select(*pair)
-    return met.unionByName(named(y, "y", wide).join(named(x, "x", wide), cell & filters).select(*pair)).distinct()
-
-
-def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART) -> DataFrame:
+
+def asked_nearest(cells: DataFrame) -> DataFrame:
+    """MET of `meetings`: of each y its nearest x; x come as active."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_keys(batches, CELL):
+            for found, _, _ in _asked(table):
+                pass
+            out = np.flatnonzero(found.active)
+            if len(out):
+                yield _met(table, found, out, np.zeros(table.num_rows, dtype=bool))
+
+    return cells.mapInArrow(meet, MET)
+
+
+PAIR = "doc_id long, place long, x_id long, x_place long"
+
+
+def asked_pairs(cells: DataFrame) -> DataFrame:
+    """(doc_id, place, x_id, x_place): all pairs of `meetings` that pass the filters."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_keys(batches, CELL):
+            ids, places = table.column("doc_id").combine_chunks(), table.column("place").combine_chunks()
+            for _, x, y in _asked(table):
+                if len(y):
+                    x, y = pa.array(x), pa.array(y)
+                    yield pa.RecordBatch.from_arrays([ids.take(y), places.take(y), ids.take(x), places.take(x)], ["doc_id", "place", "x_id", "x_place"])
+
+    return cells.mapInArrow(meet, PAIR).distinct()
+
+
+def entries_among(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The entries of classes for prefix words that `tokens` (token) may hold: marked in a bitmap of 2^MARK_BITS bits."""
+    shift = 32 - MARK_BITS
+    marked = bitmap(tokens.select(F.shiftrightunsigned("token", shift).cast("long").alias("b")), "b", MARK_BITS)
+    held = classes.sparkSession.sparkContext.broadcast(marked)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(held.value, bitorder="little").view(bool)
+        for batch in batches:
+            prefix = batch.column("prefix")
+            token = prefix.flatten().to_numpy()
+            sizes = np.diff(prefix.offsets.to_numpy())
+            kept = np.flatnonzero(wanted[token.view(np.uint32) >> np.uint32(shift)])
+            if len(kept):
+                own = np.repeat(np.arange(len(sizes)), sizes)[kept]
+                pos = (kept - np.repeat(np.cumsum(sizes) - sizes, sizes)[kept]).astype(np.int32)
+                rows = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), *(batch.column(c).take(rows) for c in ("doc_id", "place", "n")), pa.array(pos), batch.column("bits").take(rows)], list(ENTRY))
+
+    return classes.select("doc_id", "place", "n", "bits", "prefix").mapInArrow(read, "token int, doc_id long, place long, n int, pos int, bits binary")
+
+
+def settled(sets: DataFrame, open_: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_id, place) of `open_` that are similar to one of the earlier `sets`: the nearest is verified first, then, of
+    what is left, every candidate."""
+    at = ["doc_id", "place"]
+    asks = staged(entries_of(sets.join(open_, at, "left_semi")))
+    cells = staged(meetings(entries_among(sets, asks.select("token")), asks, part))
+    met = staged(nearest(asked_nearest(again(cells))).where("x_id is not null"))
+    similar = staged(verified(met, sets))
+    left = staged(met.where("more").select(*at).join(similar, at, "left_anti"))
+    if not left.isEmpty():
+        kept = cells.where("not asks").unionByName(cells.where("asks").join(left, at, "left_semi"))
+        similar = staged(similar.unionByName(verified(asked_pairs(again(kept)), sets)))
+    forget(asks, cells, met, left)
+    return similar
+
+
+def again(cells: DataFrame) -> DataFrame:
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL, "n")
+
+
+def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
     """(doc_id, place) of each line to remove; place holds the line's number in its high half. Null ids come as NO_ID."""
+    at = ["doc_id", "place"]
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    lines = staged(lines_of(docs, rarity(docs)))
+    places = rarity(docs)
+    lines = staged(lines_of(docs, places))
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c"), F.count("*").alias("n_lines"))
     classes = staged(grouped.select("k1", "k2", "n_lines", "c.*"))
-    near = F.struct("far", "x_id", "x_place")
     common = staged(common_words(classes, part))
-    pairs = candidates(classes, common, sure).groupBy("y_id", "y_place").agg(F.min(near).alias("x"), (F.max(near) != F.min(near)).alias("several"), F.max("more").alias("more"))
-    pairs = staged(pairs.select("y_id", "y_place", "x.x_id", "x.x_place", (F.col("several") | F.col("more")).alias("more")))
-    similar = staged(verified(docs, pairs.where("x_id is not null").drop("more")))
-    open_ = staged(pairs.where("more").select("y_id", "y_place").join(similar, ["y_id", "y_place"], "left_anti"))
-    if not open_.isEmpty():
-        similar = similar.unionByName(staged(verified(docs, staged(rest(classes, open_, common, part)))))
-    gone = similar.select(F.col("y_id").alias("f_id"), F.col("y_place").alias("f_place"), F.lit(True).alias("gone"))
+    met = staged(nearest(candidates(classes, common, sure, wide)))
+    sets = staged(word_sets(docs, met.where("active"), places))
+    similar = staged(verified(met.where("x_id is not null"), sets))
+    left = staged(met.where("more or unseen").select(*at, "unseen").join(similar, at, "left_anti"))
+    unseen = left.where("unseen")
+    if not unseen.isEmpty():
+        asks = staged(entries_of(classes.join(unseen, at, "left_semi")))
+        others = asked_nearest(meetings(entries_among(classes, asks.select("token")), asks, part))
+        more = staged(nearest(others).select(*at).join(sets, at, "left_anti"))
+        sets = sets.unionByName(staged(word_sets(docs, more, places)))
+        forget(asks)
+    if not left.isEmpty():
+        similar = similar.unionByName(settled(sets, left.select(*at), part))
+    forget(common, met, left)
+    gone = similar.select(F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"), F.lit(True).alias("gone"))
     firsts = classes.select("k1", "k2", "n_lines", F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"))
     firsts = firsts.join(gone, ["f_id", "f_place"], "left").where("gone or n_lines > 1")
     found = lines.select("doc_id", "place", "k1", "k2").join(firsts, ["k1", "k2"])
@@ -423,8 +650,12 @@ def deduped(docs: DataFrame, into: str = "removed_lines") -> DataFrame:
     """`docs` with the texts less their removed lines, and a column of the removed lines' numbers (from 0)."""
     gone = removals(docs)
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_r_id")) & (text_mark() == F.col("_r_mark"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
-    clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))
     joined = docs.join(gone, on, "left").withColumn("text", clean)
     return joined.withColumn(into, F.coalesce("_removed", F.array().cast("array<int>"))).drop("_removed", "_r_id", "_r_mark")
 

@@ -42,9 +42,9 @@ def test_matches_brute_force(spark, documents):
     assert sum(map(len, expected.values())) > 50
 
 
-def test_many_candidates_take_the_join(spark, documents):
+def test_rows_that_drop_out_meet_all_others_again(spark, documents):
     texts = made(5, 40, 60)
-    found = line_dedup.removed_lines(documents(texts).select("doc_id", "text"), sure=-1.0).collect()
+    found = line_dedup.removed_lines(documents(texts).select("doc_id", "text"), sure=2.0, wide=3).collect()
     got = {i: [] for i in range(len(texts))}
     for r in found:
         got[r.doc_id].append(r.place >> 32)
