@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import small_batches
+
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of Latin-1 characters alone, with the classes written out, for the standard library's faster engine.
 _LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Distinct words whose encodings a task holds, in each of two generations, and pairs of tokens whose verdict it holds.
-HELD_WORDS, HELD_PAIRS = 250_000, 500_000
+HELD_WORDS, HELD_PAIRS = 150_000, 300_000
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 
@@ -170,7 +172,7 @@ def _with(docs: DataFrame, path: str, source: str, added: dict[str, str], work)
     Batches are taken a slice of about a million bytes at a time, so a batch of long texts isn't held several times over.
     The vocabulary file is read once, by the driver, and sent to the tasks (its size does not grow with the data).
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = small_batches(docs).sparkSession.sparkContext.broadcast(read_spec(path))
     kept = [c for c in docs.columns if c not in added]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema), *(f"`{c}` {kind}" for c, kind in added.items())])
 

@@ -76,6 +76,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """`docs`. From now on the session's Arrow batches hold about BATCH_BYTES, so that a batch of long texts takes little
+    memory outside the heap and in the Python workers, whatever the number of its rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once a row and use it in `body`, lambdas included."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -136,8 +147,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
     dice = F.pmod(F.xxhash64(F.lit("labels"), doc_id), F.lit(1 << 30)) / float(1 << 30)
     part = F.coalesce(*(F.when(F.col("label") == k, min(1.0, rows / n)) for k, n in sorted(counts.items())))
     chosen = known.where(dice < part)
-    found = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen.limit(4 * rows)), doc_id)
-    frame = found.select("text", "label").limit(4 * rows).toPandas()
+    chosen = chosen.orderBy(dice, doc_id).limit(4 * rows)  # the bounds, should they be met, take the same rows again
+    found = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen), doc_id)
+    frame = found.select("text", "label", doc_id, F.xxhash64("text").alias("mark")).orderBy(doc_id, "mark").limit(4 * rows).toPandas()[["text", "label"]]
     frame["text"] = frame["text"].fillna("")
     frame = frame.sort_values(["text", "label"], ignore_index=True)
     taken = frame["label"].value_counts()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bitmap, blocks, forget, let, pieces, staged
+from loomtext.llm.common import bitmap, blocks, forget, let, pieces, small_batches, staged
 
 LEAST_WORDS, LEAST_JOINED = 1, 4
 #: The threshold as a fraction, 4/5: sizes and overlaps are compared in integers.
@@ -612,7 +612,7 @@ def again(cells: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
     """(doc_id, place) of each line to remove; place holds the line's number in its high half. Null ids come as NO_ID."""
     at = ["doc_id", "place"]
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     places = rarity(docs)
     lines = staged(lines_of(docs, places))
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c"), F.count("*").alias("n_lines"))

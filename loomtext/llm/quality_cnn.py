@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, labelled_sample, remainder
+from loomtext.llm.common import blocks, labelled_sample, remainder, small_batches
 
 CHUNK, OVERLAP = 320, 64
 WIDTH, FILTERS = 6, 16
@@ -147,7 +147,7 @@ def scored(docs: DataFrame, net: Net | None, text: str = "text", into: str = "qu
     """`docs` with a double column: how likely the whole text is of label 1."""
     if net is None:
         return docs.withColumn(into, F.lit(0.5))
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,7 +6,8 @@ are sent to the tasks as two short arrays (at most BUCKETS entries, whatever the
 
 It learns from a bounded sample of labelled rows (about ROWS_PER_CLASS of each label, chosen by a hash of the id,
 each weighed so that the labels keep their shares). Null and empty texts have no features and get the base rate.
-With no labels every score is 0. Rows that repeat get equal scores.
+With no labels every score is 0. Rows that repeat get equal scores. An empty table gives an empty result. A very long text
+is hashed in pieces that end between words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, labelled_sample, remainder
+from loomtext.llm.common import blocks, labelled_sample, pieces, remainder, small_batches
+from loomtext.llm.line_dedup import powers
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -28,7 +30,6 @@ ROWS_PER_CLASS, EPOCHS = 5_000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
 ODD = 0x9E3779B97F4A7C15
-INVERSE = pow(ODD, -1, 1 << 64)
 
 
 class Weights(NamedTuple):
@@ -47,32 +48,25 @@ def letter_bytes() -> np.ndarray:
     return table
 
 
-@cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    up, down = np.full(n, ODD, dtype=np.uint64), np.full(n, INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, bucket) of all features of a block of texts, repeats included."""
-    joined = ("\n".join(texts) + "\n").encode()
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    sizes = [len(t.encode()) + 1 for t in texts]
-    c = letter_bytes()[raw]
-    inside = c > 0
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    up, down = powers(1 << int(len(raw)).bit_length())
-    run = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(c * up[: len(raw)], dtype=np.uint64, out=run[1:])
-    h = (run[ends] - run[starts]) * down[starts]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    text_ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+    hashes, own, at = [], [], 0
+    for raw, _ in pieces(("\n".join(texts) + "\n").encode()):
+        c = letter_bytes()[raw]
+        inside = np.zeros(len(raw) + 2, dtype=np.int8)
+        inside[1:-1] = c > 0
+        edge = np.flatnonzero(np.diff(inside))
+        starts, ends = edge[::2], edge[1::2]
+        up, down = powers(len(raw) + 1)
+        run = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(c * up[: len(raw)], dtype=np.uint64, out=run[1:])
+        h = (run[ends] - run[starts]) * down[starts]
+        h ^= h >> np.uint64(29)
+        hashes.append(h * np.uint64(0xBF58476D1CE4E5B9))
+        own.append(np.searchsorted(text_ends, at + starts, side="right"))
+        at += len(raw)
+    doc, h = np.concatenate(own), np.concatenate(hashes)
     docs, grams = [doc], [h]
     for gap, mix in ((1, 0x94D049BB133111EB), (2, 0xD6E8FEB86659FD93)):
         near = doc[gap:] == doc[:-gap]
@@ -129,7 +123,7 @@ def scored(docs: DataFrame, weights: Weights | None, text: str = "text", into: s
     """`docs` with a double column: how likely the whole text is toxic."""
     if weights is None:
         return docs.withColumn(into, F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
