@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, remainder
+from loomtext.llm.common import blocks, remainder, small_batches
 
 #: Unicode ranges of scripts, by block (fixed values).
 SCRIPTS = (
@@ -208,7 +208,8 @@ def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, doc_id: str = "doc_id
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     shares = known.groupBy(lang).agg(F.least(F.lit(1.0), rows / F.count("*")).alias("_share"))
     dice = F.pmod(F.xxhash64(F.col(doc_id), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    return known.join(shares, lang).where(dice < F.col("_share")).select(docs.columns)
+    # broadcast: a row a language, which is nothing beside the model's 0.5 MB a language; texts aren't dealt by language
+    return known.join(F.broadcast(shares), lang).where(dice < F.col("_share")).select(docs.columns)
 
 
 def trained(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
@@ -220,7 +221,7 @@ def trained(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, text: str = "text",
 
 def identified(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """`docs` with a struct column: lang, score and spans (lang, start, end in characters) of the whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     most = SCORED // max(4, len(model.languages))
     kind = "lang string, score double, spans array<struct<lang: string, start: int, end: int>>"
 
@@ -247,7 +248,9 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose language can't be told (null texts, texts without a letter). Columns stay."""
+def labelled(docs: DataFrame, lang: str = "lang") -> DataFrame:
+    """`docs` with the predicted language as `lang`, without those whose language can't be told (null texts, texts
+    without a letter). Columns stay."""
     model = trained(docs.where(~held_out()))
-    return identified(docs, model, into="_language").where("_language.lang <> 'und'").drop("_language")
+    found = identified(docs, model, into="_language").where("_language.lang <> 'und'")
+    return found.withColumn(lang, F.col("_language.lang")).select(docs.columns)

@@ -29,7 +29,7 @@ def test_language(spark):
     assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002)} == {"und"}
     assert {r.lang_pred for r in got if r.doc_id == 1003} == {"ru"} and all(0 <= r.score <= 1 for r in got)
     assert langid.digest(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in langid.keep_known(docs).collect())[-3:] == [399, 1003, 1003]
+    assert sorted(r.doc_id for r in langid.labelled(docs).collect())[-3:] == [399, 1003, 1003]
     model = langid.trained(docs)
     mixed = prose(rnd, "en", 40) + " " + prose(rnd, "es", 40)
     spans = langid.label_block([mixed], model)[0][2]
