@@ -3,12 +3,17 @@
 A document's fingerprint holds, bit by bit, the majority of the XXH64 values of its word shingles. Two
 fingerprints link at a distance of RADIUS or less; a group is what links reach.
 
-The index: a fingerprint is cut into segments, and for each segment the small Hamming ball (one flipped bit)
-around the segment's value is enumerated, the other segments as they are. Both the stored and the looked-up
-fingerprints are entered so, since a table keyed by one segment alone returns every pair of a large group of
-near copies that share the segment, which is quadratic. Two fingerprints at distance 2 or less meet under at
-least one key (at distance 2: each flipped at one of the two bits), and those that meet under a key are at a
-distance of 2 or less, which is verified on the whole fingerprints. A key has 65 members at most.
+The index: a fingerprint is cut into SEGMENTS halves, with a table for each, keyed by the half's value. Two fingerprints
+at distance 2 or less differ in at most one bit of one of their halves, so for each half the small Hamming ball around
+its value is enumerated and looked up in the half's table, and the complete distance of what is found is verified. (A
+bit that differs is 0 in one of the two, so only bits that are 0 are flipped: the other one's look-up would find the
+same pair.)
+
+A table entry of more than HOT fingerprints, as near copies share a half, isn't returned whole. It is indexed again by
+the other half: its fingerprints enter under that half's ball, those whose look-up reached it by a flipped bit under
+that half's value alone. All that meet under such a key are within 2 bits of each other, at most 65 of them, so each is
+linked to the smallest. No link is lost: two fingerprints of an entry that differ in two bits meet under the key
+between them.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share their fingerprint and
 group. An empty table gives an empty result. Null ids stay; a group of null ids only has a null component.
@@ -20,13 +25,13 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import near
-from loomtext.llm.common import components, staged
+from loomtext.llm.common import components, small_batches, staged
 
-SEGMENTS, BITS, RADIUS = 4, 64, 2
+SEGMENTS, BITS, RADIUS, HOT = 2, 64, 2, 16
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -57,18 +62,40 @@ def fingerprints(docs: DataFrame, words: int = 5, text: str = "text", into: str
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, words) for t in texts], dtype="int64")
 
-    return docs.withColumn(into, prints(F.col(text)))
+    return small_batches(docs).withColumn(into, prints(F.col(text)))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _half(fp: Column, s: int | Column) -> Column:
+    """A half's value, as a long from 0."""
+    low = fp.bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned(fp, BITS // SEGMENTS)
+    return (low, high)[s] if isinstance(s, int) else F.when(s == 0, low).otherwise(high)
+
+
+def _ball(value: Column, only_zero_bits: bool = False) -> Column:
+    """All values of a half with one bit flipped."""
+    bits = F.sequence(F.lit(0), F.lit(BITS // SEGMENTS - 1))
+    flipped = F.transform(bits, lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return F.filter(flipped, lambda v: v > value) if only_zero_bits else flipped
+
+
+def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `fp` within RADIUS of each other."""
-    width = BITS // SEGMENTS
-    balls = [
-        F.expr(f"transform(sequence(0, {width - 1}), i -> fp ^ shiftleft(1L, i + {s * width}))") for s in range(SEGMENTS)
-    ]
-    entries = prints.select("fp", F.explode(F.concat(F.array("fp"), *balls)).alias("key"))
-    met = entries.withColumn("first", F.expr("min(fp) over (partition by key)")).where("first <> fp")
-    return met.where(f"bit_count(fp ^ first) <= {RADIUS}").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
+    fp, half = F.col("fp"), F.col("half")
+    halves = F.array(*(F.struct(F.lit(s).alias("s"), _half(fp, s).alias("half")) for s in range(SEGMENTS)))
+    table = prints.select("fp", F.explode(halves).alias("e")).select("fp", "e.s", "e.half")
+    found = table.select("fp", "s", F.explode(F.concat(F.array(half), _ball(half, only_zero_bits=True))).alias("half"), half.alias("own"))
+    crowded = staged(table.groupBy("s", "half").count().where(f"count > {hot}").select("s", "half"))
+    stored = table.join(crowded, ["s", "half"], "left_anti").withColumnRenamed("fp", "other")
+    pairs = found.join(stored, ["s", "half"]).where((half != F.col("own")) | (fp < F.col("other")))
+    pairs = pairs.where(F.bit_count(fp.bitwiseXOR(F.col("other"))) <= RADIUS).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+
+    rest = _half(fp, 1 - F.col("s"))
+    keys = F.when(half == F.col("own"), F.concat(F.array(rest), _ball(rest))).otherwise(F.array(rest))
+    again = found.join(crowded, ["s", "half"], "left_semi").select("fp", "s", "half", F.explode(keys).alias("rest"))
+    met = again.withColumn("first", F.min("fp").over(Window.partitionBy("s", "half", "rest"))).where("first <> fp")
+    met = met.where(F.bit_count(fp.bitwiseXOR(F.col("first"))) <= RADIUS).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return pairs.unionByName(met).distinct()
 
 
 def grouped(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,6 +56,37 @@ def test_links_cover_chains(spark):
     assert roots[-1] == roots[-2] != roots[0]
 
 
+def test_crowded_table_entries(spark):
+    from loomtext.llm.common import components
+
+    rnd = random.Random(11)
+    bases = [rnd.getrandbits(64) for _ in range(4)]
+    prints = {rnd.choice(bases) ^ sum({1 << rnd.choice([*range(6), *range(30, 36)]) for _ in range(rnd.randint(0, 5))}) for _ in range(220)}
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if a < b and bin(a ^ b).count("1") <= 2:
+                root[find(a)] = find(b)
+    signed = lambda p: p - (1 << 64) if p >= 1 << 63 else p
+    rows = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    expected = {}
+    for p in prints:
+        expected.setdefault(find(p), set()).add(signed(p))
+    for hot in (1, 8, 1000):
+        edges = simhash.links(rows, hot).collect()
+        assert all(bin((r.a ^ r.b) & ((1 << 64) - 1)).count("1") <= 2 for r in edges)
+        got = {}
+        for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
+            got.setdefault(r.root, set()).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
+
+
 def test_empty_and_keep_first(spark, documents):
     empty = documents([]).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(0))
     assert simhash.digest(empty).count() == 0
