@@ -1,41 +1,46 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Equal vectors are one node, so repeated vectors cost nothing and ties among them are exact. The graph starts from
-random-projection cells: trees fitted on a bounded sample (SAMPLE nodes) deal every node into cells, and the nodes of
-a cell are compared. Then NN-descent: in each round every node's list of neighbours, in both directions, meets at
-that node by a join, the pairs that stand in it are compared, and each node keeps its nearest. The reverse part of
-a list holds the REVERSE nearest, as the method has it. A query walks the graph greedily: it keeps its EF nearest
-nodes so far, and each step fetches the neighbours of the nearest not yet expanded by a join, until none is left.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length isn't
-the most common one. Distances are Euclidean, in double precision. Ties go to the smaller id. Rows that repeat an id
-and a vector are answered once. Null ids take no part. An empty table gives an empty result; a table of up to
-ENTRIES distinct vectors is searched exactly.
+random-projection cells: trees fitted on a bounded sample (SAMPLE nodes) deal every node into cells; a cell that is still
+too large, as cells are when the table is much larger than the sample, is halved again and again by two of its own nodes
+(plain aggregates and a join by cell), so cells don't grow with the table. The nodes of a cell are compared. Then
+NN-descent: in each round every node's list of neighbours, in both directions, meets at that node by a join, the pairs
+that stand in it are compared, and each node keeps its nearest. Rounds go on until no more than CHANGED of all links are
+new. The reverse part of a list holds the REVERSE nearest, as the method has it. A query walks the graph greedily: it
+keeps its EF nearest nodes so far, and each step fetches the neighbours of the nearest not yet expanded by a join, until
+none is left.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Distances are Euclidean, in double
+precision, between vectors of equal length; those of another length have none and are searched among themselves. Ties go
+to the smaller id. Rows that repeat an id, with the same vector or another, are rows of their own: each is a candidate of
+the others, and each is answered if its id is a query's. Null ids take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import cut, staged
+from loomtext.llm.common import cut, forget, staged
 
-SAMPLE, TREES, CELL, DEGREE, REVERSE, NEAR, ROUNDS = 16_384, 4, 150, 32, 24, 12, 2
-EF, EXPAND, ENTRIES, MOST_STEPS = 192, 48, 256, 25
+SAMPLE, TREES, CELL, DEGREE, REVERSE, NEAR, CHANGED = 16_384, 4, 150, 32, 24, 12, 0.05
+EF, EXPAND, ENTRIES = 192, 48, 256
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, vec) of the vectors that take part, vec in double precision."""
+    """(row, vec_id, vec, node, size) of the rows that take part; equal vectors have equal nodes."""
     v = F.col(embedding)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(vec_id).isNotNull() & v.isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vec"))
-    common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (common["n"] if common else -1)).distinct()
+    positive_zero = F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    rows = vectors.where(F.col(vec_id).isNotNull() & v.isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), positive_zero.alias("vec"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec", F.xxhash64("vec").alias("node"), F.size("vec").alias("size"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -123,8 +128,22 @@ def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["a", "b", "d"]) if parts else None
 
 
+def split_cells(dealt: DataFrame, most: int) -> DataFrame:
+    """(cell, node, vec) with cells of more than `most` nodes halved, by which of two of its nodes is nearer, until none is left."""
+    while True:
+        dealt = staged(dealt)
+        large = dealt.groupBy("cell").count().where(f"count > {most}").select("cell")
+        dice = F.xxhash64("cell", "node")
+        ends = dealt.join(large, "cell").groupBy("cell").agg(F.min_by("vec", dice).alias("one"), F.max_by("vec", dice).alias("two"))
+        ends = staged(ends)
+        if ends.isEmpty():
+            return dealt
+        side = (distance("vec", "one") <= distance("vec", "two")).cast("int")
+        dealt = dealt.join(ends, "cell", "left").select(F.when(F.col("one").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", side)).alias("cell"), "node", "vec")
+
+
 def started(nodes: DataFrame, n_nodes: int, k: int = DEGREE, cell: int = CELL, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """(a, b, d): each node's nearest within its cells; in a cell that is large all the same, halves are compared."""
+    """(a, b, d): each node's nearest within its cells, which have no more than four times `cell` nodes."""
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).toPandas()
     v = np.array(chosen["vec"].tolist(), dtype=np.float64)
     leaf = max(8, cell * len(v) // max(n_nodes, 1))
@@ -139,28 +158,19 @@ def started(nodes: DataFrame, n_nodes: int, k: int = DEGREE, cell: int = CELL, t
                     yield pa.RecordBatch.from_arrays([key, batch.column("node"), batch.column("vec")], ["cell", "node", "vec"])
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, vecs = rows.column("node").to_numpy(), matrix(rows.column("vec"))
-        stack, out = [np.arange(len(ids))], []
-        while stack:
-            part = stack.pop()
-            if len(part) > 4 * cell:
-                own = vecs[part]
-                along = own @ (own[0] - own[((own - own[0]) ** 2).sum(1).argmax()])
-                order = np.argsort(along, kind="stable")
-                stack += [part[order[: len(order) // 2]], part[order[len(order) // 2 :]]]
-            elif len(part) > 1:
-                out.append(_pairs(ids[part], squared(vecs[part]), k))
-        return _batch(out)
-
-    dealt = nodes.mapInArrow(deal, f"cell long, node long, vec {dict(nodes.dtypes)['vec']}")
-    return nearest(by_group(dealt, ["cell"], ["node"], compare, PAIRS), k)
+        if rows.num_rows < 2:
+            return None
+        return _batch([_pairs(rows.column("node").to_numpy(), squared(matrix(rows.column("vec"))), k)])
+
+    dealt = split_cells(nodes.mapInArrow(deal, f"cell long, node long, vec {dict(nodes.dtypes)['vec']}"), 4 * cell)
+    return nearest(by_group(dealt, ["cell"], ["node"], compare, PAIRS).withColumn("fresh", F.lit(True)), k)
 
 
 def nearest(pairs: DataFrame, k: int = DEGREE) -> DataFrame:
-    """(a, b, d): each a's k nearest of its distinct b."""
-    once = pairs.groupBy("a", "b").agg(F.min("d").alias("d"))
+    """(a, b, d, fresh): each a's k nearest of its distinct b; fresh if the pair was in no graph before."""
+    once = pairs.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return once.withColumn("rank", rank).where(f"rank <= {k}").select("a", "b", "d")
+    return once.withColumn("rank", rank).where(f"rank <= {k}").select("a", "b", "d", "fresh")
 
 
 def descended(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
@@ -175,18 +185,19 @@ def descended(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, reverse: int
             return None
         return _batch([_pairs(rows.column("m").to_numpy(), squared(matrix(rows.column("vec"))), NEAR)])
 
-    return nearest(graph.unionByName(by_group(lists, ["at"], ["m"], compare, PAIRS)), k)
+    met = by_group(lists, ["at"], ["m"], compare, PAIRS).withColumn("fresh", F.lit(True))
+    return nearest(graph.withColumn("fresh", F.lit(False)).unionByName(met), k)
 
 
-def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b, d): the neighbour graph of (node, vec)."""
-    n_nodes = nodes.count()
-    if n_nodes <= ENTRIES:
-        return nodes.sparkSession.createDataFrame([], PAIRS)
-    graph = staged(started(nodes, n_nodes))
-    for _ in range(rounds):
-        graph = staged(descended(graph, nodes))
-    return graph
+def graph_of(nodes: DataFrame, changed: float = CHANGED) -> DataFrame:
+    """(a, b, d, fresh): the neighbour graph of (node, vec)."""
+    graph = staged(started(nodes, nodes.count()))
+    while True:
+        before, graph = graph, staged(descended(graph, nodes))
+        forget(before)
+        new, links = graph.agg(F.count_if("fresh"), F.count("*")).first()
+        if new <= changed * links:
+            return graph
 
 
 def distance(a: str, b: str):
@@ -226,27 +237,35 @@ def searched(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = E
 
     start = queries.select("query_id", F.explode(F.array_union(seeds("vec"), F.array_compact(F.array(F.col("own"))))).alias("node")).distinct()
     beam = cut(best(measured(start).withColumn("done", F.lit(False)), ef))
-    for _ in range(MOST_STEPS):
+    while True:
         frontier = beam.where("open").select("query_id", F.col("node").alias("a"))
         fresh = frontier.join(graph, "a").select("query_id", F.col("b").alias("node")).distinct()
         fresh = fresh.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti")
         old = beam.select("query_id", "node", "d", (F.col("done") | F.col("open")).alias("done"))
         beam = cut(best(old.unionByName(measured(fresh).withColumn("done", F.lit(False))), ef))
         if beam.where("open").isEmpty():
-            break
-    return beam.select("query_id", "node", "d")
+            return beam.select("query_id", "node", "d")
 
 
 def neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """What query op7 returns: the k nearest found of each row whose id is divisible by `every`."""
     rows = staged(valid(vectors))
-    nodes = staged(rows.groupBy("vec").agg(F.min("vec_id").alias("node")).select("node", "vec"))
-    members = rows.join(nodes, "vec").select("node", "vec_id")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    members = staged(members.withColumn("rank", rank).where(f"rank <= {k + 1}").select("node", "vec_id"))
-    queries = rows.where(f"vec_id % {every} = 0").join(nodes.withColumnRenamed("node", "own"), "vec").select(F.col("vec_id").alias("query_id"), "vec", "own")
+    sizes = [r["size"] for r in rows.select("size").distinct().orderBy("size").collect()]  # one row a length of vector
+    found = [_neighbours(rows.where(F.col("size") == n), every, k) for n in sizes or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _neighbours(rows: DataFrame, every: int, k: int) -> DataFrame:
+    nodes = staged(rows.groupBy("node").agg(F.first("vec").alias("vec")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id", "row"))
+    members = staged(rows.select("node", "vec_id", "row", rank.alias("rank")).where(f"rank <= {k + 1}").select("node", "vec_id", "row"))
+    asked = rows.where(f"vec_id % {every} = 0")
+    queries = staged(asked.select(F.col("row").alias("query_id"), "vec", F.col("node").alias("own")))
+    if queries.isEmpty():
+        return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
     found = searched(graph_of(nodes), nodes, queries)
-    nearest_ = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node"))).where(f"rank <= {k + 1}")
-    listed = nearest_.select("query_id", "node", "d").join(members, "node").where("vec_id <> query_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
-    return listed.select("query_id", place.cast("int").alias("rank"), "vec_id", F.col("d").alias("score")).where(f"rank <= {k}")
+    listed = found.join(members, "node").where("row <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id", "row"))
+    ranked = listed.select("query_id", place.cast("int").alias("rank"), "vec_id", F.col("d").alias("score")).where(f"rank <= {k}")
+    own = asked.select("row", F.col("vec_id").alias("own_id"))
+    return ranked.join(own, F.col("query_id") == F.col("row")).select(F.col("own_id").alias("query_id"), "rank", "vec_id", "score")

@@ -40,6 +40,25 @@ def test_small_tables_are_exact(spark):
     assert ann.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ids_and_lengths_that_repeat(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 3.0]), (5, [1.0, 1.0]), (None, [1.0, 0.5]), (10, [1.0]), (7, [4.0]), (8, [-0.0]), (9, [0.0, 3.0])]
+    found = ann.neighbours(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), every=10).collect()
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in found)
+    far, side, up = round(10**0.5, 6), round(5**0.5, 6), 1.0
+    first = [(0, 1, 0, 0.0), (0, 2, 5, up), (0, 3, 0, far), (0, 4, 9, far)]
+    assert got == sorted([*first, *first, (0, 1, 9, 0.0), (0, 2, 5, side), (0, 3, 0, far), (0, 4, 0, far), (10, 1, 7, 3.0)])
+
+
+def test_large_cells_are_halved(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 6)).astype(np.float32))]
+    nodes = spark.createDataFrame(rows, "node long, vec array<float>").withColumn("cell", F.lit(7).cast("long"))
+    cells = ann.split_cells(nodes.select("cell", "node", "vec"), 100)
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 100 and cells.select("node").distinct().count() == 900
+    got, expected = collected(ann._neighbours(nodes.select(F.col("node").alias("row"), F.col("node").alias("vec_id"), "vec", "node"), 50, 10)), brute(rows, 50, 10)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected) >= 0.9 * 10 * len(expected)
+
+
 def test_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(10, 16))
