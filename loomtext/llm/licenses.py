@@ -34,22 +34,65 @@ class Template(NamedTuple):
     mandatory: str
 
 
-#: Notices by which licenses are named or granted (fixed values, quoted from the licenses themselves).
-TEMPLATES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international", "creative commons attribution noncommercial"),
-    Template("cc-by", "creative commons attribution 4 0 international", "creative commons attribution 4"),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2", "under the terms of the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy modify and or distribute"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+#: Notices by which licenses are named or granted and sentences of their texts: label, text, mandatory phrase (fixed
+#: values, quoted from the licenses themselves, in the words of `words_of`).
+NOTICES = """
+mit | released under the mit license | mit license
+mit | spdx license identifier mit | license identifier mit
+mit | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction | permission is hereby granted free of charge to any person obtaining
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | this permission notice shall be included in all copies
+apache-2 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license | apache license version 2
+apache-2 | spdx license identifier apache 2 0 | license identifier apache 2
+apache-2 | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license | each contributor hereby grants to you a perpetual worldwide
+cc-by-nc | licensed under cc by nc 4 0 | cc by nc
+cc-by-nc | creative commons attribution noncommercial 4 0 international | creative commons attribution noncommercial
+cc-by-nc-sa | creative commons attribution noncommercial sharealike 4 0 international | attribution noncommercial sharealike
+cc-by-nc-nd | creative commons attribution noncommercial noderivatives 4 0 international | attribution noncommercial noderivatives
+cc-by-sa | creative commons attribution sharealike 4 0 international | creative commons attribution sharealike
+cc-by-sa | licensed under cc by sa 4 0 | cc by sa
+cc-by-nd | creative commons attribution noderivatives 4 0 international | creative commons attribution noderivatives
+cc-by | creative commons attribution 4 0 international | creative commons attribution 4
+cc-by | licensed under cc by 4 0 | cc by 4
+cc0 | creative commons cc0 1 0 universal public domain dedication | cc0 1 0 universal
+gpl-2 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license | gnu general public license as published by the free software foundation either version 2
+gpl-2 | under the terms of the gnu general public license version 2 | gnu general public license version 2
+gpl-3 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license | gnu general public license as published by the free software foundation either version 3
+gpl-3 | this work is licensed under the gnu general public license version 3 | gnu general public license version 3
+lgpl | under the terms of the gnu lesser general public license | gnu lesser general public license
+lgpl | under the terms of the gnu library general public license | gnu library general public license
+agpl-3 | under the terms of the gnu affero general public license as published by the free software foundation either version 3 | gnu affero general public license
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license | gnu free documentation license
+mpl-1 | the contents of this file are subject to the mozilla public license version 1 1 | mozilla public license version 1
+mpl-2 | this source code form is subject to the terms of the mozilla public license v 2 0 | mozilla public license v 2
+mpl-2 | mozilla public license version 2 0 | mozilla public license version 2
+bsd | redistribution and use in source and binary forms with or without modification are permitted | redistribution and use in source and binary forms
+bsd-3 | may be used to endorse or promote products derived from this software without specific prior written permission | endorse or promote products derived from this software
+bsd-4 | all advertising materials mentioning features or use of this software must display the following acknowledgement | advertising materials mentioning features or use
+isc | permission to use copy modify and or distribute this software for any purpose with or without fee | permission to use copy modify and or distribute
+hpnd | permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee | distribute and sell this software and its documentation
+postgresql | to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | without a written agreement is hereby granted
+zlib | in no event will the authors be held liable for any damages arising from the use of this software | in no event will the authors be held liable
+zlib | altered source versions must be plainly marked as such and must not be misrepresented as being the original software | altered source versions must be plainly marked
+boost | distributed under the boost software license version 1 0 | boost software license
+boost | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation | any person or organization obtaining a copy of the software
+epl-1 | made available under the terms of the eclipse public license v1 0 | eclipse public license v1
+epl-2 | made available under the terms of the eclipse public license 2 0 | eclipse public license 2
+cddl | subject to the terms of the common development and distribution license | common development and distribution license
+eupl | licensed under the european union public licence version 1 2 | european union public licence
+ofl | this font software is licensed under the sil open font license version 1 1 | sil open font license
+artistic-2 | this is free software under the terms of the artistic license 2 0 | artistic license 2
+psf | python software foundation license version 2 | python software foundation license
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit | software developed by the openssl project
+ncsa | university of illinois ncsa open source license | ncsa open source license
+ms-pl | released under the microsoft public license ms pl | microsoft public license
+odbl | made available under the open data commons open database license | open database license
+unlicense | this is free and unencumbered software released into the public domain | free and unencumbered software
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software | anyone is free to copy modify publish
+busl | licensed under the business source license 1 1 | business source license
+sspl | subject to the terms of the server side public license | server side public license
+elastic-2 | licensed under the elastic license 2 0 | elastic license 2
+"""
+TEMPLATES = tuple(Template(*(part.strip() for part in row.split("|"))) for row in NOTICES.strip().split("\n"))
 #: Rarest words of a template that the index holds, how many of them the mandatory phrase has at least, votes needed.
 INDEXED, MANDATORY, VOTES = 4, 2, 2
 
@@ -126,17 +169,21 @@ def voted(words: Column, index: list[tuple[str, list[tuple[int, int]]]]) -> Colu
         return F.sort_array(votes)
 
     def verify(votes: Column) -> Column:
-        agreed = F.filter(
-            votes,
-            lambda v, k: F.coalesce((F.get(votes, k + (VOTES - 1)) == v) & ((k == 0) | (F.get(votes, k - 1) != v)), F.lit(False)),
-        )
+        """votes are sorted, so those that agree lie together: a run's length is the next run's start less its own."""
+        begins = F.filter(F.transform(votes, lambda v, k: F.when((k == 0) | (F.get(votes, k - 1) != v), k)), lambda k: k.isNotNull())
+
+        def runs(starts: Column) -> Column:
+            length = lambda k, j: F.coalesce(F.get(starts, j + 1), F.size(votes)) - k
+            return F.transform(starts, lambda k, j: F.struct(F.get(votes, k).alias("v"), length(k, j).alias("hits")))
+
+        agreed = F.filter(let(begins, runs), lambda r: r["hits"] >= VOTES)
 
-        def place(v: Column) -> Column:
+        def place(run: Column) -> Column:
+            v = run["v"]
             size = F.get(F.array(*(F.lit(len(t.text.split())) for t in TEMPLATES)), v["t"])
             passage = F.concat(F.lit(" "), F.array_join(F.slice(words, F.greatest(v["at"], F.lit(0)) + 1, size + F.least(v["at"], F.lit(0))), " "), F.lit(" "))
             mandatory = F.get(F.array(*(F.lit(f" {t.mandatory} ") for t in TEMPLATES)), v["t"])
-            hits = F.size(F.filter(votes, lambda x: x == v))
-            share = F.least(F.lit(1.0), hits.cast("double") / F.get(F.array(*map(F.lit, indexed)), v["t"]))
+            share = F.least(F.lit(1.0), run["hits"].cast("double") / F.get(F.array(*map(F.lit, indexed)), v["t"]))
             label = F.get(F.array(*(F.lit(t.label) for t in TEMPLATES)), v["t"])
             return F.when(F.contains(passage, mandatory), F.struct(label.alias("label"), v["at"].alias("at"), share.alias("share")))
 
