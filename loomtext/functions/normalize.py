@@ -41,7 +41,7 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     ],
     "emphasis": [(r"(\*{1,3}|_{1,3})(\S.*?\S|\S)\1", "$2")],
     "tidy": [(r"[ \t]{2,}", " "), (r"^[ \t]+|[ \t]+\z", "")],
-    "mark_runs": [("!{3,}", "!"), (r"\?{3,}", "?"), (r"\.{3,}", "."), (",{3,}", ","), (";{3,}", ";"), (":{3,}", ":"), ("-{3,}", "-")],
+    "mark_runs": [(r"([!?.,;:\-])\1{2,}", "$1")],
     "spaces": [(r"[ \t]{2,}", " "), (r"[ \t]+([,.;:!?])", "$1")],
     "blank_lines": [(r"(?md)^[ \t]+$", ""), (r"\n{3,}", "\n\n")],
     "hyphen_wraps": [(r"([a-z])-\n([a-z])", "$1$2")],
@@ -61,6 +61,16 @@ TRANSLATIONS: dict[str, tuple[str, str]] = {
 COLLAPSE_ORDER = ("zero_width", "soft_hyphens", "smart_quotes", "hard_spaces", "dashes", "em_dashes", "footnotes", "dot_leaders", "repeated_marks", "emoji")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once a row, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def where_contains(text: Column, needle: str, change: Stage) -> Column:
+    """`change` where the text has the needle, which is far cheaper to look for."""
+    return once(text, lambda t: F.when(t.contains(needle), change(t)).otherwise(t))
+
+
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for pattern, by in pairs:
         text = F.regexp_replace(text, pattern, by)
@@ -87,9 +97,9 @@ def quoted(literal: str) -> str:
 
 
 def expansion_patterns(expansions: list[tuple[str, str]] = rules.EXPANSIONS) -> list[tuple[str, str]]:
-    """Longest literal first; a literal next to a letter or digit is left alone."""
+    """Longest literal first; a literal next to a letter or digit is left alone. What stands before it is looked at last."""
     ordered = sorted(expansions, key=lambda e: -len(e[0]))
-    return [(rf"(?iu)(?<![\p{{L}}\p{{N}}]){quoted(a)}(?![\p{{L}}\p{{N}}])", b) for a, b in ordered]
+    return [(rf"(?iu){quoted(a)}(?<![\p{{L}}\p{{N}}](?s:.{{{len(a)}}}))(?![\p{{L}}\p{{N}}])", b) for a, b in ordered]
 
 
 def expanded(text: Column) -> Column:
@@ -112,15 +122,15 @@ def currencies(text: Column) -> Column:
     return replaced(text, currency_patterns())
 
 
-def symbol_patterns(symbols: list[tuple[str, str, str]] = rules.SYMBOLS) -> list[tuple[str, str]]:
-    """A symbol's condition says where it is read out; an unknown condition means never."""
+def symbol_patterns(symbols: list[tuple[str, str, str]] = rules.SYMBOLS) -> list[tuple[str, str, str]]:
+    """(symbol, pattern, words). A symbol's condition says where it is read out; an unknown condition means never."""
     where = {
         "always": "{}",
         "isolated": r"(?<!\S){}(?!\S)",
         "digit-before": r"(?<=\p{{Nd}})[ \t]*{}",
         "digit-after": r"{}[ \t]*(?=\p{{Nd}})",
     }
-    return [(where[when].format(quoted(s)), f" {say} ") for s, say, when in symbols if when in where and say]
+    return [(s, where[when].format(quoted(s)), f" {say} ") for s, say, when in symbols if when in where and say]
 
 
 def tidied(text: Column) -> Column:
@@ -128,7 +138,9 @@ def tidied(text: Column) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    return tidied(replaced(text, symbol_patterns()))
+    for symbol, pattern, say in symbol_patterns():
+        text = where_contains(text, symbol, lambda t, pair=(pattern, say): replaced(t, [pair]))
+    return tidied(text)
 
 
 @F.pandas_udf(StringType())
@@ -174,11 +186,12 @@ def fenced(text: Column, mode: str = "announce") -> Column:
         out = F.transform(parts, lambda x, i: F.when(closed(i), said(x)).when(i % 2 == 1, F.concat(F.lit("```"), x)).otherwise(x))
         return F.array_join(out, "")
 
-    return F.element_at(F.transform(F.array(F.split(text, "```")), joined), 1)
+    return where_contains(text, "```", lambda t: once(F.split(t, "```"), joined))
 
 
 #: What splits lines, as splitlines() has it.
 _LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+#: What stands under a table's header (a fixed pattern).
 SEPARATOR = r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"
 
 
@@ -209,7 +222,7 @@ def tables(text: Column) -> Column:
 
         return F.array_join(F.aggregate(pairs, start, step, lambda acc: acc["out"]), "\n")
 
-    return F.when(text.contains("|"), F.element_at(F.transform(F.array(F.split(text, "\n")), fold), 1)).otherwise(text)
+    return where_contains(text, "|", lambda t: once(F.split(t, "\n"), fold))
 
 
 BULLET = "^\\s*[-*+•]\\s+"
@@ -233,12 +246,15 @@ def lists(text: Column) -> Column:
         plain = F.concat(F.when(acc["open"] & blank, ended).otherwise(acc["out"]), F.array(line))
         return F.struct(F.when(bullet, item).otherwise(plain).alias("out"), (bullet | (acc["open"] & ~blank)).alias("open"))
 
-    done = F.aggregate(
-        F.split(F.regexp_replace(text, rf"(?:{_LINES})\z", ""), _LINES), start, step, lambda acc: F.array_join(F.when(acc["open"], closed(acc["out"])).otherwise(acc["out"]), "\n")
-    )
-    return F.when(text.rlike("(?md)" + BULLET), done).otherwise(F.regexp_replace(F.regexp_replace(text, rf"(?:{_LINES})\z", ""), _LINES, "\n"))
+    def folded(t: Column) -> Column:
+        lines = F.split(t, _LINES)
+        done = F.aggregate(lines, start, step, lambda acc: F.array_join(F.when(acc["open"], closed(acc["out"])).otherwise(acc["out"]), "\n"))
+        return F.when(t.rlike("(?md)" + BULLET), done).otherwise(F.regexp_replace(t, _LINES, "\n"))
+
+    return once(F.regexp_replace(text, rf"(?:{_LINES})\z", ""), folded)
 
 
+#: What a web address looks like (a fixed pattern).
 URL = r"\bhttps?://([^\s/]+)(?:/\S*)?|\bwww\.([^\s/]+)(?:/\S*)?"
 
 
@@ -248,13 +264,17 @@ def urls(text: Column, mode: str = "domain") -> Column:
         return text
     if mode == "skip":
         return F.regexp_replace(text, URL, " link ")
-    parts = F.split(F.regexp_replace(text, URL, "\x01$1$2\x02"), "\x01")
 
-    def said(part: Column, i: Column) -> Column:
-        host = F.regexp_replace(F.lower(F.substring_index(part, "\x02", 1)), r"^www\.", "")
-        return F.when(i == 0, part).otherwise(F.concat(F.lit(" link to "), host, F.lit(" "), F.substring_index(part, "\x02", -1)))
+    def said(url: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_replace(url, URL, "$1$2")), r"^www\.", "")
+        return F.concat(F.lit(" link to "), host, F.lit(" "))
+
+    def joined(t: Column) -> Column:
+        """The stretches between addresses, of which there is one more, each with what is said of the next address."""
+        found = F.transform(F.regexp_extract_all(t, F.lit(URL), 0), said)
+        return F.array_join(F.zip_with(F.split(t, URL), found, lambda gap, link: F.concat(gap, F.coalesce(link, F.lit("")))), "")
 
-    return F.when(text.rlike(URL), F.array_join(F.transform(parts, said), "")).otherwise(text)
+    return once(text, lambda t: F.when(t.rlike(URL), joined(t)).otherwise(t))
 
 
 def normalized(text: Column, code: str = "announce", url_mode: str = "domain") -> Column:
@@ -269,7 +289,7 @@ def normalized(text: Column, code: str = "announce", url_mode: str = "domain") -
         tables,
         *run("table_rules", "images", "links", "headings"),
         lists,
-        stage("emphasis"),
+        lambda t: once(t, lambda x: F.when(x.rlike(r"[*_]"), stage("emphasis")(x)).otherwise(x)),
         lambda t: urls(t, url_mode),
         expanded,
         currencies,

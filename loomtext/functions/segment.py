@@ -24,21 +24,25 @@ def _abbreviated(words: list[str]) -> str:
 
 def boundary(abbreviations: list[str] | None = None) -> str:
     """What ends a sentence within a line: marks, closing quotes, white space; none after an initial, a list marker, an
-    abbreviation or inside a number, nor after an ellipsis before a small letter."""
+    abbreviation or inside a number, nor after an ellipsis before a small letter. Vetoes are looked at where a mark is."""
     vetoes = (
-        r"(?<![.!?…])"  # marks are taken as one run
+        r"(?=[.!?…])(?<![.!?…])"  # marks are taken as one run
         r"(?<!(?:^|\s)[A-Za-z])"  # an initial, or a letter that marks a list
         r"(?<!^\s{0,9}\p{Nd}{1,9})"  # digits that mark a list
         + _abbreviated(abbreviations or rules.abbreviations())
         + r"(?!(?<=\p{Nd})\.\s\p{Nd})"  # a number that a space broke
     )
-    return rf"(?m){vetoes}([.!?…]++{_CLOSERS}*+)(?!(?<=…{_CLOSERS}{{0,4}})\s+\p{{Ll}})(?!(?<=…[.!?…]{{1,4}}{_CLOSERS}{{0,4}})\s+\p{{Ll}})\s+"
+    return rf"{vetoes}[.!?…]++{_CLOSERS}*+(?!(?<=…{_CLOSERS}{{0,4}})\s+\p{{Ll}})(?!(?<=…[.!?…]{{1,4}}{_CLOSERS}{{0,4}})\s+\p{{Ll}})\s+"
 
 
 def split_sentences(line: Column) -> Column:
     """The sentences of one line."""
-    marked = F.regexp_replace(line, boundary(), "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
+    return F.filter(F.transform(pieces(line, boundary()), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
+
+
+def pieces(text: Column, ends: str) -> Column:
+    """A text cut behind each match of `ends`; the pieces add up to the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?sm).*?(?:{ends})|.+"), 0)
 
 
 def capped(sentence: Column, limit: int = LONGEST) -> Column:
@@ -90,7 +94,7 @@ def boundary_offsets() -> str:
     opens = "(?=\\s+[\"'“‘(\\[]?[A-ZÀ-Þ0-9])"
     maybe = _abbreviated(_others())
     return (
-        r"(?<![.!?…。！？])(?<!(?:^|[^\p{L}\p{N}])[A-Z])(?<!^\s{0,9}\p{Nd}{1,9})"
+        r"(?=[.!?…。！？])(?<![.!?…。！？])(?<!(?:^|[^\p{L}\p{N}])[A-Z])(?<!^\s{0,9}\p{Nd}{1,9})"
         + _abbreviated(_titles())
         + rf"(?:{maybe}[.!?]++|(?!{maybe})[.!?]++(?=\s*{_CLOSERS}*){opens}|…++{opens}|[。！？]++)"
         + rf"{_CLOSERS}*+"
@@ -105,8 +109,8 @@ def _placed(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 def sentences_offsets(docs: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
     """(by, seg_idx, text, start, end) in characters; the spans and the white space between them are the whole text."""
-    marked = F.split(F.regexp_replace(text, f"({boundary_offsets()})(\\s+|\\z)", "$1\x01$2"), "\x01")
-    placed = _placed(docs.select(by, F.posexplode(marked).alias("pos", "piece")), [by])
+    parts = pieces(F.col(text), rf"{boundary_offsets()}(?:\s+|\z)")
+    placed = _placed(docs.select(by, F.posexplode(parts).alias("pos", "piece")), [by])
     body = F.regexp_replace("piece", r"^\s+|\s+\z", "")
     start = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
     spans = placed.where(F.col("piece").rlike(r"\S")).select(by, "pos", body.alias("text"), start.alias("start"))
@@ -122,6 +126,6 @@ def paragraphs(text: Column) -> Column:
 
 def word_spans(docs: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
     """(by, word, start, end) of letter runs with marks and apostrophes, in characters."""
-    parts = F.split(F.regexp_replace(text, r"([\p{L}\p{M}'’]+)", "\x01$1\x01"), "\x01")
+    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}'’]+|[^\p{L}\p{M}'’]+"), 0)
     placed = _placed(docs.select(by, F.posexplode(parts).alias("pos", "piece")), [by])
-    return placed.where("pos % 2 = 1").select(by, F.col("piece").alias("word"), F.col("at").alias("start"), (F.col("at") + F.length("piece")).alias("end"))
+    return placed.where(F.col("piece").rlike(r"^[\p{L}\p{M}'’]")).select(by, F.col("piece").alias("word"), F.col("at").alias("start"), (F.col("at") + F.length("piece")).alias("end"))

@@ -30,7 +30,7 @@ def to_ipa(phones: Column) -> Column:
 
 def letter_sounds(word: Column) -> Column:
     """Sounds by spelling alone, for words that no lexicon has; a last e is silent in words longer than three letters."""
-    spoken = F.when(F.length(word) > 3, F.regexp_replace(word, "e$", "\x04")).otherwise(word)
+    spoken = F.when(F.length(word) > 3, F.regexp_replace(word, "e$", "")).otherwise(word)
     parts = F.regexp_extract_all(spoken, F.lit("(" + "|".join(a for a, _ in rules.SPELLINGS) + ")"), 1)
     sounds = F.array_join(F.transform(parts, lambda p: F.element_at(_mapping(dict(rules.SPELLINGS)), p)), "")
     return F.when(F.size(parts) > 0, F.concat(F.lit("ˈ"), sounds)).otherwise("")

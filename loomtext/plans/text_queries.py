@@ -58,6 +58,8 @@ def sql_stage(name: str, x: str) -> str:
     if name == "soft_wraps":
         twice = [(r"([A-Za-z0-9,;:)\]\"'%])\n[ \t]*([a-z(])", "$1 $2")] * 2
         return sql_replaced(x, twice)
+    if name == "mark_runs":  # a pattern for each mark: no back-references there
+        return sql_replaced(x, [(rf"{normalize.quoted(m)}{{3,}}", m) for m in "!?.,;:-"])
     if name == "heading_lines":
         return sql_replaced(x, [(r"(?m)^([^\n]{1,70}[A-Za-z0-9\"')\]])\n([A-Z])", "$1.\n$2")] * 2)
     return sql_replaced(x, normalize.PATTERNS[name])

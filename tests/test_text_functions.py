@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,25 @@ def test_offsets(spark):
     assert [r.text for r in got] == ["Mr. Lee paid.", "He left, etc. and then etc.", "They… went…", "Home!", "ok"]
     spans = segment.word_spans(docs.where("doc_id >= 2")).orderBy("doc_id", "start").collect()
     assert [(s.word, s.start, s.end) for s in spans] == [("It's", 0, 4), ("o'clock", 7, 14), ("é", 16, 17)]
+
+
+def test_pieces_add_up_whatever_characters_a_text_holds(spark):
+    rnd = random.Random(4)
+    alphabet = ["\x01", "\x02", "\x03", "\x04", ".", "!", "?", "…", " ", "  ", "\n", "\r\n", "Dr", "etc", "One", "two", "é", "。", "\"", "(", "3", "'", "\U0001f600"]
+    texts = ["One. Two\x01 three. Four.", *("".join(rnd.choice(alphabet) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(1, 60))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ends = dict.fromkeys(range(len(texts)), 0)
+    for r in segment.sentences_offsets(docs).orderBy("doc_id", "seg_idx").collect():
+        t = texts[r.doc_id]
+        assert t[r.start : r.end] == r.text and r.start >= ends[r.doc_id] and not t[ends[r.doc_id] : r.start].strip(" \t\n\r\f\x0b")
+        ends[r.doc_id] = r.end
+    assert all(not t[ends[i] :].strip(" \t\n\r\f\x0b") for i, t in enumerate(texts))
+    for r in segment.word_spans(docs).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.word
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("line", segment.split_sentences(F.col("line")).alias("found"))
+    bare = lambda s: "".join(s.split())
+    assert all(bare("".join(r.found)) == bare(r.line) for r in lines.collect() if not set(r.line) & set("\x1c\x1d\x1e\x1f\x85"))
+
+
+def test_urls_with_control_characters(on):
+    assert on(normalize.urls, "a\x01b http://X.org/p\x02 c", "\x01 www.a.b") == ["a\x01b  link to x.org  c", "\x01  link to a.b "]
