@@ -75,6 +75,69 @@ def age_label(seconds: Column) -> Column:
     )
 
 
+def short_age(seconds: Column, stamp: Column) -> Column:
+    """How long ago, in a list: seconds to days, then the day of the `stamp`; empty without a stamp."""
+    whole = lambda unit, name: F.concat(F.floor(F.greatest(seconds, F.lit(0)) / unit).cast("string"), F.lit(f"{name} ago"))
+    return (
+        F.when(stamp.isNull(), "").when(seconds < 60, whole(1, "s")).when(seconds < 3600, whole(60, "m"))
+        .when(seconds < 86400, whole(3600, "h")).when(seconds < 604800, whole(86400, "d")).otherwise(F.date_format(stamp, "dd MMM"))
+    )
+
+
+def typed_age(seconds: Column) -> Column:
+    """How long ago someone typed, in words; null: no one has."""
+    whole = lambda unit, name: F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {name} ago"))
+    return (
+        F.when(seconds.isNull(), "no one has typed in it").when(seconds < 60, "just now").when(seconds < 90 * 60, whole(60, "minutes"))
+        .when(seconds < 36 * 3600, whole(3600, "hours")).otherwise(whole(86400, "days"))
+    )
+
+
+#: What windows show besides their content (fixed values).
+NOISE = (
+    "address and search bar", "create split view", "search or enter address", "address field", "back", "forward", "reload", "home",
+    "bookmark this tab", "new tab", "close", "minimize", "maximize", "restore", "extensions", "chrome", "you", "search tabs",
+    "all bookmarks", "apps", "tab groups", "customize and control google chrome", "bookmarks", "menu",
+)
+
+
+def is_noise(line: Column) -> Column:
+    """A window's furniture: nothing, one character, a bare address, or one of NOISE."""
+    inner = F.lower(strip(line))
+    return (F.length(inner) < 2) | inner.isin(*NOISE) | inner.rlike(r"^https?://\S+$")
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The address that a link on the page `base` leads to."""
+    bare = F.regexp_replace(base, r"#.*$", "")
+    page = F.regexp_replace(bare, r"\?.*$", "")
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.substring(page, F.length(origin) + 1, F.length(page)), r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+
+    def without_dots(path: Column) -> Column:
+        whole, rest = F.regexp_extract(path, r"^([^?#]*)", 1), F.regexp_extract(path, r"^[^?#]*(.*)$", 1)
+        none = F.array().cast("array<string>")
+
+        def step(acc: Column, part: Column) -> Column:
+            up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+            return F.when(part == ".", acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
+
+        ends = F.when(whole.rlike(r"/\.{1,2}$"), "/").otherwise("")
+        return F.concat(F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/"), ends, rest)
+
+    h = F.trim(href)
+    return (
+        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+        .when(h == "", bare)
+        .when(F.startswith(h, F.lit("#")), F.concat(bare, h))
+        .when(F.startswith(h, F.lit("?")), F.concat(page, h))
+        .when(F.startswith(h, F.lit("/")), F.concat(origin, without_dots(h)))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, h))))
+    )
+
+
 def short_title(text: Column, most: int = 52) -> Column:
     """The flat text, cut at the last word that fits."""
     line = flat(text)

@@ -107,9 +107,24 @@ def _placed(pieces: DataFrame, by: list[str]) -> DataFrame:
     return pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
 
 
-def sentences_offsets(docs: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
-    """(by, seg_idx, text, start, end) in characters; the spans and the white space between them are the whole text."""
+def split_long(sentence: Column, longest: int) -> Column:
+    """A sentence in pieces of about `longest` characters: cut behind the last semicolon or colon that starts within them,
+    else the last comma, else the last white space, else at the limit. The pieces add up to the sentence."""
+    cuts = "|".join(rf".{{0,{longest - 1}}}{mark}\s" for mark in ("[;:]", ",", ""))
+    return F.when(F.length(sentence) <= longest, F.array(sentence)).otherwise(F.regexp_extract_all(sentence, F.lit(rf"(?s)(?:.{{1,{longest}}}\z|{cuts}|.{{{longest}}})\s*"), 0))
+
+
+def sentences_offsets(docs: DataFrame, by: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
+    """(by, seg_idx, text, start, end) in characters; the spans and the white space between them are the whole text.
+
+    longest: sentences of more characters come in pieces (see `split_long`), which count as segments.
+    """
     parts = pieces(F.col(text), rf"{boundary_offsets()}(?:\s+|\z)")
+    if longest:
+        lead, rest = F.regexp_extract_all(text, F.lit(r"\A\s+"), 0), F.regexp_replace(text, r"\A\s+", "")
+        inner = lambda p: split_long(F.regexp_replace(p, r"\s+\z", ""), longest)
+        tail = lambda p: F.regexp_extract_all(p, F.lit(r"\s+\z"), 0)
+        parts = F.concat(lead, F.flatten(F.transform(pieces(rest, rf"{boundary_offsets()}(?:\s+|\z)"), lambda p: F.concat(inner(p), tail(p)))))
     placed = _placed(docs.select(by, F.posexplode(parts).alias("pos", "piece")), [by])
     body = F.regexp_replace("piece", r"^\s+|\s+\z", "")
     start = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))

@@ -46,14 +46,13 @@ def located(anchors: DataFrame, segments: DataFrame) -> DataFrame:
         "blank": (I.strip(F.coalesce("exact", F.lit(""))) == "") | F.col("idx").isNull(),
         "equal": F.coalesce(low(F.col("exact")) == low(F.col("text")), F.lit(False)),
         "touch": F.coalesce(I.contained(quote, words) | I.contained(words, quote), F.lit(False)),
-        "score": F.coalesce(I.overlap(low(F.col("exact")), low(F.col("text"))), F.lit(0.0)),
-        "near": F.coalesce(
-            I.overlap(low(F.col("want_prefix")), F.when(F.length(low(F.col("before_text"))) > CONTEXT, F.right(low(F.col("before_text")), F.lit(CONTEXT))).otherwise(low(F.col("before_text"))))
-            + I.overlap(low(F.col("want_suffix")), F.substring(low(F.col("after_text")), 1, CONTEXT)), F.lit(0.0)),
         "distance": F.abs(F.col("idx") - F.col("index_hint")),
     })
     every = Window.partitionBy("uri")
-    rows = rows.withColumns({"n_equal": F.sum(F.col("equal").cast("int")).over(every), "n_touch": F.sum(F.col("touch").cast("int")).over(every), "best": F.max("score").over(every), "last": F.max("idx").over(every)})
+    rows = rows.withColumns({"n_equal": F.sum(F.col("equal").cast("int")).over(every), "n_touch": F.sum(F.col("touch").cast("int")).over(every), "last": F.max("idx").over(every)})
+    unsure = (F.col("n_equal") == 0) & (F.col("n_touch") == 0) & ~F.col("blank")  # words are compared where no rung above holds
+    rows = rows.withColumn("score", F.when(unsure, F.coalesce(I.overlap(low(F.col("exact")), low(F.col("text"))), F.lit(0.0))).otherwise(0.0))
+    rows = rows.withColumn("best", F.max("score").over(every))
     how = (
         F.when(F.col("blank"), "hint").when(F.col("n_equal") == 1, "exact").when(F.col("n_equal") > 1, "ambiguous")
         .when(F.col("n_touch") > 0, "boundary").when(F.col("best") >= ACCEPT, "fuzzy").otherwise("hint")
@@ -61,11 +60,19 @@ def located(anchors: DataFrame, segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("how", how)
     fits = (
         F.when(F.col("how").isin("exact", "ambiguous"), F.col("equal")).when(F.col("how") == "boundary", F.col("touch"))
-        .when(F.col("how") == "fuzzy", F.col("score") >= F.col("best") - BAND).otherwise(False)
+        .when(F.col("how") == "fuzzy", F.col("score") >= F.col("best") - BAND).otherwise(True)
     )
-    rank = F.row_number().over(every.orderBy(F.desc(fits), F.desc("near"), "distance", "idx"))
+    rows = rows.where(fits)  # neighbours are compared for candidates alone
+    before = low(F.col("before_text"))
+    near = F.coalesce(
+        I.overlap(low(F.col("want_prefix")), F.when(F.length(before) > CONTEXT, F.right(before, F.lit(CONTEXT))).otherwise(before))
+        + I.overlap(low(F.col("want_suffix")), F.substring(low(F.col("after_text")), 1, CONTEXT)),
+        F.lit(0.0),
+    )
+    near = F.when(F.col("how").isin("ambiguous", "boundary", "fuzzy"), near).otherwise(0.0)
+    rank = F.row_number().over(every.orderBy(F.desc("near"), "distance", "idx"))
     fallback = F.greatest(F.lit(0), F.least("index_hint", F.coalesce("last", F.lit(0))))
-    top = rows.withColumn("_rank", rank).where("_rank = 1")
+    top = rows.withColumn("near", near).withColumn("_rank", rank).where("_rank = 1")
     return top.select("uri", F.when(F.col("how") == "hint", fallback).otherwise(F.col("idx")).cast("int").alias("index"), "how", ((F.col("how") == "exact") & ~F.col("rules_changed")).alias("verified"))
 
 

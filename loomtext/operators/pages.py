@@ -1,19 +1,20 @@
-"""Page furniture and page layout: running heads, page numbers, columns, lines."""
+"""Page furniture: running heads and page numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE_NUMBER = r"(?i)^[ \t]*(?:page[ \t]+)?\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$"
+#: A line that is only a page number, by dialect (fixed patterns).
+PAGE_NUMBER = {"blocktext": r"(?i)^\s*(?:page\s*)?\p{Nd}{1,4}\s*(?:/\s*\p{Nd}{1,4})?\s*$", "offsets": r"^\s*\d{1,4}\s*$"}
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(doc, page, pos, line, n_lines) of pages (doc, page, text), blank lines aside."""
-    rows = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    """(doc, page, pos, line, at, n_lines) of pages (doc, page, text); at and n_lines count the lines that aren't blank."""
+    rows = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("full", F.trim("line") != "")
     by_page = Window.partitionBy("doc", "page")
-    at = F.row_number().over(by_page.orderBy("pos"))
-    return rows.withColumn("at", at).withColumn("n_lines", F.count("*").over(by_page))
+    at = F.when(F.col("full"), F.sum(F.col("full").cast("int")).over(by_page.orderBy("pos")))
+    return rows.withColumn("at", at).withColumn("n_lines", F.sum(F.col("full").cast("int")).over(by_page)).drop("full")
 
 
 def running_heads(pages: DataFrame, dialect: str = "blocktext") -> DataFrame:
@@ -29,40 +30,25 @@ def running_heads(pages: DataFrame, dialect: str = "blocktext") -> DataFrame:
     else:
         key, most, edge = F.regexp_replace(F.trim("line"), r"\d+", "#"), 80, F.when(F.col("n_lines") > 5, 2).otherwise(1)
         least = F.greatest(F.lit(3), F.ceil(F.col("n_pages") * 0.5))
-    edges = rows.where((F.col("at") <= edge) | (F.col("at") > F.col("n_lines") - edge)).withColumn("key", key).where(F.length("key") <= most)
+    edges = rows.where((F.col("at") <= edge) | (F.col("at") > F.col("n_lines") - edge)).withColumn("key", key)
+    edges = edges.where(F.length("key") <= most) if dialect == "blocktext" else edges.where((F.length("line") <= most) & (F.length("key") >= 2))
     counts = edges.groupBy("doc", "key").agg(F.countDistinct("page").alias("n"))
     return counts.join(n_pages.where("n_pages >= 3"), "doc").where(F.col("n") >= least).select("doc", "key")
 
 
 def without_furniture(pages: DataFrame, dialect: str = "blocktext") -> DataFrame:
-    """(doc, page, text) less running heads, and less page numbers in the "blocktext" dialect."""
+    """(doc, page, text) less running heads and page numbers; blank lines stay, and so do pages of which nothing is left.
+
+    "offsets" leaves documents of fewer than three pages as they are.
+    """
     rows = page_lines(pages)
     key = F.trim("line") if dialect == "blocktext" else F.regexp_replace(F.trim("line"), r"\d+", "#")
-    kept = rows.withColumn("key", key).join(running_heads(pages, dialect), ["doc", "key"], "left_anti")
-    if dialect == "blocktext":
-        kept = kept.where(~F.col("line").rlike(PAGE_NUMBER))
-    lines = kept.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("all"))
+    heads = running_heads(pages, dialect).withColumn("head", F.lit(True))
+    marked = rows.withColumn("key", key).join(heads, ["doc", "key"], "left")
+    number = F.col("line").rlike(PAGE_NUMBER[dialect])
+    if dialect == "offsets":
+        n_pages = pages.groupBy("doc").agg(F.countDistinct("page").alias("n_pages"))
+        marked, number = marked.join(n_pages, "doc"), number & (F.col("n_pages") >= 3)
+    kept = F.when(F.col("head").isNull() & ~number, F.struct("pos", "line"))
+    lines = marked.groupBy("doc", "page").agg(F.sort_array(F.collect_list(kept)).alias("all"))
     return lines.select("doc", "page", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
-
-
-def baselines(items: DataFrame) -> DataFrame:
-    """(page, row, text, y) of glyph runs (page, str, x, y, height): runs of one line, read from left to right.
-
-    A line holds the runs whose height on the page is within half the median glyph height of its first run's. The fold
-    over a page's runs is an aggregate over its sorted array, so a page is one row, never a task of its own.
-    """
-    pages_ = items.groupBy("page").agg(
-        F.coalesce(F.percentile("height", 0.5), F.lit(0.0)).alias("median"),
-        F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "str"))).alias("runs"),
-    )
-    start = F.struct(F.array().cast("array<struct<row: int, x: double, str: string, y: double>>").alias("out"), F.lit(0).alias("row"), F.lit(None).cast("double").alias("head"))
-
-    def step(acc, r):
-        new = F.coalesce(F.abs(r["down"] - acc["head"]) > 0.5 * F.col("median"), F.lit(True))
-        row = acc["row"] + new.cast("int")
-        placed = F.struct(row.alias("row"), r["x"].cast("double").alias("x"), r["str"].alias("str"), (-r["down"]).cast("double").alias("y"))
-        return F.struct(F.concat(acc["out"], F.array(placed)).alias("out"), row.alias("row"), F.when(new, r["down"]).otherwise(acc["head"]).cast("double").alias("head"))
-
-    rows = pages_.select("page", F.explode(F.aggregate("runs", start, step, lambda acc: acc["out"])).alias("r")).select("page", "r.*")
-    lines = rows.groupBy("page", "row").agg(F.sort_array(F.collect_list(F.struct("x", "str"))).alias("all"), F.max("y").alias("y"))
-    return lines.select("page", "row", F.array_join(F.transform("all", lambda a: a["str"]), " ").alias("text"), "y")

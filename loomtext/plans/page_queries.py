@@ -32,7 +32,44 @@ _add("a25_link_density", lambda s, d: html.lengths(_nodes(s, d)).select("page_id
 _add("a26_blocks", article_blocks)
 _add("a27_links", lambda s, d: _nodes(s, d).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n_links")), "SELECT page_id, len(regexp_extract_all(html, '<a[ >]'))::BIGINT AS n_links FROM pages WHERE regexp_matches(html, '<a[ >]')")
 _add("a28_roles", lambda s, d: article_blocks(s, d).groupBy("role").agg(F.count("*").alias("n")))
-_add("f07_next_links", lambda s, d: html.next_links(_nodes(s, d)))
+
+
+#: What page_id % 7 adds to a page, and the next page that it names: markup, address (none: the page's own, its address
+#: cut behind the host), label, strategy, confidence.
+NEXT = [
+    ('<link rel="next" href="/two.html">', "/two.html", "Next", "link-rel-next", "high"),
+    ('<a aria-label="Next page" href="?n=2"><b>2</b></a>', "/?n=2", "2", "aria-next", "medium"),
+    ('<a class="btn next disabled" href="/no">x</a><a class="next-page" href="sub/../three">More</a>', "/three", "More", "class-next", "medium"),
+    ('<a href="/nextdoor">nextdoor</a><a href="#top">Next</a><a href="/older/1">Older posts</a>', "/older/1", "older posts", "text-next", "low"),
+    ('<a rel="next" aria-disabled="true" href="/x">Next</a><p id="next">no link</p><a id="next" href="/by-id">&gt;</a>', "/by-id", ">", "class-next", "medium"),
+    ('<div style="display: none"><a href="/hidden">Next</a></div>', None, None, None, None),
+    ("", "/list?page=010", "Next page", "url-increment", "low"),
+]
+
+
+def paged(s: SparkSession, d: str) -> DataFrame:
+    """The pages as steps of a series: their hosts, a first page or page 009, and the markup that NEXT adds."""
+    k = F.pmod("page_id", F.lit(len(NEXT))).cast("int")
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    url = F.concat(origin, F.when(k == len(NEXT) - 1, "/list?page=009").otherwise("/"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", url.alias("url"), F.concat("html", F.get(F.array(*(F.lit(n[0]) for n in NEXT)), k)).alias("html"))
+
+
+def f07_next_pages(s: SparkSession, d: str) -> DataFrame:
+    found = paged(s, d)
+    return html.next_pages(html.nodes(found), found)
+
+
+_quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_NEXT_SQL = "(VALUES " + ", ".join(f"({k}, {_quote(n[1])}, {_quote(n[2])}, {_quote(n[3])}, {_quote(n[4])})" for k, n in enumerate(NEXT)) + ") AS n(k, path, label, strategy, confidence)"
+_F07 = f"SELECT page_id, {_ORIGIN} || path AS next_url, label, strategy, confidence, confidence = 'low' AS confirm FROM pages JOIN {_NEXT_SQL} ON page_id % {len(NEXT)} = k WHERE path IS NOT NULL"
+_add("f07_next_pages", f07_next_pages, _F07)
+_add(
+    "c13_unvisited",
+    lambda s, d: html.unvisited(f07_next_pages(s, d), paged(s, d).select(F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/two.html#x")).alias("url"))).select("page_id", "next_url"),
+    f"SELECT page_id, next_url FROM ({_F07}) WHERE next_url NOT IN (SELECT {_ORIGIN} || '/two.html' FROM pages)",
+)
 
 
 def captures(s: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import identity as I
 from loomtext.functions import rules, speech
+from loomtext.operators.pages import PAGE_NUMBER
 from loomtext.plans.text_queries import DECORATED_SQL, decorated, literal
 
 QUERIES = {}
@@ -73,12 +74,13 @@ _add(
     lambda s, d: _docs(s, d).select("doc_id", F.md5(I.without_gibberish(F.col("text")).cast("binary")).alias("digest")),
     f"SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gibberish), '')) AS digest FROM ({_GIBBERISH}) GROUP BY doc_id",
 )
+#: Lines that every third line of a document gives way to, and whether they are a window's furniture.
+NOISE_CASES = [("Back", True), (" New Tab ", True), ("Customize and control Google Chrome", True), ("https://a.b/c?d", True), ("x", True), ("  ", True), ("Address field", True), ("backwards", False), ("see https://a.b", False), ("ok", False)]
+_noisy = lambda s, d: _lines(s, d).withColumn("line", F.when(F.col("pos") % 3 == 0, F.get(F.array(*(F.lit(x) for x, _ in NOISE_CASES)), F.pmod("doc_id", F.lit(len(NOISE_CASES))).cast("int"))).otherwise(F.concat(F.lit("a "), "line")))
 _add(
     "b03_noise",
-    lambda s, d: _lines(s, d).select(
-        "doc_id", "pos", ((F.length(I.strip(F.col("line"))) < 2) | I.strip(F.col("line")).rlike(r"^https?://\S+$") | F.lower(I.strip(F.col("line"))).isin("back", "forward", "reload", "new tab")).alias("noise")
-    ),
-    f"SELECT doc_id, pos::INT AS pos, length(trim(line, {_WS})) < 2 OR regexp_matches(trim(line, {_WS}), '^https?://\\S+$') OR lower(trim(line, {_WS})) IN ('back', 'forward', 'reload', 'new tab') AS noise FROM ({_LINES})",
+    lambda s, d: _noisy(s, d).select("doc_id", "pos", I.is_noise(F.col("line")).alias("noise")),
+    f"SELECT doc_id, pos::INT AS pos, pos % 3 = 0 AND [{', '.join(str(x).lower() for _, x in NOISE_CASES)}][(doc_id % {len(NOISE_CASES)} + 1)::INT] AS noise FROM ({_LINES})",
 )
 _add(
     "b06_prose_score",
@@ -102,10 +104,12 @@ _add(
     lambda s, d: _docs(s, d).select("doc_id", I.progress(F.pmod("doc_id", F.lit(7)), F.pmod("doc_id", F.lit(5)) * 3).alias("progress")),
     "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 7) / ((doc_id % 5) * 3) ELSE 0.0 END AS progress FROM documents",
 )
+#: Lines and whether they are only a page number.
+NUMBER_CASES = [("12", True), (" Page 3 ", True), ("Page3", True), ("12 / 300", True), ("PAGE 7/9", True), ("12345", False), ("3 of 9", False), ("p. 3", False), ("Page", False), ("3.", False)]
 _add(
     "b17_page_numbers",
-    lambda s, d: decorated(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?i)^\s*(page\s+)?\d{1,4}(\s+of\s+\d{1,4})?\s*$")).groupBy("doc_id").agg(F.count("*").alias("n")),
-    f"WITH t AS ({DECORATED_SQL}) SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '(?i)^\\s*(page\\s+)?\\d{{1,4}}(\\s+of\\s+\\d{{1,4}})?\\s*$') GROUP BY doc_id",
+    lambda s, d: _docs(s, d).select("doc_id", F.concat(F.get(F.array(*(F.lit(x) for x, _ in NUMBER_CASES)), F.pmod("doc_id", F.lit(len(NUMBER_CASES))).cast("int")), F.lit("\n"), "text").alias("t")).select("doc_id", F.size(F.filter(F.split("t", "\n"), lambda x: x.rlike(PAGE_NUMBER["blocktext"]))).cast("long").alias("n")),
+    f"SELECT doc_id, [{', '.join(str(int(x)) for _, x in NUMBER_CASES)}][(doc_id % {len(NUMBER_CASES)} + 1)::INT]::BIGINT + len(list_filter(string_split(text, chr(10)), lambda x: try_cast(trim(x) AS INT) BETWEEN 0 AND 9999)) AS n FROM documents",
 )
 _add(
     "j03_padded_words",
@@ -128,11 +132,14 @@ _add(
       SELECT *, regexp_extract(u, p, 2) AS dg, (try_cast(regexp_extract(u, p, 2) AS HUGEINT) + 1)::VARCHAR AS hi FROM (
         SELECT page_id, url || CASE WHEN page_id % 4 = 0 THEN '&page=009' ELSE '' END AS u, '^(.*?[/?&](?:page|p|pg)=?)(\d+)(.*)$' AS p FROM pages))""",
 )
+#: Ages in seconds, and how the three lists say them ("": the day, which the SQL writes itself).
+AGES = [(0, "just now", "0s ago", "just now"), (59, "just now", "59s ago", "just now"), (61, "1 min ago", "1m ago", "1 minutes ago"), (3599, "59 min ago", "59m ago", "59 minutes ago"), (5399, "1 h ago", "1h ago", "89 minutes ago"), (5400, "1 h ago", "1h ago", "1 hours ago"), (86399, "23 h ago", "23h ago", "23 hours ago"), (129599, "1 d ago", "1d ago", "35 hours ago"), (129600, "1 d ago", "1d ago", "1 days ago"), (604799, "6 d ago", "6d ago", "6 days ago"), (604800, "7 d ago", "", "7 days ago")]
+_age = lambda: F.get(F.array(*(F.lit(a) for a, *_ in AGES)), F.pmod("event_id", F.lit(len(AGES))).cast("int"))
+_said = lambda k: "[" + ", ".join(f"'{a[k]}'" for a in AGES) + f"][(event_id % {len(AGES)} + 1)::INT]"
 _add(
     "j12_age_labels",
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", I.age_label(F.col("event_id") * 37).alias("age")),
-    """SELECT event_id, CASE WHEN t < 60 THEN 'just now' WHEN t < 3600 THEN (t // 60)::VARCHAR || ' min ago' WHEN t < 86400 THEN (t // 3600)::VARCHAR || ' h ago' ELSE (t // 86400)::VARCHAR || ' d ago' END AS age
-      FROM (SELECT event_id, event_id * 37 AS t FROM events)""",
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", I.age_label(_age()).alias("age"), I.short_age(_age(), F.when(F.col("event_id") % 5 > 0, F.col("ts"))).alias("short_age"), I.typed_age(F.when(F.col("event_id") % 4 > 0, _age())).alias("typed_age")),
+    f"SELECT event_id, {_said(1)} AS age, CASE WHEN event_id % 5 = 0 THEN '' WHEN {_said(2)} = '' THEN strftime(ts, '%d %b') ELSE {_said(2)} END AS short_age, CASE WHEN event_id % 4 = 0 THEN 'no one has typed in it' ELSE {_said(3)} END AS typed_age FROM events",
 )
 _add(
     "j13_short_titles",

@@ -23,30 +23,33 @@ def _read(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def doc_pages(s: SparkSession, d: str) -> DataFrame:
-    """Documents as pages of books: ten documents a book, with a running head, a chapter line and a page number."""
+    """Documents as pages of books: ten documents a book, with a running head, a blank line, a chapter line and a page number;
+    a tenth of the pages have nothing else."""
     docs = _read(s, d, "documents")
     doc, page = F.floor(F.col("doc_id") / 10).alias("doc"), F.pmod("doc_id", F.lit(10)).alias("page")
-    text = F.concat(F.lit("Book "), doc.cast("string"), F.lit("\n"), "text", F.lit("\nChapter "), page.cast("string"), F.lit(" notes\n "), (page + 1).cast("string"))
-    return docs.select(doc, page, text.alias("text"))
+    number = F.concat(F.get(F.array(F.lit(" "), F.lit("Page "), F.lit("page")), (page % 3).cast("int")), (page + 1).cast("string"), F.when(page % 3 == 0, " / 300").otherwise(""))
+    body = F.when(F.col("doc_id") % 10 == 7, "").otherwise(F.concat(F.lit("\n"), "text", F.lit("\nChapter "), page.cast("string"), F.lit(" notes")))
+    return docs.select(doc, page, F.concat(F.lit("Book "), doc.cast("string"), F.lit("\n"), body, F.lit("\n"), number).alias("text"))
 
 
-_PAGES = "SELECT doc_id // 10 AS doc, doc_id % 10 AS page, 'Book ' || (doc_id // 10) || chr(10) || text || chr(10) || 'Chapter ' || (doc_id % 10) || ' notes' || chr(10) || ' ' || (doc_id % 10 + 1) AS text FROM documents"
+_PAGES = """SELECT doc_id // 10 AS doc, doc_id % 10 AS page, 'Book ' || (doc_id // 10) || chr(10) || CASE WHEN doc_id % 10 = 7 THEN '' ELSE chr(10) || text || chr(10) || 'Chapter ' || (doc_id % 10) || ' notes' END
+  || chr(10) || [' ', 'Page ', 'page'][(doc_id % 10 % 3 + 1)::INT] || (doc_id % 10 + 1) || CASE WHEN doc_id % 10 % 3 = 0 THEN ' / 300' ELSE '' END AS text FROM documents"""
 _PAGE_LINES = f"""lines AS (SELECT doc, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_PAGES})),
-  kept AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY pos) AS place, count(*) OVER (PARTITION BY doc, page) AS n_lines FROM lines WHERE trim(line) <> ''),
+  placed AS (SELECT *, CASE WHEN trim(line) <> '' THEN sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY pos) END AS place, sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page) AS n_lines FROM lines),
   n_pages AS (SELECT doc, count(DISTINCT page) AS n_pages FROM ({_PAGES}) GROUP BY doc)"""
 
 
-def _furniture_sql(key, most, edge, least, numbers):
-    return f"""WITH {_PAGE_LINES}, keyed AS (SELECT *, {key} AS key FROM kept),
-      heads AS (SELECT k.doc, key FROM keyed k JOIN n_pages p ON p.doc = k.doc AND n_pages >= 3
-        WHERE (place <= {edge} OR place > n_lines - {edge}) AND length(key) <= {most} GROUP BY k.doc, key, n_pages HAVING count(DISTINCT page) >= {least})
-      SELECT k.doc, k.page, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM keyed k LEFT JOIN heads h ON h.doc = k.doc AND h.key = k.key
-      WHERE h.key IS NULL {numbers} GROUP BY k.doc, k.page"""
+def _furniture_sql(key, most, edge, least, number):
+    """number: what else goes, of a line."""
+    return f"""WITH {_PAGE_LINES}, keyed AS (SELECT p.*, {key} AS key, n_pages FROM placed p JOIN n_pages USING (doc)),
+      heads AS (SELECT doc, key FROM keyed WHERE n_pages >= 3 AND (place <= {edge} OR place > n_lines - {edge}) AND {most} GROUP BY doc, key, n_pages HAVING count(DISTINCT page) >= {least})
+      SELECT k.doc, k.page, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h.key IS NULL AND NOT coalesce({number}, false)), '')) AS digest
+      FROM keyed k LEFT JOIN heads h ON h.doc = k.doc AND h.key = k.key GROUP BY k.doc, k.page"""
 
 
 _digest = lambda df: df.select("doc", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
-_add("d01_furniture", lambda s, d: _digest(pages.without_furniture(doc_pages(s, d))), _furniture_sql("trim(line)", 90, "2", "greatest(2, floor(n_pages * 0.6))", "AND NOT regexp_matches(line, '(?i)^[ \\t]*(?:page[ \\t]+)?\\d{1,4}(?:[ \\t]+of[ \\t]+\\d{1,4})?[ \\t]*$')"))
-_add("d02_furniture_offsets", lambda s, d: _digest(pages.without_furniture(doc_pages(s, d), "offsets")), _furniture_sql("regexp_replace(trim(line), '\\d+', '#', 'g')", 80, "(CASE WHEN n_lines > 5 THEN 2 ELSE 1 END)", "greatest(3, ceil(n_pages * 0.5))", ""))
+_add("d01_furniture", lambda s, d: _digest(pages.without_furniture(doc_pages(s, d))), _furniture_sql("trim(line)", "length(key) <= 90", "2", "greatest(2, floor(n_pages * 0.6))", "trim(line) <> '' AND (try_cast(trim(line) AS INT) BETWEEN 0 AND 9999 OR regexp_matches(lower(trim(line)), '^page *[0-9]{1,4}$') OR regexp_matches(trim(line), '^[0-9]{1,4} */ *[0-9]{1,4}$'))"))
+_add("d02_furniture_offsets", lambda s, d: _digest(pages.without_furniture(doc_pages(s, d), "offsets")), _furniture_sql("regexp_replace(trim(line), '[0-9]+', '#', 'g')", "length(line) <= 80 AND length(key) >= 2", "(CASE WHEN n_lines > 5 THEN 2 ELSE 1 END)", "greatest(3, ceil(n_pages * 0.5))", "n_pages >= 3 AND regexp_matches(trim(line), '^[0-9]{1,4}$')"))
 
 
 def reading_events(s: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import normalize, rules, segment
+from loomtext.sources.tables import spread
 
 TRIGGERS = [
     "He said “wait” — it’s 5–10 km² [12] away.. really?? yes!!",
@@ -25,7 +26,7 @@ TRIGGERS = [
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     line = F.element_at(F.array(*map(F.lit, TRIGGERS)), (F.pmod(F.col("doc_id"), F.lit(len(TRIGGERS))) + 1).cast("int"))
     return docs.select("doc_id", "lang", F.concat("text", F.lit("\n"), line).alias("text"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".log", ".csv", ".json", ".html", ".htm", ".py", ".js", ".xml", ".yaml", ".yml", ".tex")
+#: Extensions that are read as text (fixed values).
+TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".log", ".csv", ".json", ".py", ".js", ".ts", ".html", ".htm", ".xml", ".yaml", ".yml")
 SUFFIXES = (*TEXT_SUFFIXES, ".pdf", ".epub", ".docx")
 
 

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.identity import next_page_url, resolved
+
 #: Tags, roles and fragments that mark furniture or content (fixed values of the scoring).
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED_TAGS = set("script style noscript template svg canvas iframe object embed audio video map area select option textarea input button label progress meter dialog nav footer aside".split())
@@ -26,7 +28,7 @@ ROLES = {
 JUNK = r"(?i)(^|[\s_-])(nav|menu|sidebar|side-bar|footer|header|masthead|banner|advert|ads?|sponsor|promo|social|share|comment|disqus|related|recommend|newsletter|subscribe|signup|popup|modal|overlay|cookie|consent|gdpr|breadcrumb|pagination|paginate|toolbar|widget|skip-link|screen-reader|sr-only|visually-hidden)([\s_-]|$)"
 GOOD = r"(?i)(^|[\s_-])(article|articlebody|post|postbody|entry|entry-content|content|main|story|storybody|blog|markdown|prose|text|body-copy|rich-text)([\s_-]|$)"
 
-NODES = "page_id long, node int, path array<int>, block int, tag string, ident string, role string, skipped boolean, in_link boolean, text string"
+NODES = "page_id long, node int, path array<int>, block int, tag string, ident string, role string, skipped boolean, in_link boolean, text string, href string, rel string, label string, classes array<string>, element_id string, unavailable boolean"
 
 
 class _Lister(HTMLParser):
@@ -35,23 +37,26 @@ class _Lister(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
-        self.open: list[tuple[int, str, bool, bool, int]] = []  # node, tag, skipped, in a link, nearest block
+        self.open: list[tuple[int, str, bool, bool, int, bool]] = []  # node, tag, skipped, in a link, nearest block, hidden
 
-    def _row(self, node: int, tag: str, ident: str, role: str, skipped: bool, link: bool, block: int, text: str | None) -> None:
-        self.rows.append((node, [o[0] for o in self.open], block, tag, ident, role, skipped, link, text))
+    def _row(self, node: int, tag: str, ident: str, role: str, skipped: bool, link: bool, block: int, text: str | None, more: tuple = (None,) * 6) -> None:
+        self.rows.append((node, [o[0] for o in self.open], block, tag, ident, role, skipped, link, text, *more))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS and any(o[1] == "p" for o in self.open):
             self.handle_endtag("p")
         a = {k: v or "" for k, v in attrs}
-        above = self.open[-1] if self.open else (-1, "", False, False, 0)
+        above = self.open[-1] if self.open else (-1, "", False, False, 0, False)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or any(x in a.get("style", "").replace(" ", "") for x in ("display:none", "visibility:hidden", "opacity:0;")) or a.get("style", "").replace(" ", "").endswith("opacity:0")
         skipped = above[2] or hidden or tag in SKIPPED_TAGS or a.get("role", "") in SKIPPED_ROLES
         node, link = len(self.rows), above[3] or tag == "a"
         block = node if tag in BLOCKS else above[4]
-        self._row(node, tag, f"{a.get('class', '')} {a.get('id', '')}", a.get("role", ""), skipped, link, block, None)
+        unseen = above[5] or hidden
+        unavailable = unseen or "disabled" in a or a.get("aria-disabled") == "true"
+        more = (a.get("href"), a.get("rel"), a.get("aria-label"), a.get("class", "").split(), a.get("id"), unavailable)
+        self._row(node, tag, f"{a.get('class', '')} {a.get('id', '')}", a.get("role", ""), skipped, link, block, None, more)
         if tag not in VOID:
-            self.open.append((node, tag, skipped, link, block))
+            self.open.append((node, tag, skipped, link, block, unseen))
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -61,7 +66,7 @@ class _Lister(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open and data:
-            _, tag, skipped, link, block = self.open[-1]
+            _, tag, skipped, link, block, _ = self.open[-1]
             self._row(len(self.rows), "#text", "", "", skipped, link, block, data)
 
 
@@ -69,8 +74,8 @@ def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Dat
     """A row for each element and text of each page; null pages have none."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "node", "path", "block", "tag", "ident", "role", "skipped", "in_link", "text"]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+        names = ["page_id", "node", "path", "block", "tag", "ident", "role", "skipped", "in_link", "text", "href", "rel", "label", "classes", "element_id", "unavailable"]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_()]
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lister = _Lister()
@@ -125,9 +130,44 @@ def blocks(found: DataFrame, roots: DataFrame, code: str = "read") -> DataFrame:
     return out.where("role <> 'code'") if code == "skip" else out
 
 
-def next_links(found: DataFrame) -> DataFrame:
-    """(page_id, node): each page's likeliest link to its next page: by its words, the first in document order."""
-    links = found.where("tag = '#text' and in_link").select("page_id", "node", F.lower(F.trim("text")).alias("t"))
-    hit = F.exists(F.array(*map(F.lit, ["next", "older", "continue", "›", "»", "→"])), lambda w: (F.col("t") == w) | F.startswith(F.col("t"), F.concat(w, F.lit(" "))) | F.endswith(F.col("t"), F.concat(F.lit(" "), w)))
-    first = F.row_number().over(Window.partitionBy("page_id").orderBy("node"))
-    return links.where(hit & (F.length("t") <= 30)).withColumn("r", first).where("r = 1").select("page_id", "node")
+#: How a page names its next page, in the order in which the ways are tried, and how sure each is (fixed values).
+STRATEGIES = (("link-rel-next", "high"), ("aria-next", "medium"), ("class-next", "medium"), ("text-next", "low"), ("url-increment", "low"))
+NEXT_WORDS = ("next", "older", "continue", "›", "»", "→")
+
+
+def next_pages(found: DataFrame, pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """(page_id, next_url, label, strategy, confidence, confirm): each page's next page, by the first strategy that finds one,
+    the first element in document order. Links that are disabled, hidden or lead to the page itself don't count; what is
+    less than medium sure is to be confirmed."""
+    texts = found.where("tag = '#text'").select("page_id", F.explode("path").alias("node"), F.struct(F.col("node").alias("at"), "text").alias("t"))
+    linked = found.where("href is not null and not unavailable").select("page_id", "node", "tag", "href", "rel", "label", "classes", "element_id")
+    inner = texts.join(linked.select("page_id", "node"), ["page_id", "node"], "left_semi").groupBy("page_id", "node").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    inner = inner.select("page_id", "node", F.trim(F.array_join(F.transform("all", lambda x: x["text"]), "")).alias("inner"))
+    word = F.lower(F.col("inner"))
+    said = F.exists(F.array(*map(F.lit, NEXT_WORDS)), lambda w: (word == w) | F.startswith(word, F.concat(w, F.lit(" "))) | F.endswith(word, F.concat(F.lit(" "), w)))
+    has = lambda name: F.array_contains("classes", name)
+    ways = F.array(
+        F.when(F.col("tag").isin("a", "link") & (F.col("rel") == "next"), 0),
+        F.when(F.col("label").rlike("(?i)next"), 1),
+        F.when((has("next") & ~has("disabled")) | has("pagination-next") | has("next-page") | (F.col("element_id") == "next"), 2),
+        F.when((F.col("tag") == "a") & (F.length("inner") <= 30) & said, 3),
+    )
+    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"))
+    links = linked.join(inner, ["page_id", "node"], "left").withColumn("inner", F.coalesce("inner", F.lit(""))).withColumn("way", F.explode(F.array_compact(ways)))
+    links = links.join(own, "page_id").withColumn("next_url", resolved(F.col("href"), F.col("url")))
+    label = F.when(F.col("way") == 3, F.lower("inner")).when(F.col("inner") != "", F.col("inner")).otherwise(F.coalesce("label", F.lit("Next")))
+    stepped = own.select("page_id", "url", next_page_url(F.col("url")).alias("next_url"), F.lit(4).alias("way"), F.lit(0).alias("node"), F.lit("Next page").alias("name"))
+    every = links.select("page_id", "url", "next_url", "way", "node", F.substring(F.trim(label), 1, 60).alias("name")).unionByName(stepped)
+    here = lambda c: F.regexp_replace(c, "#.*$", "")
+    every = every.where(F.col("next_url").isNotNull() & (here(F.col("next_url")) != here(F.col("url"))))
+    first = every.groupBy("page_id").agg(F.min(F.struct("way", "node", "next_url", "name")).alias("f"))
+    strategy = F.get(F.array(*(F.lit(s) for s, _ in STRATEGIES)), F.col("f.way"))
+    confidence = F.get(F.array(*(F.lit(c) for _, c in STRATEGIES)), F.col("f.way"))
+    return first.select("page_id", "f.next_url", F.col("f.name").alias("label"), strategy.alias("strategy"), confidence.alias("confidence"), (confidence == "low").alias("confirm"))
+
+
+def unvisited(next_: DataFrame, visited: DataFrame) -> DataFrame:
+    """Next pages that haven't been read (visited: url), whatever their fragments, so that a circle of pages ends."""
+    key = lambda c: F.regexp_replace(c, "#.*$", "")
+    seen = visited.select(key(F.col("url")).alias("_key")).distinct()
+    return next_.join(seen, key(F.col("next_url")) == F.col("_key"), "left_anti")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from loomtext.functions import identity, speech
-from loomtext.operators import anchors, history, pages
+from loomtext.functions import identity, pronounce, speech
+from loomtext.operators import anchors, history, layout, pages
 
 
 def located(spark, before, index, after, changed=False):
@@ -50,10 +50,65 @@ def test_running_heads(spark):
     assert offsets[1, 3] == "more\nand more"
 
 
-def test_baselines(spark):
-    items = [(1, "world", 50.0, 700.5, 10.0), (1, "Hello", 10.0, 700.0, 10.0), (1, "next", 10.0, 680.0, 10.0)]
-    got = pages.baselines(spark.createDataFrame(items, "page int, str string, x double, y double, height double"))
-    assert [r.text for r in got.orderBy("row").collect()] == ["Hello world", "next"]
+ITEMS = "page int, str string, x double, y double, width double, height double"
+
+
+def read_lines(spark, items, width=None):
+    frame = spark.createDataFrame([(1, t, float(x), float(y), float(w), float(h)) for t, x, y, w, h in items], ITEMS)
+    return layout.lines(layout.columns(frame, width) if width else frame)
+
+
+def test_layout_lines(spark):
+    def texts(*items):
+        return [r.text for r in read_lines(spark, items).orderBy("col", "row").collect()]
+
+    assert texts(("world", 50, 700.5, 30, 10), ("Hello", 10, 700, 30, 10), ("next", 10, 680, 30, 10), ("  ", 90, 680, 5, 10)) == ["Hello world", "next"]
+    assert texts(("third", 50, 100, 100, 10), ("first", 50, 300, 100, 10), ("second", 50, 200, 100, 10)) == ["first", "second", "third"]
+    assert texts(("text", 50, 200, 20, 10), ("1", 71, 203, 4, 6)) == ["text1"]
+    assert texts(("to", 50, 200, 10, 10), ("day", 60, 200, 15, 10)) == ["today"]
+    assert texts(("to", 50, 200, 10, 10), ("day", 75, 200, 15, 10)) == ["to day"]
+    assert read_lines(spark, [("  ", 1, 1, 1, 1)]).count() == 0
+
+
+def test_layout_columns(spark):
+    numbers = ("one", "two", "three", "four")
+    both = [(f"{side} {n}", x, 300 - 20 * k, 150, 10) for k, n in enumerate(numbers) for side, x in (("Left", 50), ("Right", 320))]
+    got = [r.text for r in read_lines(spark, both, 600.0).orderBy("col", "row").collect()]
+    assert got == [f"{side} {n}" for side in ("Left", "Right") for n in numbers]
+    single = [(n, 50, 300 - 20 * k, 500, 10) for k, n in enumerate("abcdefgh")]
+    note = [(n * 40, 50, 300 - 20 * k, 400, 10) for k, n in enumerate("abcdefgh")] + [("note", 520, 300, 30, 10)]
+    assert {r.col for r in read_lines(spark, single, 600.0).collect()} == {r.col for r in read_lines(spark, note, 600.0).collect()} == {0}
+
+
+def test_layout_texts(spark):
+    def text(*lines):
+        return layout.texts(read_lines(spark, [(t, 50, y, 100, 10) for t, y in lines])).first().text
+
+    assert text(("some inter-", 300), ("national text", 285)) == "some international text"
+    assert text(("a well-", 300), ("Known name", 285)) == "a well- Known name"
+    assert text(("first para", 300), ("continues here", 285), ("second para", 230)) == "first para continues here\n\nsecond para"
+
+
+def test_pages_keep_their_blank_lines(spark):
+    book = [(1, p, f"My Book\n\ntext {p}\n\n{n}") for p, n in enumerate(["1", "Page3", "4 / 9"])] + [(1, 3, "My Book\n12")]
+    got = {r.page: r.text for r in pages.without_furniture(spark.createDataFrame(book, "doc int, page int, text string")).collect()}
+    assert got == {0: "\ntext 0\n", 1: "\ntext 1\n", 2: "\ntext 2\n", 3: ""}
+
+
+def test_pronunciation_rules(spark):
+    def said(text, user=(), dialect="offsets"):
+        rules = pronounce.read_rules(pronounce.overridden(pronounce.table(spark, pronounce.SHIPPED), pronounce.table(spark, user)))
+        return spark.range(1).select(pronounce.pronounced(F.lit(text), rules, dialect)).first()[0]
+
+    assert said("The GIF loaded. gif Gif") == "The jiff loaded. jiff jiff" and said("Run nginx now.") == "Run engine ex now."
+    assert said("The GUI appeared.") == "The gooey appeared." and said("environmental") == "environmental" and said(None) is None
+    assert said("The GIF loaded.", [pronounce.Rule("gif", "gif")]) == "The gif loaded."
+    assert said("Acme Corporation ships.", [pronounce.Rule("Acme", "ack me"), pronounce.Rule("Acme Corporation", "ack me corp")]) == "ack me corp ships."
+    assert said("one cat", [pronounce.Rule("cat", "cat cat")]) == "one cat cat" and said("a us b", [pronounce.Rule("us", "x", enabled=False)]) == "a us b"
+    assert said("Dr. Chen", [pronounce.Rule(r"\bDr\.", "Doctor", regex=True)]) == "Doctor Chen"
+    assert said("this is ok", [pronounce.Rule("([unclosed", "x", regex=True), pronounce.Rule("ok", "fine $1\\")]) == "this is fine $1\\"
+    assert said("IT it", [pronounce.Rule("IT", "I T", match_case=True)]) == "I T it"
+    assert said("url_x URL", dialect="blocktext") == "url_x U R L" and said("url_x", dialect="offsets") == "U R L_x"
 
 
 def test_history(spark):

@@ -53,7 +53,8 @@ def test_article(spark):
     found = html.nodes(spark.createDataFrame([(1, page), (2, None), (3, "<p>x")], "page_id long, html string"))
     got = html.blocks(found, html.article_roots(found)).orderBy("block").collect()
     assert [(r.role, r.text[:10]) for r in got if r.page_id == 1] == [("heading", "Title"), ("paragraph", long_[:10]), ("paragraph", long_[:10]), ("code", "code")]
-    assert html.next_links(found).count() == 1
+    own = spark.createDataFrame([(1, "https://x.test/a?page=1")], "page_id long, url string")
+    assert html.next_pages(found, own).count() == 1
     assert {r.role for r in html.blocks(found, html.article_roots(found), "skip").collect()} == {"heading", "paragraph"}
 
 
