@@ -231,7 +231,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text", into: str = "l
             rows = [r for block in blocks(texts, most) for r in label_block(block, held.value)]
             yield pd.DataFrame(rows, columns=["lang", "score", "spans"])
 
-    return docs.withColumn(into, label(F.col(text)))
+    # so that a filter on the labels and their use are one evaluation
+    return docs.withColumn(into, label.asNondeterministic()(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):
