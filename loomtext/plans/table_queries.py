@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import identity as I
 from loomtext.operators import anchors, history, pages
+from loomtext.streaming import watch
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -194,13 +195,13 @@ _add(
 )
 _add(
     "l11_growth_bursts",
-    lambda s, d: _read(s, d, "events").withColumn("t", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).where("total >= 20").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total"),
+    lambda s, d: watch.growth_bursts(_read(s, d, "events").select(F.col("user_id").alias("page"), F.length("props").cast("long").alias("n_chars"), F.col("ts").cast("timestamp").alias("ts")), "30 minutes", 20),
     """WITH g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
         SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))
-      SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, burst HAVING round(sum(value), 4) >= 20""",
+      SELECT user_id AS page, sum(length(props))::BIGINT AS n_chars FROM g GROUP BY user_id, burst HAVING sum(length(props)) >= 20""",
 )
 _add("l14_saved_positions", lambda s, d: reading_events(s, d).where("last_index % 10 = 0").select("event_id", "uri"), f"SELECT event_id, uri FROM ({_EVENTS}) WHERE last_index % 10 = 0")
-_add("l18_windows", lambda s, d: _read(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+_add("l18_windows", lambda s, d: watch.event_counts(_read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("count").alias("n")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
 def as_of(s, d):
