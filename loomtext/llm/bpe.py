@@ -6,7 +6,8 @@ its prefix's encoding and where that token starts. A prefix that words share is
 of a word is read off its path backwards. The last token of a prefix is the one suffix whose token can follow
 the last token of the rest: two tokens can stand side by side if merging their joined bytes gives them back.
 
-Nulls count as empty texts. Whole texts of any length are encoded; the state of a word is two integers a byte.
+Nulls count as empty texts. Whole texts of any length are encoded; the state of a word is two integers a byte. Rows
+that repeat get equal ids, null ids of documents stay, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

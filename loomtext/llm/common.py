@@ -87,6 +87,18 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer by as many underscores as it takes for `docs` to have no such columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once a row and use it in `body`, lambdas included."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,7 +7,8 @@ for each switch, gives the most likely sequence of languages, whose runs are the
 the one with most letters in its spans, and its score the share of letters it has.
 
 Null texts and texts without a letter are `und` with score 0 and no spans. With no rows to learn from, every text
-with a letter is `und` too. Ties go to the language that sorts first. Rows that repeat get equal results.
+with a letter is `und` too. Ties go to the language that sorts first. Rows that repeat get equal results. An empty table
+gives an empty result. A very long text is scored whole, at about 100 bytes a character with four languages.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ these words are looked up in a file; each occurrence votes for (template, where
 the right relative positions. A start with enough votes is verified: the template's mandatory phrase must
 stand there. The index and the templates are fixed in size; document frequencies are one count per index word.
 
-Null and empty texts have no words, places or labels. Repeated rows get equal results.
+Null and empty texts have no words, places or labels. Repeated rows get equal results. An empty table gives an empty
+result. A very long text is one array of words in its row.
 """
 
 from __future__ import annotations

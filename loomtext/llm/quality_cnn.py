@@ -7,7 +7,8 @@ responds at all. One logistic unit combines them into a probability.
 
 It learns from a bounded sample of labelled rows (about ROWS_PER_CLASS of each label, chosen by a hash of the id,
 weighed so that the labels keep their shares), whole texts each. Null and empty texts are one chunk of zero bytes.
-With no labels every score is 0.5. Rows that repeat get equal scores.
+With no labels every score is 0.5. Rows that repeat get equal scores. An empty table gives an empty result. A very long
+text is covered by chunks like any other.
 """
 
 from __future__ import annotations

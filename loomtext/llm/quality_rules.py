@@ -4,6 +4,7 @@ Each line with a word is judged by itself: punctuation (does a clause or sentenc
 navigation (separators between menu entries) and boilerplate (fixed phrases, symbol runs). Failing lines are
 removed; a document that loses more than MOST_LOST of its characters is rejected, as is one that fails the base
 rule on its words. Null and empty texts have no words and fail the base rule. Repeated rows get equal verdicts.
+An empty table gives an empty result. A very long text is judged whole, as arrays of its words and lines in one row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import SPACE, let
+from loomtext.llm.common import SPACE, let, unused
 
 #: Phrases of page furniture (fixed values of the rule).
 BOILERPLATE = (
@@ -71,8 +72,9 @@ def line_fails(line: Column) -> Column:
     return unpunctuated | shouting | navigation | symbols | boilerplate
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a struct column `_rules`: counts, the cleaned text and the verdict."""
+def judged(docs: DataFrame, text: str = "text", into: str = "_rules") -> DataFrame:
+    """`docs` with a struct column `into` (which replaces one of that name): counts, the cleaned text and the verdict."""
+    on_word, on_line = unused(docs, "_words", "_lines")
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def on_words(w: Column) -> Column:
@@ -89,20 +91,21 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             F.array_join(kept, "\n").alias("clean_text"),
         )
 
-    found = docs.withColumn("_words", let(words_of(whole), on_words)).withColumn("_lines", let(F.split(whole, "\n"), on_lines))
-    removed = F.length(whole) - F.length("_lines.clean_text")
-    base_failed = (F.col("_words.n_words") < LEAST_WORDS) | (100 * F.col("_words.n_repeat_words") > 50 * F.col("_words.n_words"))
+    found = docs.withColumn(on_word, let(words_of(whole), on_words)).withColumn(on_line, let(F.split(whole, "\n"), on_lines))
+    removed = F.length(whole) - F.length(f"{on_line}.clean_text")
+    n_words, n_repeated = F.col(f"{on_word}.n_words"), F.col(f"{on_word}.n_repeat_words")
+    base_failed = (n_words < LEAST_WORDS) | (100 * n_repeated > 50 * n_words)
     rules = F.struct(
-        "_words.n_words",
+        n_words.alias("n_words"),
         F.length(F.regexp_replace(whole, SPACE + "+", "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        "_lines.n_dup_lines",
-        "_words.n_repeat_words",
+        F.col(f"{on_line}.n_dup_lines"),
+        n_repeated.alias("n_repeat_words"),
         base_failed.alias("base_failed"),
         (~base_failed & (removed <= MOST_LOST * F.length(whole))).alias("kept"),
-        "_lines.clean_text",
+        F.col(f"{on_line}.clean_text"),
     )
-    return found.withColumn("_rules", rules).drop("_words", "_lines")
+    return found.withColumn(into, rules).drop(on_word, on_line)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,6 +39,15 @@ def test_quality_rules(spark, documents):
     assert quality_rules.digest(documents([])).count() == 0
 
 
+def test_quality_rules_keep_a_callers_columns(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents(["Some words stand here."]).withColumn("_words", F.lit("w")).withColumn("_LINES", F.lit("l")).withColumn("_rules", F.lit("r")).withColumn("_words_", F.lit("x"))
+    row = quality_rules.judged(docs, into="verdict").first()
+    assert (row["_words"], row["_LINES"], row["_rules"], row["_words_"]) == ("w", "l", "r", "x") and row.verdict.n_words == 4
+    assert quality_rules.judged(docs).first()["_rules"].n_words == 4
+
+
 def test_lines_are_cleaned_first(spark, documents):
     prose = " ".join(f"Word{k} goes{k} on{k} for{k} long{k}, and ends{k}." for k in range(12))
     docs = documents([prose + "\nHome | About | News | Contact | Login\nAll rights reserved by us.", "Home | News | Login\n" * 40 + prose[:200]])
@@ -116,6 +125,32 @@ def test_mixing(spark, documents):
     assert [r.taken for r in only] == [0, 0]
 
 
+def test_mixing_tells_rows_that_share_an_id_apart(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i % 40, words(10 + i % 7 + 20 * (i % 2)), "en", "ac"[i % 2], 0) for i in range(160)]
+    rows += [(None, f"{words(9)} {i}", "en", "b", 0) for i in range(120)] + [(7, words(33), "en", "d", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows)
+    copies, words_of, target = {}, {}, {}
+    for r in got:
+        copies.setdefault((r.doc_id, r.source, r.mark), set()).add(r.copies)
+        words_of[r.source] = words_of.get(r.source, 0) + r.copies * r["size"]
+        target[r.source] = r.target
+    assert all(len(c) == 1 for c in copies.values())
+    nulls = [r.copies for r in got if r.doc_id is None]
+    assert 0 < sum(nulls) < 2 * len(nulls) and len(set(nulls)) > 1
+    assert all(abs(words_of[s] - target[s]) <= 120 for s in target), [(s, words_of[s], target[s]) for s in target]
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = [None, "", "a", "B", "é", "z", "\U00010000", "\uffee", *(f"h{i}" for i in range(300))]
+    frame = spark.createDataFrame([(n,) for n in names], "source string")
+    got = {r.source: r.place for r in mixing.numbered(frame).collect()}
+    ordered = sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n])
+    assert got == {n: k for k, n in enumerate([*ordered, None])}
+
+
 def test_rates_meet_their_targets(spark, documents):
     texts = [" ".join(["w"] * (i % 50 + 1)) for i in range(300)]
     got = mixing.mixed(documents(texts)).collect()
