@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import small_batches
+from loomtext.llm.common import small_batches, tidy
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,6 +70,10 @@ class TrieBpe:
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the words and pairs of the last task: the worker that holds them lives on."""
+        self.held, self.older, self.adjacent = {}, {}, {}
+
     def merged(self, raw: bytes) -> list[bytes]:
         """Plain merging, lowest rank first: the definition that the traversal must agree with."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
@@ -187,8 +191,9 @@ def _with(docs: DataFrame, path: str, source: str, added: dict[str, str], work)
                 part = batch.slice(a, b - a)
                 made = work(bpe, part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], [*kept, *added])
+        bpe.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _encode(bpe: TrieBpe, texts: list[str | None]) -> list[bytes]:

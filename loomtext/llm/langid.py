@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, remainder, small_batches
+from loomtext.llm.common import blocks, released, remainder, small_batches
 
 #: Unicode ranges of scripts, by block (fixed values).
 SCRIPTS = (
@@ -231,6 +231,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", into: str = "l
         for texts in batches:
             rows = [r for block in blocks(texts, most) for r in label_block(block, held.value)]
             yield pd.DataFrame(rows, columns=["lang", "score", "spans"])
+        released()
 
     # so that a filter on the labels and their use are one evaluation
     return docs.withColumn(into, label.asNondeterministic()(F.col(text)))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bitmap, blocks, forget, let, pieces, small_batches, staged
+from loomtext.llm.common import bitmap, blocks, forget, let, pieces, small_batches, staged, tidy
 
 LEAST_WORDS, LEAST_JOINED = 1, 4
 #: The threshold as a fraction, 4/5: sizes and overlaps are compared in integers.
@@ -113,7 +113,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([c.tobytes() for c in sums.values()])], ["chunk", "counts"])
 
     kind = "chunk long, counts binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).toPandas()
+    found = docs.select("text").mapInArrow(tidy(count), kind).repartition("chunk").mapInArrow(add, kind).toPandas()
     counts = np.zeros((1 << RARITY_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
     for chunk, own in zip(found["chunk"], found["counts"]):
         counts[chunk] = np.frombuffer(own, dtype=np.int64)
@@ -228,7 +228,7 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
                     )
                 at += len(block)
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(lines, LINE)
+    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tidy(lines), LINE)
 
 
 # The comparisons of a task: rows are arrays n, room (words from the entry's on) and the buckets' counts, by size.
@@ -431,7 +431,7 @@ def candidates(classes: DataFrame, common: DataFrame, sure: float = SURE, wide:
             if len(out):
                 yield _met(table, found, out, split)
 
-    return rows_of.mapInArrow(meet, MET)
+    return rows_of.mapInArrow(tidy(meet), MET)
 
 
 def nearest(met: DataFrame) -> DataFrame:
@@ -487,7 +487,7 @@ def word_sets(docs: DataFrame, at: DataFrame, places: np.ndarray) -> DataFrame:
         parts = [pa.array(ids[own]), pa.array(place[own]), pa.array(n.astype(np.int32)), _binary(counts.astype(np.uint8).reshape(-1, BUCKETS)), prefix, words]
         return pa.RecordBatch.from_arrays(parts, ["doc_id", "place", "n", "bits", "prefix", "words"])
 
-    found = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(read, "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
+    found = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tidy(read), "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
     return found.join(at.select("doc_id", "place"), ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"])
 
 
