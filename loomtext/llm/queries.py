@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import ann, bpe, langid, licenses, line_dedup, mixing, quality_cnn, quality_rules, simhash, toxicity
+from loomtext.llm import ann, bpe, langid, licenses, line_dedup, mixing, phrases, quality_cnn, quality_rules, simhash, toxicity
 from loomtext.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_licenses": op9_licenses,
     "op10_langid": op10_langid,
+    "op11_phrases": op11_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
