@@ -7,15 +7,15 @@ candidate. It is scored at its weakest cut, floor(2000000 a / (l + r)) with a it
 dropped if a phrase one word longer holds COVERED hundredths of its places (if any longer candidate does, the one between
 does too), and ranked within its language.
 
-Most rows of a corpus stand there once, and would only be shuffled to be dropped. So the rows are exploded three times:
+Most rows of a corpus stand there once, and would only be shuffled to be dropped, and text is shuffled dearly. So the rows
+are exploded three times:
 
-1. words and pairs, as 64-bit keys: those that reach LEAST go into a filter of fixed size;
+1. words and pairs, as 128-bit keys, counted: those that reach LEAST go into a filter of bounded size;
 2. longer phrases of which the filter has every pair (a phrase is no commoner than a part of it), likewise;
-3. what the filters have, as text, counted again.
+3. the texts of the keys that are left, each from the documents of one bucket only, the one that came with its count.
 
-Two phrases with one key, and a full filter, let more rows through to step 3, never fewer; what is returned is counted there,
-phrase by phrase. In a task, rows of a slice are equal if two 64-bit hashes and the length are. Counts are summed in the tasks
-first, so a phrase that all documents hold is a row or a few of each task.
+A full filter lets more rows through to steps 2 and 3, never fewer; what it lets through by mistake finds no count. Counts are
+summed in the tasks first, so a phrase that all documents hold is a row or a few of each task.
 
 Null texts are empty; a null language is `und` (as the language `und` is). An empty table gives no rows. Repeated rows count
 again. Ties: equal scores by count, then by the phrase's UTF-8 bytes, so that ranks are unique. Very long texts are taken in
@@ -39,8 +39,8 @@ from loomtext.llm.common import bitmap, forget, small_batches, staged, tidy
 from loomtext.sources.tables import spread
 
 MOST_WORDS, LEAST, COVERED, KEEP = 4, 30, 80, 2_000
-#: Bytes of a slice; keys and phrases that a task holds before it gives them out.
-SLICE, HELD_KEYS, HELD_PHRASES = 2_000_000, 4_000_000, 400_000
+#: Bytes of a slice; keys that a task holds before it gives them out; buckets of documents.
+SLICE, HELD_KEYS, BUCKETS = 2_000_000, 4_000_000, 1 << 15
 #: log2 of the bits of a filter, at least and at most (32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 #: Characters that part words, and that part pieces (fixed values).
@@ -51,7 +51,8 @@ class Slice(NamedTuple):
     raw: bytes
     start: np.ndarray  # of each word: its first byte,
     end: np.ndarray  # the byte behind it,
-    piece: np.ndarray  # and the number of its piece
+    piece: np.ndarray  # the number of its piece,
+    bucket: np.ndarray  # and the bucket of its document
     carried: int  # words that the slice before has counted
 
 
@@ -63,28 +64,27 @@ def kinds() -> np.ndarray:
     return out
 
 
-def slice_of(raw: bytes, carried: int = 0) -> Slice:
-    kind = kinds()[np.frombuffer(raw, dtype=np.uint8)]
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = kind == 0
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Slice(raw, start, end, np.cumsum(kind == 2, dtype=np.int32)[start] if len(start) else np.zeros(0, dtype=np.int32), carried)
-
-
-def slices(texts: pa.Array, most_words: int, most: int) -> Iterator[Slice]:
+def slices(texts: pa.Array, buckets: np.ndarray, most_words: int, most: int) -> Iterator[Slice]:
     """The texts in slices of about `most` bytes that end with a word; a slice begins with the last words of the one before."""
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.binary())), b"\n")[0]
+    own = texts.cast(pa.binary())
+    begin = np.cumsum(np.append(0, pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) + 1))[:-1]
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), b"\n")[0]
     raw, at, head, carried = joined.as_buffer().to_pybytes().lower(), 0, b"", 0
     parting = BLANKS + MARKS
     while at < len(raw):
-        end = min(at + most, len(raw))
-        while end < len(raw) and raw[end] not in parting:
-            end += 1
-        found = slice_of(head + raw[at:end], carried)
-        yield found
-        at, carried = end, min(most_words - 1, len(found.start))
-        head = found.raw[found.start[-carried] :] if carried else b""
+        stop = min(at + most, len(raw))
+        while stop < len(raw) and raw[stop] not in parting:
+            stop += 1
+        part, first = head + raw[at:stop], at - len(head)
+        kind = kinds()[np.frombuffer(part, dtype=np.uint8)]
+        inside = np.zeros(len(part) + 2, dtype=np.int8)
+        inside[1:-1] = kind == 0
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        bucket = buckets[np.searchsorted(begin, start + first, side="right") - 1]
+        yield Slice(part, start, end, np.cumsum(kind == 2, dtype=np.int32)[start], bucket, carried)
+        at, carried = stop, min(most_words - 1, len(start))
+        head = part[start[-carried] :] if carried else b""
 
 
 @cache
@@ -159,98 +159,126 @@ def filter_of(keys: DataFrame) -> Filter:
     return Filter(bits, bitmap(at, "bit", bits))
 
 
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     langs = pc.fill_null(batch.column("lang"), "und")
     for lang in pc.unique(langs).to_pylist():
-        yield lang, pc.fill_null(batch.column("text").filter(pc.equal(langs, lang)), "")
+        mine = pc.equal(langs, lang)
+        yield lang, pc.fill_null(batch.column("text").filter(mine), ""), batch.column("bucket").filter(mine).to_numpy(zero_copy_only=False)
+
+
+def keyed(s: Slice, lang: str, most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, first and second half of the keys of the n words from each word on), for n = 1, 2, ..."""
+    seed, words = language_seed(lang), [word_hashes(s, which) for which in (1, 2)]
+    keys = [mixed(w + seed) for w in words]
+    for n in range(1, min(most_words, len(s.start)) + 1):
+        if n > 1:
+            keys = [longer(k, w, n) for k, w in zip(keys, words)]
+        yield n, *keys
+
+
+def runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index for each distinct key, and how often the key occurs (a key may come twice if it shares its first half with another)."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, dtype=np.int64)
+    return order[new], np.diff(np.append(new, len(a)))
 
 
 def frequent(docs: DataFrame, sizes: range, least: int, known: Filter | None, most_words: int) -> DataFrame:
-    """(key) of the phrases of `sizes` words that stand `least` times or more; with `known`, of those of which it has every pair."""
+    """(key, key2, f, bucket) of the phrases of `sizes` words that stand `least` times or more, with the bucket of some document
+    that holds them; with `known`, of those of which it has every pair."""
     slice_bytes, most = SLICE, HELD_KEYS
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def given() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            first, second, bucket = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+            at, counts = runs(first, second)
+            columns = first[at].view(np.int64), second[at].view(np.int64), counts.astype(np.int32), bucket[at]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "key2", "n", "bucket"])
 
         for batch in batches:
-            for lang, texts in by_language(batch):
-                seed = language_seed(lang)
-                for s in slices(texts, most_words, slice_bytes):
-                    words = word_hashes(s, 1)
-                    keys, paired = mixed(words + seed), None
-                    for n in range(1, min(sizes[-1], len(words)) + 1):
-                        keys = keys if n == 1 else longer(keys, words, n)
-                        good = whole(s, n)
+            for lang, texts, buckets in by_language(batch):
+                for s in slices(texts, buckets, most_words, slice_bytes):
+                    paired = None
+                    for n, first, second in keyed(s, lang, sizes[-1]):
                         if known is not None and n == 2:
-                            paired = known.value.has(keys)
+                            paired = known.value.has(first)
                         if n in sizes:
-                            if known is not None:
+                            good = whole(s, n)
+                            if paired is not None:
                                 for shift in range(n - 1):
                                     good &= paired[shift : shift + len(good)]
-                            held.append(keys[good])
-                    if sum(map(len, held)) > most:
+                            held.append((first[good], second[good], s.bucket[: len(good)][good]))
+                    if sum(len(x) for x, _, _ in held) > most:
                         yield given()
         if held:
             yield given()
 
     if known is not None:
         known = docs.sparkSession.sparkContext.broadcast(known)
-    rows = docs.mapInArrow(tidy(explode), "key long, n long")
+    rows = docs.mapInArrow(tidy(explode), "key long, key2 long, n int, bucket short")
     # dealt by key before it is summed: the tasks have summed their own rows
-    return staged(rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
+    counts = rows.repartition("key").groupBy("key", "key2").agg(F.sum("n").alias("f"), F.min("bucket").alias("bucket"))
+    return staged(counts.where(F.col("f") >= least))
 
 
-def phrase_counts(docs: DataFrame, filters: tuple[Filter, Filter], least: int, most_words: int) -> DataFrame:
-    """(lang, n_words, phrase, f) of the phrases that the filters have and that stand `least` times or more; n_words 0: all words of the language."""
-    slice_bytes, most = SLICE, HELD_PHRASES
-    held_filters = docs.sparkSession.sparkContext.broadcast(filters)
+def placed(first: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """A key that holds for the documents of one bucket."""
+    return mixed(first ^ ((bucket.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], int] = {}
 
-        def given() -> pa.RecordBatch:
-            columns = [*zip(*held)]
-            out = [pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array([*held.values()], pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(out, ["lang", "n_words", "phrase", "f"])
+def named(docs: DataFrame, wanted: Filter, most_words: int) -> DataFrame:
+    """(key, key2, lang, n_words, phrase, f): the texts of the keys that `wanted` has in their buckets; n_words 0, with f: how many words the language has."""
+    wanted, slice_bytes, most = docs.sparkSession.sparkContext.broadcast(wanted), SLICE, HELD_KEYS // 8
 
-        short, long = held_filters.value
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
-            for lang, texts in by_language(batch):
-                seed = language_seed(lang)
-                for s in slices(texts, most_words, slice_bytes):
-                    held[lang, 0, b""] = held.get((lang, 0, b""), 0) + len(s.start) - s.carried
-                    words, other = word_hashes(s, 1), word_hashes(s, 2)
-                    keys = mixed(words + seed)
-                    for n in range(1, min(most_words, len(words)) + 1):
-                        keys = keys if n == 1 else longer(keys, words, n)
+            for lang, texts, buckets in by_language(batch):
+                for s in slices(texts, buckets, most_words, slice_bytes):
+                    out = [(0, 0, lang, 0, "", len(s.start) - s.carried)]
+                    for n, first, second in keyed(s, lang, most_words):
                         at = np.flatnonzero(whole(s, n))
-                        at = at[(short if n < 3 else long).has(keys[at])]
-                        check = other[at]
-                        for k in range(1, n):
-                            check = mixed(check * np.uint64(0x9E3779B97F4A7C15) + other[at + k])
-                        order = np.argsort(keys[at], kind="stable")
-                        a, b = keys[at][order], check[order]
-                        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, dtype=np.int64)
-                        counts = np.diff(np.append(first, len(a)))
-                        at = at[order][first]
-                        begin, finish = s.start[at], s.end[at + n - 1]
-                        for x, y, count in zip(begin.tolist(), finish.tolist(), counts.tolist()):
-                            key = lang, n, b" ".join(s.raw[x:y].split())
-                            held[key] = held.get(key, 0) + count
-                    if len(held) > most:
-                        yield given()
-        if held:
-            yield given()
+                        at = at[wanted.value.has(placed(first[at], s.bucket[at]))]
+                        at = at[runs(first[at], second[at])[0]]
+                        for a, b, x, y in zip(first[at].view(np.int64).tolist(), second[at].view(np.int64).tolist(), s.start[at].tolist(), s.end[at + n - 1].tolist()):
+                            if (a, b) not in given:
+                                given.add((a, b))
+                                out.append((a, b, lang, n, b" ".join(s.raw[x:y].split()).decode(), None))
+                    if len(given) > most:
+                        given.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64()))], ["key", "key2", "lang", "n_words", "phrase", "f"])
+
+    return docs.mapInArrow(tidy(explode), "key long, key2 long, lang string, n_words int, phrase string, f long")
+
+
+def placed_keys(keys: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = placed(b.column("key").to_numpy().view(np.uint64), b.column("bucket").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
 
-    rows = docs.mapInArrow(tidy(explode), "lang string, n_words int, phrase string, f long")
-    counts = rows.repartition("lang", "phrase").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
-    return staged(counts.where((F.col("f") >= least) | (F.col("n_words") == 0)))
+    return keys.select("key", "bucket").mapInArrow(run, "key long")
+
+
+def phrase_counts(docs: DataFrame, least: int, most_words: int) -> DataFrame:
+    """(lang, n_words, phrase, f) of the phrases that stand `least` times or more; n_words 0: all words of the language."""
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(BUCKETS)).cast("short"))
+    keys = frequent(docs, range(1, 3), least, None, most_words)
+    parts = [keys]
+    if most_words > 2:
+        parts.append(frequent(docs, range(3, most_words + 1), least, filter_of(keys), most_words))
+        keys = keys.unionByName(parts[1])
+    texts = staged(named(docs, filter_of(placed_keys(keys)), most_words))
+    texts_of = texts.where("n_words > 0").groupBy("key", "key2").agg(F.min(F.struct("lang", "n_words", "phrase")).alias("of"))
+    counts = keys.join(texts_of, ["key", "key2"]).select("of.*", "f")
+    totals = texts.where("n_words = 0").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    found = staged(counts.unionByName(totals))
+    forget(texts, *parts)
+    return found
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -282,15 +310,7 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: i
     if most_words < 2:
         raise ValueError("a phrase to score has two words at least")
     docs = spread(small_batches(docs).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")))
-    pairs = frequent(docs, range(1, 3), least, None, most_words)
-    short = filter_of(pairs)
-    long = Filter(LEAST_BITS, np.zeros(1 << (LEAST_BITS - 3), dtype=np.uint8))
-    if most_words > 2:
-        more = frequent(docs, range(3, most_words + 1), least, short, most_words)
-        long = filter_of(more)
-        forget(more)
-    forget(pairs)
-    counts = phrase_counts(docs, (short, long), least, most_words)
+    counts = phrase_counts(docs, least, most_words)
     over = covered(counts)
     decimal = lambda c: F.col(c).cast("decimal(20, 0)")
     found = scored(counts).join(over, ["lang", "phrase"], "left").where(F.col("most").isNull() | (decimal("most") * 100 < decimal("a") * covering))

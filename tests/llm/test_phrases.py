@@ -51,7 +51,6 @@ def texts(seed, n):
 def test_mined(spark, monkeypatch, most_words, least, keep, slice_bytes, held):
     monkeypatch.setattr(phrases, "SLICE", slice_bytes)
     monkeypatch.setattr(phrases, "HELD_KEYS", held)
-    monkeypatch.setattr(phrases, "HELD_PHRASES", held)
     rows = [(t, random.Random(i).choice(["en", "de", None, "und"])) for i, t in enumerate(texts(most_words, 60))]
     rows += [(None, "en"), ("", None), (" ", "fr"), *rows[:7], ("new york city " * 400, "en"), ("z" * 5_000, "en")]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], DOCS).withColumn("phrase", F.lit("p")).withColumn("n", F.lit(1)).withColumn("key", F.lit(1))
