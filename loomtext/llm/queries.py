@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import ann, bpe, hard_negatives, langid, licenses, line_dedup, mixing, phrases, quality_cnn, quality_rules, simhash, toxicity
+from loomtext.llm import ann, bpe, hard_negatives, html_text, langid, licenses, line_dedup, mixing, phrases, quality_cnn, quality_rules, simhash, toxicity
 from loomtext.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op11_phrases": op11_phrases,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
