@@ -51,7 +51,7 @@ def test_pages_by_hand(page, trees):
 
 
 def test_text_of_blocks(trees):
-    html = f"<article><h1>What one  <h1>A  &amp;\n B</h1>amp;\n two have to say</h1>{MAIN}<p>x&nbsp;&#65;<i>b</i>c&hellip; &am &copy and<br>more words stand in this line.</p><script>no()</script><pre>one\n\n two words here.</pre></article>"
+    html = f"<article><h1>What one  <h1>What one  &amp;\n two have to say</h1>amp;\n two have to say</h1>{MAIN}<p>x&nbsp;&#65;<i>b</i>c&hellip; &am &copy and<br>more words stand in this line.</p><script>no()</script><pre>one\n\n two words here.</pre></article>"
     assert one(html, trees) == "\n\n".join(["What one & two have to say", *PROSE, "x Abc… &am © and more words stand in this line.", "one two words here."])
     assert [one(h, trees) for h in ("", " ", "<", "<!--", "<p", "</p></div>", "<html></html>", "&")] [:2] == ["", ""]
 
