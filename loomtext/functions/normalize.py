@@ -206,23 +206,36 @@ def tables(text: Column) -> Column:
         said = F.array_join(cells(line), ", ")
         return F.when((said == "") | said.rlike("[.!?:;]$"), said).otherwise(F.concat(said, F.lit(".")))
 
-    def fold(lines: Column) -> Column:
-        pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("below")))
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("mode"))
+    def said(run: Column) -> Column:
+        """Lines with bars: the first that stands above a rule begins a table, to the end of the run."""
+        head = F.array_position(F.transform(run, lambda x, i: F.coalesce(F.get(run, i + 1), F.lit("")).rlike(SEPARATOR)), True).cast("int")
 
-        def step(acc: Column, p: Column) -> Column:
-            line, mode = p["line"], acc["mode"]
-            head = (mode != 1) & line.contains("|") & p["below"].rlike(SEPARATOR) & ~((mode == 2) & line.rlike(r"\S"))
-            inside = (mode == 2) & line.contains("|") & line.rlike(r"\S")
-            names = F.array_join(cells(line), ", ")
-            said = F.when(head, F.when(names == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Table: "), names, F.lit(".")))))
-            said = said.when(mode == 1, F.array().cast("array<string>"))
-            said = said.when(inside, F.filter(F.array(row(line)), lambda r: r != "")).otherwise(F.array(line))
-            return F.struct(F.concat(acc["out"], said).alias("out"), F.when(head, 1).when((mode == 1) | inside, 2).otherwise(0).alias("mode"))
+        def from_head(at: Column) -> Column:
+            names = F.array_join(cells(F.get(run, at - 1)), ", ")
+            title = F.when(names == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Table: "), names, F.lit("."))))
+            rows = F.filter(F.transform(F.slice(run, at + 2, F.size(run)), row), lambda r: r != "")
+            return F.when(at == 0, run).otherwise(F.concat(F.slice(run, 1, F.greatest(at - 1, F.lit(0))), title, rows))
 
-        return F.array_join(F.aggregate(pairs, start, step, lambda acc: acc["out"]), "\n")
+        return once(head, from_head)
 
-    return where_contains(text, "|", lambda t: once(F.split(t, "\n"), fold))
+    return where_contains(text, "|", lambda t: once(F.split(t, "\n"), lambda lines: F.array_join(by_runs(lines, lambda x: x.contains("|"), said), "\n")))
+
+
+def by_runs(lines: Column, member, work) -> Column:
+    """`lines` with each longest run of lines that are members replaced by what `work` makes of it. Takes time in proportion to the lines."""
+    at = lambda i: F.coalesce(member(F.get(lines, i)), F.lit(False))
+
+    def replaced(starts: Column, ends: Column) -> Column:
+        ends_before = lambda k: F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1))
+        gap = lambda k, start: F.slice(lines, ends_before(k) + 2, start - ends_before(k) - 1)
+        runs = F.transform(starts, lambda start, k: F.concat(gap(k, start), once(F.slice(lines, start + 1, F.get(ends, k) - start + 1), work)))
+        tail = F.slice(lines, ends_before(F.size(starts)) + 2, F.size(lines))
+        return F.concat(F.flatten(runs), tail)
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(places, lambda i: at(i) & ~F.when(i > 0, at(i - 1)).otherwise(F.lit(False)))
+    ends = F.filter(places, lambda i: at(i) & ~at(i + 1))
+    return once(starts, lambda s: once(ends, lambda e: replaced(s, e)))
 
 
 BULLET = "^\\s*[-*+•]\\s+"
@@ -230,25 +243,28 @@ BULLET = "^\\s*[-*+•]\\s+"
 
 def lists(text: Column) -> Column:
     """Bulleted lists: markers go, each item ends as a sentence does, and a blank line comes before the first."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def closed(out: Column) -> Column:
-        last = F.coalesce(F.element_at(out, -1), F.lit(""))
-        bare = F.rtrim(F.regexp_replace(last, r"\s+$", ""))
-        end = F.when(~last.rlike(r"\S") | bare.rlike("[.!?:;,]$"), last).otherwise(F.concat(bare, F.lit(".")))
-        return F.when(F.size(out) == 0, out).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(end)))
-
-    def step(acc: Column, line: Column) -> Column:
-        bullet, blank = line.rlike(BULLET), ~line.rlike(r"\S")
-        ended = closed(acc["out"])
-        gap = F.when(~acc["open"] & F.coalesce(F.element_at(ended, -1), F.lit("")).rlike(r"\S"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        item = F.concat(ended, gap, F.array(F.regexp_replace(line, BULLET, "")))
-        plain = F.concat(F.when(acc["open"] & blank, ended).otherwise(acc["out"]), F.array(line))
-        return F.struct(F.when(bullet, item).otherwise(plain).alias("out"), (bullet | (acc["open"] & ~blank)).alias("open"))
+
+    def closed(line: Column) -> Column:
+        bare = F.rtrim(F.regexp_replace(line, r"\s+$", ""))
+        return F.when(~line.rlike(r"\S") | bare.rlike("[.!?:;,]$"), line).otherwise(F.concat(bare, F.lit(".")))
+
+    def said(run: Column) -> Column:
+        """Lines without a blank one: what stands before an item ends as a sentence does, so does the last line once there was an item."""
+        marked = F.transform(run, lambda x: x.rlike(BULLET))
+
+        def from_first(first: Column, bullets: Column) -> Column:
+            def line(x: Column, i: Column) -> Column:
+                ends = F.coalesce(F.get(bullets, i + 1), F.lit(False)) | ((i == F.size(run) - 1) & (first > 0))
+                body = F.when(F.get(bullets, i), F.regexp_replace(x, BULLET, "")).otherwise(x)
+                body = F.when(ends, closed(body)).otherwise(body)
+                return F.when((i == first - 1) & (i > 0), F.array(F.lit(""), body)).otherwise(F.array(body))
+
+            return F.flatten(F.transform(run, line))
+
+        return once(marked, lambda bullets: once(F.array_position(bullets, True).cast("int"), lambda first: from_first(first, bullets)))
 
     def folded(t: Column) -> Column:
-        lines = F.split(t, _LINES)
-        done = F.aggregate(lines, start, step, lambda acc: F.array_join(F.when(acc["open"], closed(acc["out"])).otherwise(acc["out"]), "\n"))
+        done = once(F.split(t, _LINES), lambda lines: F.array_join(by_runs(lines, lambda x: x.rlike(r"\S"), said), "\n"))
         return F.when(t.rlike("(?md)" + BULLET), done).otherwise(F.regexp_replace(t, _LINES, "\n"))
 
     return once(F.regexp_replace(text, rf"(?:{_LINES})\z", ""), folded)

@@ -6,8 +6,11 @@ end is white space; each sentence keeps its place). Nulls give null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomtext.functions import rules
 from loomtext.functions.normalize import quoted
@@ -101,10 +104,16 @@ def boundary_offsets() -> str:
     )
 
 
-def _placed(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """pieces (by..., pos, piece) that make up a text: their start in characters, by a running sum over each text."""
-    before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(sizes: pd.Series) -> pd.Series:
+    """Sums of what stands before each element."""
+    return sizes.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - x)
+
+
+def placed(parts: Column) -> Column:
+    """An array of (piece, at) of pieces that make up a text, `at` counting characters; within the row, so nothing is shuffled."""
+    starts = _running(F.transform(parts, lambda p: F.length(p)))
+    return F.transform(F.arrays_zip(parts.alias("piece"), starts.alias("at")), lambda x: F.struct(x["piece"].alias("piece"), x["at"].alias("at")))
 
 
 def split_long(sentence: Column, longest: int) -> Column:
@@ -125,12 +134,15 @@ def sentences_offsets(docs: DataFrame, by: str = "doc_id", text: str = "text", l
         inner = lambda p: split_long(F.regexp_replace(p, r"\s+\z", ""), longest)
         tail = lambda p: F.regexp_extract_all(p, F.lit(r"\s+\z"), 0)
         parts = F.concat(lead, F.flatten(F.transform(pieces(rest, rf"{boundary_offsets()}(?:\s+|\z)"), lambda p: F.concat(inner(p), tail(p)))))
-    placed = _placed(docs.select(by, F.posexplode(parts).alias("pos", "piece")), [by])
-    body = F.regexp_replace("piece", r"^\s+|\s+\z", "")
-    start = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
-    spans = placed.where(F.col("piece").rlike(r"\S")).select(by, "pos", body.alias("text"), start.alias("start"))
-    number = F.row_number().over(Window.partitionBy(by).orderBy("pos")) - 1
-    return spans.select(by, number.alias("seg_idx"), "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    rows = docs.select(F.col(by), parts.alias("_parts"))
+
+    def span(x: Column) -> Column:
+        body = F.regexp_replace(x["piece"], r"^\s+|\s+\z", "")
+        return F.struct(body.alias("text"), (x["at"] + F.length(x["piece"]) - F.length(F.regexp_replace(x["piece"], r"^\s+", ""))).alias("start"))
+
+    spans = F.transform(F.filter(placed(F.col("_parts")), lambda x: x["piece"].rlike(r"\S")), span)
+    found = rows.select(F.col(by), F.posexplode(spans).alias("seg_idx", "_span"))
+    return found.select(by, "seg_idx", "_span.text", "_span.start", (F.col("_span.start") + F.length("_span.text")).alias("end"))
 
 
 def paragraphs(text: Column) -> Column:
@@ -142,5 +154,7 @@ def paragraphs(text: Column) -> Column:
 def word_spans(docs: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
     """(by, word, start, end) of letter runs with marks and apostrophes, in characters."""
     parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}'’]+|[^\p{L}\p{M}'’]+"), 0)
-    placed = _placed(docs.select(by, F.posexplode(parts).alias("pos", "piece")), [by])
-    return placed.where(F.col("piece").rlike(r"^[\p{L}\p{M}'’]")).select(by, F.col("piece").alias("word"), F.col("at").alias("start"), (F.col("at") + F.length("piece")).alias("end"))
+    rows = docs.select(F.col(by), parts.alias("_parts"))
+    spans = F.filter(placed(F.col("_parts")), lambda x: x["piece"].rlike(r"^[\p{L}\p{M}'’]"))
+    found = rows.select(F.col(by), F.explode(spans).alias("_span"))
+    return found.select(by, F.col("_span.piece").alias("word"), F.col("_span.at").alias("start"), (F.col("_span.at") + F.length("_span.piece")).alias("end"))

@@ -63,6 +63,30 @@ BLOCKS = [
 ]
 _add_cases("h00_block_cases", normalize.normalized, BLOCKS)
 
+
+
+def _add_before(name: str, change: Callable[[Column], Column], cases: list[tuple[str, str]], ends: str = "text") -> None:
+    """A stage on the case, a blank line, and the whole text; the SQL has what is expected of the case, and the text as `ends` has it."""
+    texts, expected = zip(*cases)
+    QUERIES[name] = lambda s, d: _docs(s, d).select("doc_id", change(F.concat(_case(texts), F.lit("\n\n"), "text")).alias("done"))
+    ORACLE_SQL[name] = f"SELECT doc_id, [{', '.join(map(literal, expected))}][(doc_id % {len(cases)} + 1)::INT] || chr(10) || chr(10) || {ends} AS done FROM documents"
+
+
+LISTS = [
+    ("- wash the car", "wash the car."), ("- a\n- b", "a.\nb."), ("* x\n* y!\n* z;", "x.\ny!\nz;"), ("To do\n- one\n- two", "To do.\n\none.\ntwo."), ("\n- after a blank", "\nafter a blank."),
+    ("- one\n\n- two", "one.\n\ntwo."), ("- one\ngoes on\n- two", "one\ngoes on.\ntwo."), ("• dot\n+ plus", "dot.\nplus."), ("  - inner\n    - deeper", "inner.\ndeeper."), ("- a,\n- b:", "a,\nb:"), *same("-no list", "a - b", "*emphasis*"),
+]
+_add_before("h24_list_cases", normalize.lists, LISTS, "regexp_replace(text, '\\n$', '')")
+TABLES = [
+    ("| Name | Age |\n|---|---|\n| Ann | 3 |\n| Bo | 4 |", "Table: Name, Age.\nAnn, 3.\nBo, 4."), ("a | b\n--|--\nc! | d!", "Table: a, b.\nc!, d!"), ("x\n| a | b |\n|:--|--:|\ny", "x\nTable: a, b.\ny"),
+    ("| a |  |\n|---|---|\n|  |  |\n| b | |", "Table: a.\nb."), ("| p |\n| a | b |\n| --- | --- |\n| c | d? |", "| p |\nTable: a, b.\nc, d?"), ("| a | b |\n|---|---|", "Table: a, b."), *same("a | b", "|---|---|", "no bars"),
+]
+_add_before("h19_table_cases", normalize.tables, TABLES)
+FENCES = [
+    ("```python\nx = 1\ny = 2\n```", " \n\n Python code block, 2 lines. \n\n "), ("```\none line\n```", " \n\n Code block, 1 line. \n\n "), ("a ```\n``` b", "a  \n\n Code block. \n\n  b"), *same("``` never closed", "one `tick`", "no code"),
+]
+_add_before("h16_fence_cases", normalize.fenced, FENCES)
+
 SENTENCES = [
     (["One two.", "Three four."], " "), (["Really?!", "I had no idea."], " "), (["Wait… what happened?"], " "), (["That was the end…", "The next began."], " "), (["She said \"Stop.\"", "Then she left."], " "),
     (["He left (finally).", "We all cheered."], " "), (["Dr. Smith arrived.", "He was late."], " "), (["The U.S. economy grew.", "Analysts were surprised."], " "), (["J. R. R. Tolkien wrote it.", "Everyone knows."], " "),

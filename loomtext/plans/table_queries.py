@@ -195,7 +195,7 @@ _add(
 )
 _add(
     "l11_growth_bursts",
-    lambda s, d: watch.growth_bursts(_read(s, d, "events").select(F.col("user_id").alias("page"), F.length("props").cast("long").alias("n_chars"), F.col("ts").cast("timestamp").alias("ts")), "30 minutes", 20),
+    lambda s, d: watch.growth_bursts(_read(s, d, "events").select(F.col("user_id").alias("page"), F.length("props").cast("long").alias("n_chars"), F.col("ts").cast("timestamp").alias("ts")), "30 minutes", 20).drop("ts"),
     """WITH g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
         SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))
       SELECT user_id AS page, sum(length(props))::BIGINT AS n_chars FROM g GROUP BY user_id, burst HAVING sum(length(props)) >= 20""",

@@ -28,9 +28,9 @@ def fresh_lines(snapshots: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def growth_bursts(additions: DataFrame, quiet: str = "400 milliseconds", least: int = 120, late: str = "10 seconds") -> DataFrame:
-    """Bursts of added text (page, n_chars, ts) that a quiet gap ends, if they add enough."""
+    """Bursts of added text (page, n_chars, ts: when the quiet is over) that a quiet gap ends, if they add enough."""
     bursts = additions.withWatermark("ts", late).groupBy("page", F.session_window("ts", quiet).alias("burst"))
-    return bursts.agg(F.sum("n_chars").alias("n_chars")).where(F.col("n_chars") >= least)
+    return bursts.agg(F.sum("n_chars").alias("n_chars")).where(F.col("n_chars") >= least).select("page", "n_chars", F.col("burst.end").alias("ts"))
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

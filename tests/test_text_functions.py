@@ -129,3 +129,30 @@ def test_pieces_add_up_whatever_characters_a_text_holds(spark):
 
 def test_urls_with_control_characters(on):
     assert on(normalize.urls, "a\x01b http://X.org/p\x02 c", "\x01 www.a.b") == ["a\x01b  link to x.org  c", "\x01  link to a.b "]
+
+
+def test_lists_at_the_start_of_a_text(spark):
+    cases = {"- wash the car": "wash the car.", "- a\n- b": "a.\nb.", "* x": "x.", "\n- a": "\na.", "- ": "", "": "", "a\n- b\nc\n\nd": "a.\n\nb\nc.\n\nd", "- a\r\n- b": "a.\nb."}
+    frame = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = {r.t: r.done for r in frame.select("t", normalize.lists(F.col("t")).alias("done")).collect()}
+    assert got == cases | {None: None}
+    whole = {r.t: r.done for r in frame.select("t", normalize.normalized(F.col("t")).alias("done")).collect()}
+    assert whole["- wash the car"] == "wash the car." and whole["- a\n- b"] == "a.\nb."
+
+
+def test_long_lists_and_tables_take_time_in_proportion(spark):
+    n = 30_000
+    rows = spark.createDataFrame([("\n".join(["- item"] * n), "\n".join(["|a|b|", "|--|--|", *["|c|d|"] * n]))], "t string, u string")
+    a, b = rows.select(F.length(normalize.lists(F.col("t"))), F.length(normalize.tables(F.col("u")))).first()
+    assert (a, b) == (6 * n - 1, len("Table: a, b.") + 6 * n)
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    texts = ["Alpha. Beta", "Beta gamma. Delta!", "", None, "Alpha. Beta", "  A. b  C d. "]
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    found = segment.sentences_offsets(docs).collect()
+    for r in found:
+        assert any(t and t[r.start : r.end] == r.text for t in texts)
+    assert sorted((r.start, r.text) for r in found if r.text in ("Alpha.", "Beta gamma.")) == [(0, "Alpha."), (0, "Alpha."), (0, "Beta gamma.")]
+    assert sorted((r.start, r.word) for r in segment.word_spans(docs).collect() if r.word in ("Alpha", "gamma", "Delta")) == [(0, "Alpha"), (0, "Alpha"), (5, "gamma"), (12, "Delta")]
+    assert "Exchange" not in segment.word_spans(docs)._jdf.queryExecution().executedPlan().toString()
