@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import blocks, released, remainder, small_batches
+from loomtext.llm.common import blocks, released, remainder, small_batches, unused
 
 #: Unicode ranges of scripts, by block (fixed values).
 SCRIPTS = (
@@ -41,8 +41,8 @@ SCRIPTS = (
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F))),
 )
 BUCKETS = 1 << 17
-#: Cost of a switch, in nats; smoothing of a bucket; rows of each language that the model learns from (about).
-SWITCH, SMOOTH, ROWS_PER_LANGUAGE = 12.0, 0.05, 1_000
+#: Cost of a switch, in nats; smoothing of a bucket; texts, and characters, of each language that the model learns from (about).
+SWITCH, SMOOTH, ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 12.0, 0.05, 1_000, 16_000_000
 
 
 #: Of state numbers: languages aren't limited in number.
@@ -204,19 +204,22 @@ def label_block(texts: list[str | None], model: Model) -> list[tuple[str, float,
     return found
 
 
-def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """About `rows` rows of each language (all, if fewer), chosen by a hash of id and text."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    shares = known.groupBy(lang).agg(F.least(F.lit(1.0), rows / F.count("*")).alias("_share"))
-    dice = F.pmod(F.xxhash64(F.col(doc_id), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(text, lang): about `rows` distinct texts of each language (all, if fewer), of about `chars` characters, chosen by a hash
+    of the text; ids have no part in it, so null or equal ids don't matter, and copies count once."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    hashed = F.xxhash64("text", F.lit("langid"))
+    texts = known.select("lang", hashed.alias("mark"), F.length("text").cast("long").alias("size")).distinct()
+    counted = texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    shares = counted.select("lang", F.least(F.lit(1.0), rows / F.col("n"), chars / F.greatest(F.col("size"), F.lit(1))).alias("share"))
+    dice = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     # broadcast: a row a language, which is nothing beside the model's 0.5 MB a language; texts aren't dealt by language
-    return known.join(F.broadcast(shares), lang).where(dice < F.col("_share")).select(docs.columns)
+    return known.join(F.broadcast(shares), "lang").where(dice < F.col("share")).select("text", "lang").distinct()
 
 
 def trained(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
-    """A model of a sample: about `rows` rows of each language, whatever their number. It takes 0.5 MB a language."""
-    found = sample(docs, rows, text=text, lang=lang).select(F.col(text).alias("text"), F.col(lang).alias("lang")).toPandas()
-    found = found.sort_values(["lang", "text"])
+    """A model of a sample: about `rows` texts of each language, whatever their number. It takes 0.5 MB a language."""
+    found = sample(docs, rows, text=text, lang=lang).toPandas().sort_values(["lang", "text"])
     return learned(found["text"].tolist(), found["lang"].tolist())
 
 
@@ -255,5 +258,6 @@ def labelled(docs: DataFrame, lang: str = "lang") -> DataFrame:
     """`docs` with the predicted language as `lang`, without those whose language can't be told (null texts, texts
     without a letter). Columns stay."""
     model = trained(docs.where(~held_out()))
-    found = identified(docs, model, into="_language").where("_language.lang <> 'und'")
-    return found.withColumn(lang, F.col("_language.lang")).select(docs.columns)
+    into = unused(docs, "language")[0]
+    found = identified(docs, model, into=into).where(F.col(into)["lang"] != "und")
+    return found.withColumn(lang, F.col(into)["lang"]).select(docs.columns)

@@ -123,9 +123,50 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return places
 
 
-def text_mark() -> Column:
-    """Tells rows that share an id but not a text apart, in the low half of a line's place."""
-    return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+#: Bits of a line's place that its row's mark takes.
+MARK_MASK = 0xFFFFFFFF
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def clashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, turn): rows whose mark, by turns before that one, is that of another text under their id.
+
+    Rows of one id (null ids are one) are told apart by a 32-bit mark of their text, which stands in the low half of a line's
+    place. Of the texts that share id and mark, all but one take another mark, by turns, until all differ; the table has only
+    those, a few of a hundred thousand texts under one id, none where ids are unique.
+    """
+    rows = docs.select("doc_id", text_hash().alias("hash"))
+    found = rows.limit(0).withColumn("turn", F.lit(0))
+    turns = None
+    while True:
+        now = with_mark(rows, turns, "mark")
+        open_ = staged(now.groupBy("doc_id", "mark").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first <> last").drop("last"))
+        if open_.isEmpty():
+            return found
+        more = now.join(open_, ["doc_id", "mark"]).where("hash <> first").select("doc_id", "hash", F.lit(1).alias("again")).distinct()
+        turn = (F.coalesce("turn", F.lit(0)) + F.coalesce("again", F.lit(0))).cast("int")
+        found = turns = staged(found.join(more, ["doc_id", "hash"], "full").select("doc_id", "hash", turn.alias("turn")))
+
+
+def with_mark(docs: DataFrame, turns: DataFrame | None, into: str) -> DataFrame:
+    """`docs` (with doc_id, and text or hash) with the rows' marks; `turns` has those that aren't of turn 0."""
+    own = F.col("hash") if "hash" in docs.columns else text_hash()
+    if turns is None:
+        return docs.withColumn(into, own.bitwiseAND(F.lit(MARK_MASK)))
+    known = turns.select(F.col("doc_id").alias("_t_id"), F.col("hash").alias("_t_hash"), "turn")
+    joined = docs.withColumn("_hash", own).join(known, (F.col("doc_id") == F.col("_t_id")) & (F.col("_hash") == F.col("_t_hash")), "left")
+    mark = F.when(F.col("turn").isNull(), F.col("_hash")).otherwise(F.xxhash64("_hash", "turn")).bitwiseAND(F.lit(MARK_MASK))
+    return joined.withColumn(into, mark).drop("_t_id", "_t_hash", "turn", "_hash")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark), null ids as NO_ID: rows with one id and one mark have one text."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    turns = clashes(rows)
+    return with_mark(rows, None if turns.isEmpty() else turns, "mark")
 
 
 def _distinct(line: np.ndarray, h: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +269,7 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
                     )
                 at += len(block)
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tidy(lines), LINE)
+    return docs.select("doc_id", "text", "mark").mapInArrow(tidy(lines), LINE)
 
 
 # The comparisons of a task: rows are arrays n, room (words from the entry's on) and the buckets' counts, by size.
@@ -487,7 +528,7 @@ def word_sets(docs: DataFrame, at: DataFrame, places: np.ndarray) -> DataFrame:
         parts = [pa.array(ids[own]), pa.array(place[own]), pa.array(n.astype(np.int32)), _binary(counts.astype(np.uint8).reshape(-1, BUCKETS)), prefix, words]
         return pa.RecordBatch.from_arrays(parts, ["doc_id", "place", "n", "bits", "prefix", "words"])
 
-    found = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tidy(read), "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
+    found = docs.select("doc_id", "text", "mark").mapInArrow(tidy(read), "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
     return found.join(at.select("doc_id", "place"), ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"])
 
 
@@ -611,8 +652,13 @@ def again(cells: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
     """(doc_id, place) of each line to remove; place holds the line's number in its high half. Null ids come as NO_ID."""
+    return removed_from(marked(docs), sure, part, wide)
+
+
+def removed_from(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
+    """`removed_lines` of `marked` rows."""
     at = ["doc_id", "place"]
-    docs = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    small_batches(docs)
     places = rarity(docs)
     lines = staged(lines_of(docs, places))
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c"), F.count("*").alias("n_lines"))
@@ -639,32 +685,42 @@ def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART, wide: i
     return found.where("gone or doc_id <> f_id or place <> f_place").select("doc_id", "place").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(_r_id, _r_mark, _removed): the numbers of the lines to remove from each document that loses any."""
-    found = removed_lines(docs)
+def removals(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, removed) of `marked` rows: the numbers of the lines to remove from each document that loses any."""
+    found = removed_from(rows)
     number, mark = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    return found.groupBy(F.col("doc_id").alias("_r_id"), mark.alias("_r_mark")).agg(F.sort_array(F.collect_list(number)).alias("_removed"))
+    return found.groupBy("doc_id", mark.alias("mark")).agg(F.sort_array(F.collect_list(number)).alias("removed"))
 
 
 def deduped(docs: DataFrame, into: str = "removed_lines") -> DataFrame:
-    """`docs` with the texts less their removed lines, and a column of the removed lines' numbers (from 0)."""
-    gone = removals(docs)
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_r_id")) & (text_mark() == F.col("_r_mark"))
+    """`docs` with the texts less their removed lines, and a column of the removed lines' numbers (from 0). Other columns stay."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # the caller's other columns travel in one, so that no name can clash
+    packed = docs.select("doc_id", "text", F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest"))
+    rows = packed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    turns = clashes(rows)
+    turns = None if turns.isEmpty() else turns
+    gone = removals(with_mark(rows, turns, "mark"))
+    keyed = with_mark(packed.select(F.col("doc_id").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", "rest"), turns, "mark")
 
     def without(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))
-    joined = docs.join(gone, on, "left").withColumn("text", clean)
-    return joined.withColumn(into, F.coalesce("_removed", F.array().cast("array<int>"))).drop("_removed", "_r_id", "_r_mark")
+    clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))
+    joined = keyed.join(gone, ["doc_id", "mark"], "left")
+    columns = {"doc_id": F.col("own"), "text": clean, **{c: F.col("rest").getField(c) for c in rest}}
+    columns = {c: columns[c] for c in docs.columns} | {into: F.coalesce("removed", F.array().cast("array<int>"))}
+    return joined.select(*(v.alias(c) for c, v in columns.items()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """What query op8 returns: each document's lines, how many are removed, and their numbers."""
-    docs = docs.select("doc_id", "text")
-    gone = removals(docs)
-    counted = docs.select("doc_id", text_mark().alias("mark"), F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_r_id")) & (F.col("mark") == F.col("_r_mark"))
-    found = counted.join(gone, on, "left")
-    return found.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"))
+    rows = docs.select("doc_id", "text")
+    turns = clashes(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"))
+    turns = None if turns.isEmpty() else turns
+    keyed = with_mark(rows.select(F.col("doc_id").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), turns, "mark")
+    gone = removals(keyed.drop("own"))
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    found = keyed.select("own", "doc_id", "mark", n_lines.alias("n_lines")).join(gone, ["doc_id", "mark"], "left")
+    return found.select(F.col("own").alias("doc_id"), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))

@@ -85,7 +85,7 @@ def test_false_near_candidate_in_the_first_block(spark, documents):
     fill = [rnd.sample(common, 15) for _ in range(700)]
     probes = [[*shared, *common[:6], w] for w in common[6:]]
     places = line_dedup.rarity(documents(corpus(*probes[:3])).select("doc_id", "text"))
-    bits = {r.doc_id: r.bits for r in line_dedup.lines_of(documents([" ".join(p) for p in probes]), places).collect()}
+    bits = {r.doc_id: r.bits for r in line_dedup.lines_of(line_dedup.marked(documents([" ".join(p) for p in probes])), places).collect()}
     alike = {}
     for i, b in bits.items():
         alike.setdefault(b, []).append(common[6 + i])
@@ -110,7 +110,7 @@ def test_common_words_are_dealt_in_parts(spark, documents):
     texts = [*made(10, 40, 60), *(" ".join(["dated", "entry", *(f"v{rnd.randrange(40)}" for _ in range(rnd.choice([4, 8, 9])))]) for _ in range(150))]
     texts.append(" ".join(f"v{k % 40}" for k in range(12000)))  # so that the other two are the rarest words of their lines
     docs = documents(texts).select("doc_id", "text")
-    lines = line_dedup.lines_of(docs, line_dedup.rarity(docs))
+    lines = line_dedup.lines_of(line_dedup.marked(docs), line_dedup.rarity(docs))
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c")).select("c.*")
     common = line_dedup.common_words(classes, 16)
     assert common.count() >= 2
@@ -120,3 +120,21 @@ def test_common_words_are_dealt_in_parts(spark, documents):
     for r in line_dedup.removed_lines(docs, part=16).collect():
         got[r.doc_id].append(r.place >> 32)
     assert {i: sorted(x) for i, x in got.items()} == brute(list(enumerate(texts)))
+
+
+def test_marks_of_texts_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MARK_MASK", 0xFF)  # so that many of 120 texts have one mark at first
+    texts = [f"line {k} of {k * 7} stands {k * 13} here {k % 5}" for k in range(120)]
+    docs = spark.createDataFrame([(5, t) for t in texts] + [(None, t) for t in texts[:60]] + [(1, texts[3])], "doc_id long, text string")
+    rows = line_dedup.marked(docs).collect()
+    assert len({(r.doc_id, r.mark) for r in rows}) == len({(r.doc_id, r.text) for r in rows}) == 181
+    # no line stands twice under the ids but those of null ids (which come first) and of the hot id
+    got = line_dedup.deduped(spark.createDataFrame([(1, "a b c d e f"), *((5, t) for t in texts)], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got if r.doc_id == 5) == sorted(texts)
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    names = ["_removed", "_r_id", "removed", "mark", "own", "rest", "hash", "turn", "_hash", "_t_id"]
+    docs = spark.createDataFrame([(1, "a b c d e\nx y"), (None, "q r s t u")], "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names))
+    got = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
+    assert all(got[None][n] == n and got[1][n] == n for n in names) and got[1].removed_lines == []

@@ -163,3 +163,18 @@ def test_pipeline_stages(spark, pipeline, tmp_path):
 
 def rows_of(rows):
     return rows
+
+
+def test_the_language_stage_keeps_a_corpus_of_equal_or_null_ids(spark):
+    from loomtext.llm import langid
+
+    en, de = "the people of the town were there when it began and all of them saw that", "und die leute aus der stadt waren da als es begann und alle haben das gesehen"
+    rows = [(f"{t} {k}", lang) for k in range(400) for t, lang in ((en, "en"), (de, "de"))]
+    for doc_id in (None, 7, 8):
+        docs = spark.createDataFrame([(doc_id, t, lang) for t, lang in rows], "doc_id long, text string, lang string")
+        assert langid.sample(docs, rows=50).groupBy("lang").count().where("count between 15 and 120").count() == 2
+        kept = langid.labelled(docs).collect() if doc_id != 8 else langid.labelled(docs.withColumn("language", docs.lang).withColumn("_language", docs.lang)).collect()
+        if kept or doc_id != 7:
+            assert len(kept) == 800 and sum(r.lang == ("de" if "leute" in r.text else "en") for r in kept) >= 790
+    copies = spark.createDataFrame([(1, en, "en")] * 3_000 + [(2, de, "de")], "doc_id long, text string, lang string")
+    assert {r.lang for r in langid.sample(copies, rows=5).collect()} == {"en", "de"} and langid.sample(copies).count() == 2
