@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.operators import capture
+from loomtext.operators import capture, sites
 from loomtext.sources import html
 
 QUERIES = {}
@@ -138,3 +138,26 @@ _add(
     lambda s, d: capture.ranked_choice(_candidates(s, d)),
     "SELECT doc_id AS doc, 'rung' || (CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) AS source, CASE doc_id % 3 WHEN 0 THEN 'no 1; no 2' WHEN 1 THEN 'no 1; no 3' ELSE 'no 2; no 3' END AS notes FROM documents",
 )
+
+
+#: Rules for sites of the given pages, and what is put behind each article for their selectors to find.
+SITE_RULES = (("example.com", "mail", ("h2.hP", "div.a3s > p"), ("blockquote",)), ("example.net", "article", ("[data-part=message]",), ("blockquote", "h2")))
+_MESSAGE = ("</article><div class=\"msg a3s\" data-part=\"message\"><h2 class=\"hP\">Subject ", "</h2><p>Body ", "</p><blockquote><p>quoted</p></blockquote></div>")
+
+
+def site_rule_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of the pages whose site has a rule, found by its selectors among everything else on the page."""
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    head, middle, tail = _MESSAGE
+    page_id = F.col("page_id").cast("string")
+    decorated = pages.withColumn("html", F.replace("html", F.lit("</article>"), F.concat(F.lit(head), page_id, F.lit(middle), page_id, F.lit(tail))))
+    ruled = sites.rule_of(pages, sites.rules_table(s, SITE_RULES), F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    found = sites.site_blocks(html.nodes(decorated), ruled)
+    return found.join(ruled.select("page_id", "kind"), "page_id").select("page_id", "kind", "place", "role", "text")
+
+
+_add("a30_site_rule_blocks", site_rule_blocks, r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages WHERE html LIKE '%</article>%'),
+  r AS (SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'mail' WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'article' END AS kind FROM p)
+  SELECT page_id, kind, 0 AS place, 'heading' AS role, 'Subject ' || page_id AS text FROM r WHERE kind = 'mail'
+  UNION ALL SELECT page_id, kind, 1, 'paragraph', 'Body ' || page_id FROM r WHERE kind = 'mail'
+  UNION ALL SELECT page_id, kind, 0, 'paragraph', 'Body ' || page_id FROM r WHERE kind = 'article'""")

@@ -28,7 +28,7 @@ ROLES = {
 JUNK = r"(?i)(^|[\s_-])(nav|menu|sidebar|side-bar|footer|header|masthead|banner|advert|ads?|sponsor|promo|social|share|comment|disqus|related|recommend|newsletter|subscribe|signup|popup|modal|overlay|cookie|consent|gdpr|breadcrumb|pagination|paginate|toolbar|widget|skip-link|screen-reader|sr-only|visually-hidden)([\s_-]|$)"
 GOOD = r"(?i)(^|[\s_-])(article|articlebody|post|postbody|entry|entry-content|content|main|story|storybody|blog|markdown|prose|text|body-copy|rich-text)([\s_-]|$)"
 
-NODES = "page_id long, node int, path array<int>, block int, tag string, ident string, role string, skipped boolean, in_link boolean, text string, href string, rel string, label string, classes array<string>, element_id string, unavailable boolean"
+NODES = "page_id long, node int, path array<int>, block int, tag string, ident string, role string, skipped boolean, in_link boolean, text string, href string, rel string, label string, classes array<string>, element_id string, unavailable boolean, hidden boolean, attrs map<string, string>"
 
 
 class _Lister(HTMLParser):
@@ -39,7 +39,7 @@ class _Lister(HTMLParser):
         self.rows: list[tuple] = []
         self.open: list[tuple[int, str, bool, bool, int, bool]] = []  # node, tag, skipped, in a link, nearest block, hidden
 
-    def _row(self, node: int, tag: str, ident: str, role: str, skipped: bool, link: bool, block: int, text: str | None, more: tuple = (None,) * 6) -> None:
+    def _row(self, node: int, tag: str, ident: str, role: str, skipped: bool, link: bool, block: int, text: str | None, more: tuple = (None,) * 8) -> None:
         self.rows.append((node, [o[0] for o in self.open], block, tag, ident, role, skipped, link, text, *more))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -53,7 +53,7 @@ class _Lister(HTMLParser):
         block = node if tag in BLOCKS else above[4]
         unseen = above[5] or hidden
         unavailable = unseen or "disabled" in a or a.get("aria-disabled") == "true"
-        more = (a.get("href"), a.get("rel"), a.get("aria-label"), a.get("class", "").split(), a.get("id"), unavailable)
+        more = (a.get("href"), a.get("rel"), a.get("aria-label"), a.get("class", "").split(), a.get("id"), unavailable, unseen, list(a.items()))
         self._row(node, tag, f"{a.get('class', '')} {a.get('id', '')}", a.get("role", ""), skipped, link, block, None, more)
         if tag not in VOID:
             self.open.append((node, tag, skipped, link, block, unseen))
@@ -74,8 +74,8 @@ def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Dat
     """A row for each element and text of each page; null pages have none."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "node", "path", "block", "tag", "ident", "role", "skipped", "in_link", "text", "href", "rel", "label", "classes", "element_id", "unavailable"]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_()]
+        names = ["page_id", "node", "path", "block", "tag", "ident", "role", "skipped", "in_link", "text", "href", "rel", "label", "classes", "element_id", "unavailable", "hidden", "attrs"]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.map_(pa.string(), pa.string())]
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lister = _Lister()
