@@ -138,9 +138,11 @@ def clashes(docs: DataFrame) -> DataFrame:
     place. Of the texts that share id and mark, all but one take another mark, by turns, until all differ; the table has only
     those, a few of a hundred thousand texts under one id, none where ids are unique.
     """
-    rows = docs.select("doc_id", text_hash().alias("hash"))
-    found = rows.limit(0).withColumn("turn", F.lit(0))
-    turns = None
+    found = docs.select("doc_id", F.lit(0).cast("long").alias("hash"), F.lit(0).alias("turn")).limit(0)
+    several = staged(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if several.isEmpty():  # no text is read where ids are unique
+        return found
+    rows, turns = docs.select("doc_id", text_hash().alias("hash")).join(several, "doc_id", "left_semi"), None
     while True:
         now = with_mark(rows, turns, "mark")
         open_ = staged(now.groupBy("doc_id", "mark").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first <> last").drop("last"))
