@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.plans import case_queries, more_queries, page_queries, scalar_queries, table_queries, text_queries
+from loomtext.plans import case_queries, flow_queries, more_queries, page_queries, scalar_queries, table_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (text_queries, scalar_queries, table_queries, page_queries, more_queries, case_queries)
+MODULES = (text_queries, scalar_queries, table_queries, page_queries, more_queries, case_queries, flow_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
