@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.operators import align, follow
+from loomtext.functions import fingerprint, segment
+from loomtext.operators import align, follow, ranges
 from loomtext.sources import html, tables
 from loomtext.streaming import tail
 
@@ -101,3 +102,64 @@ _add("l15_read_on", read_on, """WITH RECURSIVE n AS (SELECT page_id, CASE WHEN p
   r AS (SELECT page_id AS session, 0::BIGINT AS step, page_id AS page, [page_id] AS seen FROM pages WHERE page_id % 10 = 0
     UNION ALL SELECT r.session, r.step + 1, n.next, list_append(r.seen, n.next) FROM r JOIN n ON n.page_id = r.page WHERE n.next IS NOT NULL AND NOT list_contains(r.seen, n.next))
   SELECT session, step, 'https://series.test/p' || page AS url FROM r""")
+
+
+def marked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each page behind a passage of its own, with ragged white space and a tag inside; its nodes, and that passage as root."""
+    k = F.col("page_id")
+    spaces = lambda n: F.repeat(F.lit(" "), n.cast("int"))
+    head = F.concat(F.lit('<section id="case"><p>'), spaces(k % 4), F.lit("Page "), k.cast("string"), F.repeat(F.lit("\n"), (k % 3 + 1).cast("int")), F.lit("begins.<b> It</b>"), spaces(k % 3 + 1), F.lit("goes on.  </p></section>"))
+    found = html.nodes(s.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(head, F.coalesce("html", F.lit(""))).alias("html")))
+    roots = found.where("element_id = 'case'").groupBy("page_id").agg(F.min("node").alias("root"))
+    return found, roots
+
+
+def marked_ranges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The passage's pieces, and the ranges of its sentences in them."""
+    found, roots = marked(s, d)
+    parts = ranges.pieces(found, roots)
+    blocks = html.blocks(found, roots).select(F.struct("page_id", "block").alias("key"), "text")
+    spans = segment.sentences_offsets(blocks, "key").select("key.page_id", "key.block", F.col("seg_idx").alias("idx"), "start", "end")
+    return parts, ranges.node_ranges(spans, parts)
+
+
+def ranged(s: SparkSession, d: str) -> DataFrame:
+    """Sentences of the passage as raw texts and offsets in them."""
+    parts, found = marked_ranges(s, d)
+    raw = lambda n: parts.select("page_id", F.col("node").alias(f"{n}_node"), F.col("raw").alias(f"{n}_raw"))
+    return found.join(raw("start"), ["page_id", "start_node"]).join(raw("end"), ["page_id", "end_node"]).select("page_id", "idx", "start_raw", "start_offset", "end_raw", "end_offset")
+
+
+_PASSAGE = """SELECT page_id, (page_id % 4)::INT AS k, (page_id % 3 + 1)::INT AS m, length(page_id::VARCHAR)::INT AS l,
+  repeat(' ', (page_id % 4)::INT) || 'Page ' || page_id || repeat(chr(10), (page_id % 3 + 1)::INT) || 'begins.' AS a, repeat(' ', (page_id % 3 + 1)::INT) || 'goes on.  ' AS c FROM pages"""
+_add("i12_node_ranges", ranged, f"""SELECT page_id, 0::BIGINT AS idx, a AS start_raw, k AS start_offset, a AS end_raw, length(a)::INT AS end_offset FROM ({_PASSAGE})
+  UNION ALL SELECT page_id, 1, ' It', 1, c, m + 8 FROM ({_PASSAGE})""")
+
+
+def pointed(s: SparkSession, d: str) -> DataFrame:
+    """Each piece of the passage is pointed at before its first and behind its last character."""
+    parts, found = marked_ranges(s, d)
+    ends = parts.select("page_id", "node", F.explode(F.array(F.lit(0), F.length("raw"))).alias("offset"), "start")
+    points = ends.select(F.struct("page_id", "start", (F.col("offset") > 0).alias("behind")).alias("point"), "page_id", "node", "offset")
+    at = ranges.sentences_at(found.withColumn("sentence", F.col("idx")), points)
+    return at.select("point.page_id", F.col("point.start").alias("piece"), "point.behind", "sentence")
+
+
+_add("i13_pointed", pointed, f"""WITH p AS ({_PASSAGE}) SELECT page_id, piece::BIGINT AS piece, behind, sentence::BIGINT AS sentence FROM (
+  SELECT page_id, 0 AS piece, false AS behind, CASE WHEN k = 0 THEN 0 ELSE -1 END AS sentence FROM p UNION ALL SELECT page_id, 0, true, 0 FROM p
+  UNION ALL SELECT page_id, 14 + l, false, -1 FROM p UNION ALL SELECT page_id, 14 + l, true, 1 FROM p
+  UNION ALL SELECT page_id, 17 + l, false, 1 FROM p UNION ALL SELECT page_id, 17 + l, true, -1 FROM p)""")
+
+
+def rule_files(s: SparkSession, d: str) -> DataFrame:
+    """Events as rule files (event_type, name, fingerprint): odd ones are spelt another way, with notes, and mean the same."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    number, props = F.col("event_id").cast("string"), F.col("props")
+    plain = F.concat(F.lit('{"id":'), number, F.lit(',"props":'), F.regexp_replace(props, " ", ""), F.lit("}"))
+    other = F.concat(F.lit('{ "_note" : {"x": 1},\n "props" : '), F.regexp_replace(props, r"\{", '{"_c": [1, 2], '), F.lit(', "id" : '), number, F.lit(".0 }"))
+    return e.select("event_type", F.lpad(number, 12, "0").alias("name"), F.when(F.col("event_id") % 2 == 1, other).otherwise(plain).alias("rules")).select("event_type", "name", fingerprint.fingerprint(F.col("rules"))["fingerprint"].alias("fingerprint"))
+
+
+_FILES = """SELECT event_type, lpad(event_id::VARCHAR, 12, '0') AS name, 'sha256:' || left(sha256('{"id":' || event_id || ',"props":' || replace(props, ' ', '') || '}'), 16) AS fingerprint FROM events"""
+_add("d11_fingerprints", rule_files, _FILES)
+_add("d11_combined", lambda s, d: fingerprint.combined(rule_files(s, d).withColumn("set", F.substring("name", 1, 9)), ["set", "event_type"]), f"SELECT left(name, 9) AS set, event_type, 'sha256:' || left(sha256(string_agg(name || ':' || fingerprint, chr(10) ORDER BY name)), 16) AS combined, count(*) AS n FROM ({_FILES}) GROUP BY ALL")
