@@ -193,6 +193,12 @@ def voted(words: Column, index: list[tuple[str, list[tuple[int, int]]]]) -> Colu
     return let(let(ranked, look_up), verify)
 
 
+def promising(words: Column) -> Column:
+    """Whether any mandatory phrase stands among the words: no place can be verified without one, so other texts don't vote."""
+    phrases = "|".join(sorted({t.mandatory for t in TEMPLATES}))  # letters, digits and single spaces alone
+    return F.array_join(words, " ").rlike(f"(?:^| )(?:{phrases})(?: |$)")
+
+
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with a struct column `_license`: n_words, base places and the method's verified places."""
     index = index_of(document_frequencies(docs, text))
@@ -201,7 +207,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             base_starts(words).alias("base"),
-            voted(words, index).alias("found"),
+            F.when(promising(words), voted(words, index)).otherwise(F.array().cast("array<struct<label: string, at: int, share: double>>")).alias("found"),
         )
 
     return docs.withColumn("_license", let(words_of(F.col(text)), scan))
