@@ -82,3 +82,23 @@ def test_filter_holds_every_key():
         at = (keys >> np.uint64(shift)) & np.uint64((1 << 16) - 1)
         np.bitwise_or.at(packed, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
     assert phrases.Filter(16, packed).has(keys).all()
+
+
+def test_a_bitmap_reaches_the_driver_packed(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from loomtext.llm.common import bitmap
+
+    brought = []
+    for name in ("collect", "toPandas"):
+        taken = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, taken=taken: brought.append(len(found := taken(self))) or found)
+    for bits, n in ((22, 300_000), (10, 50), (6, 3)):
+        at = np.unique(np.random.default_rng(bits).integers(0, 1 << bits, n))
+        rows = spark.createDataFrame([(int(b),) for b in at], "b long")
+        brought.clear()
+        found = bitmap(rows.unionByName(rows), "b", bits)
+        assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == at.tolist() and len(found) == 1 << (bits - 3)
+        assert sum(brought) <= max(1, (1 << bits) >> 16)  # one row of bytes for 65,536 bits, not one for 64
+    assert not bitmap(rows.limit(0), "b", 8).any()
