@@ -110,7 +110,7 @@ def grouped(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str =
 
 def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
     """`docs` with one row of each group of near duplicates: texts whose shingles have a Jaccard similarity of 0.8 or
-    more. RADIUS is op6's and finds few of them, so the stage has links of its own (see `near`). Columns stay."""
+    more. Op6's RADIUS finds few of them, so the stage has longer fingerprints with an index of more tables (see `near`). Columns stay."""
     return near.keep_first(docs, words)
 
 

@@ -145,3 +145,35 @@ def test_keep_first_with_null_and_repeated_ids(spark):
     assert kept[0] == kept[1] == kept[2]
     got = sorted((r.text, r.doc_id) for r in simhash.keep_first(docs).collect())
     assert got == [("a b c d e f", None), ("g h i j k l", 7), ("m n o p", 8), ("q r s t u v", 7)]
+
+
+def test_near_copies_meet_by_their_fingerprints(spark, documents, monkeypatch):
+    from loomtext.llm import near
+
+    rnd = random.Random(12)
+    vocab = [f"w{k}" for k in range(2000)]
+    texts = ["one two three four five six seven eight nine", "one two three four five six seven eight"]  # 5 and 4 shingles
+    base = [rnd.choice(vocab) for _ in range(200)]
+    for k in range(40):  # a crowd
+        words = list(base)
+        words[5 * k] = f"changed{k}"
+        texts.append(" ".join(words))
+    for _ in range(30):
+        words = [rnd.choice(vocab) for _ in range(150)]
+        texts.append(" ".join(words))
+        words[50] = words[100] = "changed"
+        texts.append(" ".join(words))
+    docs = documents(texts)
+    bits = near.key_bits(len(texts))
+    assert near.tables_for(bits) > near.tables_for(bits - 1) > 10
+    nodes = near.nodes_of(docs.select("doc_id", "text", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")), 5)
+    ids = {r.node: r.doc_id for r in nodes.collect()}
+    nodes = nodes.withColumn("root", F.col("node"))
+    for hot, held in ((32, 200_000), (3, 10)):
+        monkeypatch.setattr(near, "HOT", hot)
+        monkeypatch.setattr(near, "HELD_ROWS", held)
+        met = {tuple(sorted((ids[r.a], ids[r.b]))) for r in near.meeting(nodes, bits, range(near.tables_for(bits))).collect()}
+        assert {(0, 1), *((k, k + 1) for k in range(42, len(texts), 2))} | {(a, b) for a in range(2, 42) for b in range(a + 1, 42)} <= met
+        assert all(2 <= a < b < 42 or b == a + 1 for a, b in met)
+        assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {0, 2, *range(42, len(texts), 2)}
+    assert near.meeting(nodes.withColumn("root", F.lit(7).cast("long")), bits, range(5)).isEmpty()
