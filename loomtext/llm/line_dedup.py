@@ -10,7 +10,9 @@ Every line with a word takes part. Words are told apart by 64-bit hashes.
    number of buckets does, and the result is exact). Two similar sets share one of the rarest few words of each
    (prefix filter), so a class has an entry for each of those. Entries of a word meet in a task, sorted by size: the
    length filter is a window of that order, the positional filter follows, and last the parity of the words' counts in
-   128 buckets, which can't differ in more buckets than the sets do in words. Each class comes out once for a word, with its nearest earlier class.
+   128 buckets, which can't differ in more buckets than the sets do in words. Each class comes out once for a word, with
+   its nearest earlier class. Entries are shuffled by buckets of words, many to a row; how many buckets follows from how
+   many entries there are, so a bucket is small.
 3. The sets of the classes that have a candidate are read again from the texts, in one pass, and the nearest
    candidate is verified on them.
 4. A class whose nearest isn't similar, but that has more candidates, meets them all again among those sets, with
@@ -28,14 +30,14 @@ empty table gives an empty result. A very long text is hashed in pieces that end
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bitmap, blocks, forget, let, pieces, small_batches, staged, tidy
+from loomtext.llm.common import BATCH_BYTES, bitmap, blocks, forget, let, pieces, small_batches, staged, tidy
 
 LEAST_WORDS, LEAST_JOINED = 1, 4
 #: The threshold as a fraction, 4/5: sizes and overlaps are compared in integers.
@@ -46,6 +48,9 @@ RARITY_BITS, TOKEN_BITS, MARK_BITS, CHUNK = 18, 40, 24, 4096
 SURE = 0.5
 #: Classes of a prefix word that a task compares at once; groups in which a class may drop out, and what it meets first.
 PART, WIDE, HEADS = 4096, 512, 64
+#: log2 of the counters of prefix words; buckets of words at least, and entries of a bucket, about, where there are more;
+#: entries that a task packs at once; bytes of a hashed piece, so small that its arrays stay in a core's cache.
+PREFIX_BITS, LEAST_BUCKETS, BUCKET_ENTRIES, PACK, PIECE = 20, 1024, 1 << 18, 1 << 18, 1 << 18
 #: Stands for a null id, and sorts first.
 NO_ID = -(1 << 63)
 
@@ -69,15 +74,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line of the block, 64-bit hash) of each word, and the block's first line of each text."""
     lines, hashes, line_end = [], [], 0
-    for raw, space in pieces(("\n".join(texts) + "\n").encode().lower()):
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        np.logical_not(space, out=inside[1:-1].view(bool))
-        edge = np.flatnonzero(np.diff(inside))
+    for raw, space in pieces(("\n".join(texts) + "\n").encode().lower(), PIECE):
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        np.logical_not(space, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
         breaks = np.flatnonzero(raw == 10)
         up, down = powers(len(raw) + 1)
         run = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(raw * up[: len(raw)], dtype=np.uint64, out=run[1:])
+        np.multiply(raw, up[: len(raw)], out=run[1:])
+        np.cumsum(run, out=run)
         h = (run[ends] - run[starts]) * down[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -92,15 +98,14 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """The place of each bucket of words when ordered by the count of its words over all documents."""
+def counted(rows: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """How often each of 2^bits buckets stands in what `buckets` finds in the rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            for block in blocks(_texts(batch)):
-                _, h, _ = words_of(block)
-                total += np.bincount((h >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+            for found in buckets(batch):
+                total += np.bincount(found, minlength=len(total))
         chunks = total.reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks))), pa.array([c.tobytes() for c in chunks])], ["chunk", "counts"])
 
@@ -113,11 +118,21 @@ def rarity(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([c.tobytes() for c in sums.values()])], ["chunk", "counts"])
 
     kind = "chunk long, counts binary"
-    found = docs.select("text").mapInArrow(tidy(count), kind).repartition("chunk").mapInArrow(add, kind).toPandas()
-    counts = np.zeros((1 << RARITY_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    found = rows.mapInArrow(tidy(count), kind).repartition("chunk").mapInArrow(add, kind).toPandas()
+    counts = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
     for chunk, own in zip(found["chunk"], found["counts"]):
         counts[chunk] = np.frombuffer(own, dtype=np.int64)
-    counts = counts.ravel()
+    return counts.ravel()
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """The place of each bucket of words when ordered by the count of its words over all documents."""
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for block in blocks(_texts(batch)):
+            yield (words_of(block)[1] >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+    counts = counted(docs.select("text"), buckets, RARITY_BITS)
     places = np.empty(len(counts), dtype=np.uint32)
     places[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts), dtype=np.uint32)
     return places
@@ -216,13 +231,28 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of bytes again: two words of parities, or BUCKETS counts."""
-    rows = column.combine_chunks()
+def _slices(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two offsets."""
+    ends = (offsets * values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's rows, one after the other, and each row's number of bytes."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(rows, pa.ChunkedArray):
         rows = rows.chunk(0)
+    if not len(rows):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
     ends = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
-    data = np.frombuffer(rows.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(rows), -1)
+    data = rows.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of bytes again: two words of parities, or BUCKETS counts."""
+    data, sizes = _bytes(column)
+    data = data.reshape(len(sizes), -1)
     return data if data.shape[1] == BUCKETS else data.copy().view(np.uint64)
 
 
@@ -232,7 +262,7 @@ def _taken(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1]), offsets
 
 
-LINE = "doc_id long, place long, n int, bits binary, k1 long, k2 long, prefix array<int>"
+LINE = "doc_id long, place long, n int, bits binary, k1 long, k2 long, prefix binary"
 BUCKETS = 128
 
 
@@ -265,7 +295,7 @@ def lines_of(docs: DataFrame, places: np.ndarray) -> DataFrame:
                             pa.array(n.astype(np.int32)),
                             _binary(bits),
                             *(pa.array(x.view(np.int64)) for x in (k1, k2)),
-                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_prefix_tokens(h[taken]))),
+                            _slices(_prefix_tokens(h[taken]), offsets),
                         ],
                         ["doc_id", "place", "n", "bits", "k1", "k2", "prefix"],
                     )
@@ -358,8 +388,8 @@ def _candidates(rows: dict[str, np.ndarray], rank: np.ndarray, starts: np.ndarra
     high[wide_group[group]] = 0
     for x, y in _windows(low, high):
         x, y, far = _near(rows, x, y)
-        swap = rank[x] > rank[y]
-        found.add(np.where(swap, y, x), np.where(swap, x, y), far)
+        swap, apart = rank[x] > rank[y], rank[x] != rank[y]  # two prefix words of a class may be told by one number
+        found.add(np.where(swap, y, x)[apart], np.where(swap, x, y)[apart], far[apart])
     for g in np.flatnonzero(wide_group).tolist():
         own = np.arange(starts[g], ends[g])
         heads = own[np.argsort(rank[own])[:HEADS]]
@@ -401,12 +431,27 @@ def by_keys(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int
         yield pa.Table.from_batches(held)
 
 
+def _ranks(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Each row's rank by (doc_id, place), from 0; equal ones have one rank."""
+    by = np.argsort(ids)
+    doc = np.empty(len(ids), dtype=np.int64)
+    doc[by] = np.cumsum(np.diff(ids[by], prepend=0) != 0)
+    key = doc << 32 | places >> 32
+    by = np.argsort(key)
+    k, p = key[by], places[by]
+    if ((k[1:] == k[:-1]) & (p[1:] != p[:-1])).any():  # texts that share an id
+        by = np.lexsort((places, ids))
+        k, p = key[by], places[by]
+    rank = np.zeros(len(ids), dtype=np.int64)
+    rank[by[1:]] = np.cumsum((k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+    return rank
+
+
 def _rows(table: pa.Table, keys: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(arrays, rank, starts, ends) of a table of whole groups."""
     n = table.column("n").to_numpy().astype(np.int64)
     rows = {"n": n, "room": n - table.column("pos").to_numpy(), "bits": _unpacked(table.column("bits"))}
-    rank = np.empty(len(n), dtype=np.int64)
-    rank[np.lexsort((table.column("place").to_numpy(), table.column("doc_id").to_numpy()))] = np.arange(len(n))
+    rank = _ranks(table.column("doc_id").to_numpy(), table.column("place").to_numpy())
     new = np.zeros(len(n), dtype=bool)
     new[0] = True
     for k in keys:
@@ -417,16 +462,58 @@ def _rows(table: pa.Table, keys: tuple[str, ...]) -> tuple[dict[str, np.ndarray]
 
 
 ENTRY = ("token", "doc_id", "place", "n", "pos", "bits")
+ENTRIES = "token int, doc_id long, place long, n int, pos int, bits binary"
 MET = "doc_id long, place long, x_id long, x_place long, far double, more boolean, unseen boolean, active boolean"
 
 
 def entries_of(classes: DataFrame) -> DataFrame:
-    return classes.select("doc_id", "place", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select(*ENTRY)
+    """A row for each entry."""
+    return classes.select("doc_id", "place", "n", "bits", "prefix").mapInArrow(lambda batches: (_entries(b) for b in batches), ENTRIES)
+
 
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, position) of the entries of a batch of classes."""
+    data, sizes = _bytes(batch.column("prefix"))
+    sizes = sizes // 4
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    return data.view(np.int32), own, (np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
-def common_words(classes: DataFrame, part: int = PART) -> DataFrame:
-    """(token, parts): prefix words of more than `part` classes, and in how many parts they are dealt."""
-    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().where(f"count > {part}")
+
+def _entries(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> pa.RecordBatch:
+    """The entries of a batch of classes, or those for prefix words that a bitmap of 2^MARK_BITS bits marks."""
+    token, own, pos = _prefixes(batch)
+    if wanted is not None:
+        kept = wanted[token.view(np.uint32) >> np.uint32(32 - MARK_BITS)]
+        token, own, pos = token[kept], own[kept], pos[kept]
+    rows = pa.array(own)
+    return pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(c).take(rows) for c in ("doc_id", "place", "n")), pa.array(pos), batch.column("bits").take(rows)], list(ENTRY))
+
+
+def _prefix_buckets(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint32) >> np.uint32(32 - PREFIX_BITS)).astype(np.int64)
+
+
+def prefix_counts(classes: DataFrame) -> np.ndarray:
+    """The number of entries by 2^PREFIX_BITS buckets of prefix words."""
+    return counted(classes.select("prefix"), lambda batch: iter([_prefix_buckets(_bytes(batch.column("prefix"))[0].view(np.int32))]), PREFIX_BITS)
+
+
+def common_words(classes: DataFrame, part: int = PART, counts: np.ndarray | None = None) -> DataFrame:
+    """(token, parts): prefix words of more than `part` classes, and in how many parts they are dealt. Words are counted
+    one by one only in buckets of more than `part` entries (counts: `prefix_counts`)."""
+    spark = classes.sparkSession
+    large = (prefix_counts(classes) if counts is None else counts) > part
+    if not large.any():
+        return spark.range(0).selectExpr("cast(id as int) as token", "1 as parts")
+    held = spark.sparkContext.broadcast(np.packbits(large))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(held.value).view(bool)
+        for batch in batches:
+            tokens = _bytes(batch.column("prefix"))[0].view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[wanted[_prefix_buckets(tokens)]])], ["token"])
+
+    counts = classes.select("prefix").mapInArrow(read, "token int").groupBy("token").count().where(f"count > {part}")
     return counts.select("token", F.ceil(F.col("count") / part).cast("int").alias("parts"))
 
 
@@ -434,11 +521,11 @@ def part_of(parts: Column) -> Column:
     return F.pmod(F.xxhash64("doc_id", "place"), parts).cast("int")
 
 
-def dealt(classes: DataFrame, common: DataFrame) -> DataFrame:
-    """The entries, `split` where the word has several parts; token is the word and the part."""
+def dealt(classes: DataFrame, common: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """The entries (all, or those given), `split` where the word has several parts; token is the word and the part."""
     part = F.coalesce(part_of(F.col("parts")), F.lit(0))
     token = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(part.cast("long"))
-    found = entries_of(classes).join(common, "token", "left")
+    found = (entries_of(classes) if entries is None else entries).join(common, "token", "left")
     return found.select(token.alias("token"), *ENTRY[1:], F.col("parts").isNotNull().alias("split"))
 
 
@@ -461,20 +548,84 @@ def _met(table: pa.Table, found: _Found, out: np.ndarray, split: np.ndarray) ->
     )
 
 
-def candidates(classes: DataFrame, common: DataFrame, sure: float = SURE, wide: int = WIDE) -> DataFrame:
+#: Of an entry's columns when they are packed.
+PACKED = {"token": np.int32, "doc_id": np.int64, "place": np.int64, "n": np.int32, "pos": np.int32, "bits": np.uint64}
+
+
+def packed(classes: DataFrame, n_entries: int, common: np.ndarray | None = None) -> DataFrame:
+    """The entries, but for words that `common`, a bitmap of 2^MARK_BITS bits, marks: bucket, and a binary column for each
+    of ENTRY with a bucket's values. There are as many buckets as `n_entries` entries take, whole words in each."""
+    held = classes.sparkSession.sparkContext.broadcast(common)
+    n_buckets = np.uint64(max(LEAST_BUCKETS, n_entries // BUCKET_ENTRIES))
+
+    def rows(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        first = np.cumsum([0] + [len(p["n"]) for p in parts[:-1]])
+        by = np.argsort(held["token"].view(np.uint32))
+        token, pos, own = held["token"][by], held["pos"][by], (held["own"] + np.repeat(first, [len(p["own"]) for p in parts]))[by]
+        bucket = (token.view(np.uint32).astype(np.uint64) * n_buckets >> np.uint64(32)).astype(np.int32)
+        starts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(by))
+        columns = {"token": token, "pos": pos} | {c: held[c][own] for c in ("doc_id", "place", "n", "bits")}
+        arrays = [pa.array(bucket[starts[:-1]]), *(_slices(columns[c], starts) for c in ENTRY)]
+        found = pa.RecordBatch.from_arrays(arrays, ["bucket", *ENTRY])
+        step = max(1, len(arrays[0]) * BATCH_BYTES // found.nbytes)
+        for k in range(0, found.num_rows, step):
+            yield found.slice(k, step)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = None if held.value is None else np.unpackbits(held.value, bitorder="little").view(bool)
+        parts, n = [], 0
+        for batch in batches:
+            token, own, pos = _prefixes(batch)
+            if apart is not None:
+                kept = ~apart[token.view(np.uint32) >> np.uint32(32 - MARK_BITS)]
+                token, own, pos = token[kept], own[kept], pos[kept]
+            if len(token):
+                whole = {c: batch.column(c).to_numpy() for c in ("doc_id", "place", "n")} | {"bits": _unpacked(batch.column("bits"))}
+                parts.append({"token": token, "pos": pos, "own": own} | whole)
+                n += len(token)
+            if n >= PACK:
+                yield from rows(parts)
+                parts, n = [], 0
+        if n:
+            yield from rows(parts)
+
+    return classes.select("doc_id", "place", "n", "bits", "prefix").mapInArrow(tidy(pack), "bucket int, " + ", ".join(f"{c} binary" for c in ENTRY))
+
+
+def entries_in(table: pa.Table) -> pa.Table:
+    """The entries of a table of `packed` buckets, sorted by word and size; none is split."""
+    columns = {c: _bytes(table.column(c))[0].view(kind) for c, kind in PACKED.items()}
+    by = np.argsort(columns["token"].view(np.uint32).astype(np.uint64) << np.uint64(32) | columns["n"].astype(np.uint64))
+    bits = columns.pop("bits").reshape(-1, 2)[by]
+    return pa.table({c: pa.array(x[by]) for c, x in columns.items()} | {"bits": _binary(bits), "split": pa.array(np.zeros(len(by), dtype=bool))})
+
+
+def candidates(classes: DataFrame, common: DataFrame, n_entries: int, sure: float = SURE, wide: int = WIDE) -> DataFrame:
     """MET: the classes that meet a candidate by a prefix word, once a word: the nearest earlier one, if there is one,
     whether there are more, whether some may be unseen, and whether the class is part of a pair (`active`)."""
-    rows_of = dealt(classes, common).repartition("token").sortWithinPartitions("token", "n")
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = _candidates(*_rows(table, ("token",)), sure, wide)
+        split = table.column("split").to_numpy()
+        out = np.flatnonzero(found.active | split)
+        if len(out):
+            yield _met(table, found, out, split)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_keys(batches, ("bucket",), 1):  # a batch of rows holds many entries
+            yield from met(entries_in(table))
+
+    def meet_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_keys(batches, ("token",)):
-            found = _candidates(*_rows(table, ("token",)), sure, wide)
-            split = table.column("split").to_numpy()
-            out = np.flatnonzero(found.active | split)
-            if len(out):
-                yield _met(table, found, out, split)
+            yield from met(table)
 
-    return rows_of.mapInArrow(tidy(meet), MET)
+    marked_ = None if common.isEmpty() else token_bitmap(common)
+    found = packed(classes, n_entries, marked_).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), MET)
+    if marked_ is None:
+        return found
+    several = dealt(classes, common, entries_among(classes, common, marked_)).repartition("token").sortWithinPartitions("token", "n")
+    return found.unionByName(several.mapInArrow(tidy(meet_split), MET))
 
 
 def nearest(met: DataFrame) -> DataFrame:
@@ -525,12 +676,12 @@ def word_sets(docs: DataFrame, at: DataFrame, places: np.ndarray) -> DataFrame:
         n, own = np.diff(starts, append=len(of)), of[starts]
         counts = np.bincount(np.repeat(np.arange(len(starts)), n) * BUCKETS + (_again(h) >> np.uint64(57)).astype(np.int64), minlength=BUCKETS * len(starts))
         taken, offsets = _taken(starts, prefix_size(n))
-        prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_prefix_tokens(h[taken])))
+        prefix = _slices(_prefix_tokens(h[taken]), offsets)
         words = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
         parts = [pa.array(ids[own]), pa.array(place[own]), pa.array(n.astype(np.int32)), _binary(counts.astype(np.uint8).reshape(-1, BUCKETS)), prefix, words]
         return pa.RecordBatch.from_arrays(parts, ["doc_id", "place", "n", "bits", "prefix", "words"])
 
-    found = docs.select("doc_id", "text", "mark").mapInArrow(tidy(read), "doc_id long, place long, n int, bits binary, prefix array<int>, words array<long>")
+    found = docs.select("doc_id", "text", "mark").mapInArrow(tidy(read), "doc_id long, place long, n int, bits binary, prefix binary, words array<long>")
     return found.join(at.select("doc_id", "place"), ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"])
 
 
@@ -610,26 +761,21 @@ def asked_pairs(cells: DataFrame) -> DataFrame:
     return cells.mapInArrow(meet, PAIR).distinct()
 
 
-def entries_among(classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The entries of classes for prefix words that `tokens` (token) may hold: marked in a bitmap of 2^MARK_BITS bits."""
-    shift = 32 - MARK_BITS
-    marked = bitmap(tokens.select(F.shiftrightunsigned("token", shift).cast("long").alias("b")), "b", MARK_BITS)
-    held = classes.sparkSession.sparkContext.broadcast(marked)
+def token_bitmap(tokens: DataFrame) -> np.ndarray:
+    """2^MARK_BITS bits that mark prefix words (token)."""
+    return bitmap(tokens.select(F.shiftrightunsigned("token", 32 - MARK_BITS).cast("long").alias("b")), "b", MARK_BITS)
+
+
+def entries_among(classes: DataFrame, tokens: DataFrame, marked: np.ndarray | None = None) -> DataFrame:
+    """The entries of classes for prefix words that `tokens` (token) may hold, by a `token_bitmap`."""
+    held = classes.sparkSession.sparkContext.broadcast(token_bitmap(tokens) if marked is None else marked)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(held.value, bitorder="little").view(bool)
         for batch in batches:
-            prefix = batch.column("prefix")
-            token = prefix.flatten().to_numpy()
-            sizes = np.diff(prefix.offsets.to_numpy())
-            kept = np.flatnonzero(wanted[token.view(np.uint32) >> np.uint32(shift)])
-            if len(kept):
-                own = np.repeat(np.arange(len(sizes)), sizes)[kept]
-                pos = (kept - np.repeat(np.cumsum(sizes) - sizes, sizes)[kept]).astype(np.int32)
-                rows = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), *(batch.column(c).take(rows) for c in ("doc_id", "place", "n")), pa.array(pos), batch.column("bits").take(rows)], list(ENTRY))
+            yield _entries(batch, wanted)
 
-    return classes.select("doc_id", "place", "n", "bits", "prefix").mapInArrow(read, "token int, doc_id long, place long, n int, pos int, bits binary")
+    return classes.select("doc_id", "place", "n", "bits", "prefix").mapInArrow(read, ENTRIES)
 
 
 def settled(sets: DataFrame, open_: DataFrame, part: int = PART) -> DataFrame:
@@ -637,14 +783,15 @@ def settled(sets: DataFrame, open_: DataFrame, part: int = PART) -> DataFrame:
     what is left, every candidate."""
     at = ["doc_id", "place"]
     asks = staged(entries_of(sets.join(open_, at, "left_semi")))
-    cells = staged(meetings(entries_among(sets, asks.select("token")), asks, part))
+    others = staged(entries_among(sets, asks.select("token")))  # read twice
+    cells = staged(meetings(others, asks, part))
     met = staged(nearest(asked_nearest(again(cells))).where("x_id is not null"))
     similar = staged(verified(met, sets))
     left = staged(met.where("more").select(*at).join(similar, at, "left_anti"))
     if not left.isEmpty():
         kept = cells.where("not asks").unionByName(cells.where("asks").join(left, at, "left_semi"))
         similar = staged(similar.unionByName(verified(asked_pairs(again(kept)), sets)))
-    forget(asks, cells, met, left)
+    forget(asks, others, cells, met, left)
     return similar
 
 
@@ -654,29 +801,30 @@ def again(cells: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
     """(doc_id, place) of each line to remove; place holds the line's number in its high half. Null ids come as NO_ID."""
-    return removed_from(marked(docs), sure, part, wide)
+    return removed_from(marked(docs), sure, part, wide).distinct()
 
 
 def removed_from(docs: DataFrame, sure: float = SURE, part: int = PART, wide: int = WIDE) -> DataFrame:
-    """`removed_lines` of `marked` rows."""
+    """`removed_lines` of `marked` rows, once for each row."""
     at = ["doc_id", "place"]
     small_batches(docs)
     places = rarity(docs)
     lines = staged(lines_of(docs, places))
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c"), F.count("*").alias("n_lines"))
     classes = staged(grouped.select("k1", "k2", "n_lines", "c.*"))
-    common = staged(common_words(classes, part))
-    met = staged(nearest(candidates(classes, common, sure, wide)))
+    counts = prefix_counts(classes)
+    common = staged(common_words(classes, part, counts))
+    met = staged(nearest(candidates(classes, common, int(counts.sum()), sure, wide)))
     sets = staged(word_sets(docs, met.where("active"), places))
     similar = staged(verified(met.where("x_id is not null"), sets))
     left = staged(met.where("more or unseen").select(*at, "unseen").join(similar, at, "left_anti"))
     unseen = left.where("unseen")
     if not unseen.isEmpty():
         asks = staged(entries_of(classes.join(unseen, at, "left_semi")))
-        others = asked_nearest(meetings(entries_among(classes, asks.select("token")), asks, part))
-        more = staged(nearest(others).select(*at).join(sets, at, "left_anti"))
+        others = staged(entries_among(classes, asks.select("token")))  # read twice
+        more = staged(nearest(asked_nearest(meetings(others, asks, part))).select(*at).join(sets, at, "left_anti"))
         sets = sets.unionByName(staged(word_sets(docs, more, places)))
-        forget(asks)
+        forget(asks, others)
     if not left.isEmpty():
         similar = similar.unionByName(settled(sets, left.select(*at), part))
     forget(common, met, left)
@@ -684,14 +832,14 @@ def removed_from(docs: DataFrame, sure: float = SURE, part: int = PART, wide: in
     firsts = classes.select("k1", "k2", "n_lines", F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"))
     firsts = firsts.join(gone, ["f_id", "f_place"], "left").where("gone or n_lines > 1")
     found = lines.select("doc_id", "place", "k1", "k2").join(firsts, ["k1", "k2"])
-    return found.where("gone or doc_id <> f_id or place <> f_place").select("doc_id", "place").distinct()
+    return found.where("gone or doc_id <> f_id or place <> f_place").select("doc_id", "place")
 
 
 def removals(rows: DataFrame) -> DataFrame:
     """(doc_id, mark, removed) of `marked` rows: the numbers of the lines to remove from each document that loses any."""
     found = removed_from(rows)
     number, mark = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    return found.groupBy("doc_id", mark.alias("mark")).agg(F.sort_array(F.collect_list(number)).alias("removed"))
+    return found.groupBy("doc_id", mark.alias("mark")).agg(F.sort_array(F.collect_set(number)).alias("removed"))
 
 
 def deduped(docs: DataFrame, into: str = "removed_lines") -> DataFrame:
@@ -723,6 +871,7 @@ def digest(docs: DataFrame) -> DataFrame:
     turns = None if turns.isEmpty() else turns
     keyed = with_mark(rows.select(F.col("doc_id").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), turns, "mark")
     gone = removals(keyed.drop("own"))
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(ends + 1).cast("long")
     found = keyed.select("own", "doc_id", "mark", n_lines.alias("n_lines")).join(gone, ["doc_id", "mark"], "left")
     return found.select(F.col("own").alias("doc_id"), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.llm import line_dedup
@@ -138,3 +140,33 @@ def test_other_columns_stay_whatever_their_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e\nx y"), (None, "q r s t u")], "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names))
     got = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
     assert all(got[None][n] == n and got[1][n] == n for n in names) and got[1].removed_lines == []
+
+
+def test_entries_are_shuffled_many_to_a_row(spark, documents):
+    docs = line_dedup.marked(documents(made(11, 400, 3000)))
+    lines = line_dedup.lines_of(docs, line_dedup.rarity(docs))
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "bits", "prefix")).alias("c")).select("c.*").coalesce(2).cache()
+    rows = line_dedup.entries_of(classes).collect()
+    n = len(rows)
+    assert line_dedup.prefix_counts(classes).sum() == n > 2000
+    packed = line_dedup.packed(classes, n)
+    assert packed.count() <= 2 * line_dedup.LEAST_BUCKETS < n
+    found = [line_dedup.entries_in(pa.table({c: pa.array([r[c]], pa.binary()) for c in line_dedup.ENTRY})).to_pylist() for r in packed.collect()]
+    found = [tuple(e[c] for c in line_dedup.ENTRY) for entries in found for e in entries]
+    assert sorted(found) == sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in rows)
+    assert len({e[0] for e in found}) == sum(len(set(t)) for t in tokens_by_bucket(packed.collect()).values())  # words are whole in a bucket
+    classes.unpersist()
+
+
+def tokens_by_bucket(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.bucket, []).extend(np.frombuffer(r.token, dtype=np.int32).tolist())
+    return out
+
+
+def test_a_class_does_not_meet_itself_where_its_prefix_words_share_a_token():
+    assert line_dedup._ranks(np.array([5, 3, 5, 3, 5]), np.array([1 << 32, 7, 2, 7, 1])).tolist() == [3, 0, 2, 0, 1]
+    rows = {"n": np.array([9, 9, 9]), "room": np.array([9, 8, 9]), "bits": np.zeros((3, 2), dtype=np.uint64)}
+    found = line_dedup._candidates(rows, np.array([0, 0, 1]), np.array([0]), np.array([3]), 0.5, 512)
+    assert found.count.tolist() == [0, 0, 2]
