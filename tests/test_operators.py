@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from loomtext.functions import identity, pronounce, speech
@@ -80,6 +82,30 @@ def test_layout_columns(spark):
     assert {r.col for r in read_lines(spark, single, 600.0).collect()} == {r.col for r in read_lines(spark, note, 600.0).collect()} == {0}
 
 
+def corridor(items, width=600.0):
+    """Brute force: where a page of (x, width, characters) is parted, or None."""
+    at = [width * (0.25 + 0.01 * k) for k in range(51)]
+    free = [k for k in range(51) if not any(x < at[k] < x + w for x, w, _ in items)]
+    if len(items) < 8 or not free or (free[-1] - free[0]) * 0.01 < 0.06:
+        return None
+    split, total = at[free[len(free) // 2]], sum(n for *_, n in items)
+    least = min(sum(n for x, w, n in items if x + w <= split), sum(n for x, _, n in items if x >= split))
+    return split if least >= 0.15 * total and least > 0 else None
+
+
+def test_layout_columns_by_brute_force(spark):
+    rnd = random.Random(4)
+    made = [(p, "x" * rnd.randint(1, 9), float(rnd.choice([50, 150, 300, 306, 330, 400])), 700.0 - 20 * k, float(rnd.choice([30, 90, 150, 156])), 10.0) for p in range(60) for k in range(rnd.choice([3, 7, 8, 12]))]
+    frame = spark.createDataFrame(made + [(None, *m[1:]) for m in made if m[0] == 1], ITEMS)
+    done = layout.columns(frame, 600.0)
+    got = sorted((r.page, r.y, r.x, r.col) for r in done.collect() if r.page is not None)
+    split = {p: corridor([(m[2], m[4], len(m[1])) for m in made if m[0] == p]) for p in range(60)}
+    assert got == sorted((p, y, x, int(split[p] is not None and x >= split[p])) for p, _, x, y, _, _ in made)
+    assert 5 < sum(s is not None for s in split.values()) < 55
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("bit_or(") == 1  # the corridor is settled once a page, not for each item
+
+
 def test_layout_texts(spark):
     def text(*lines):
         return layout.texts(read_lines(spark, [(t, 50, y, 100, 10) for t, y in lines])).first().text
