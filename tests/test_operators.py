@@ -115,6 +115,14 @@ def test_layout_texts(spark):
     assert text(("first para", 300), ("continues here", 285), ("second para", 230)) == "first para continues here\n\nsecond para"
 
 
+def test_layout_texts_shuffle_once(spark):
+    made = [(p, f"{side}{k}", x, 700.0 - 20 * k, 150.0, 10.0) for p in range(5) for k in range(6) for side, x in (("l", 50.0), ("r", 320.0))]
+    done = layout.texts(layout.lines(layout.columns(spark.createDataFrame(made, ITEMS), 600.0)))
+    plan = done._jdf.queryExecution().executedPlan().toString()  # before it runs: later it has the final plan as well
+    assert plan.count("Exchange hashpartitioning(page") == 1 and "Join" not in plan
+    assert {r.text for r in done.collect()} == {" ".join(f"{s}{k}" for s in "lr" for k in range(6))}
+
+
 def test_pages_keep_their_blank_lines(spark):
     book = [(1, p, f"My Book\n\ntext {p}\n\n{n}") for p, n in enumerate(["1", "Page3", "4 / 9"])] + [(1, 3, "My Book\n12")]
     got = {r.page: r.text for r in pages.without_furniture(spark.createDataFrame(book, "doc int, page int, text string")).collect()}
