@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def test_anchor_ladder_offsets(spark):
     assert find(3, ["x", "y"]) == (1, "hint", False, False)
 
 
+def test_bigram_similarity_by_brute_force(spark):
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("aab c\nß😀𝔸X") for _ in range(n))
+    rows = [(word(rnd.choice([0, 1, 2, 5, 60])), word(rnd.choice([0, 1, 3, 60]))) for _ in range(150)] + [("a" * 20_000, "a" * 15_000), ("", ""), ("a", "b")]
+    done = spark.createDataFrame(rows, "a string, b string").select("a", "b", identity.bigram_similarity(F.col("a"), F.col("b")).alias("dice"))
+    assert "array_position" not in done._jdf.queryExecution().optimizedPlan().toString()  # which would take the square of a text's length
+    for r in done.collect():
+        x, y = (Counter(zip(t, t[1:])) for t in (re.sub("[ \n]+", " ", s.lower()).strip(" ") for s in (r.a, r.b)))
+        assert r.dice == (1.0 if r.a == r.b else 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0)
+
+
 def test_running_heads(spark):
     book = [(1, p, f"My Book\ntext of page {p}\nmore\nand more\nstill\n{p + 1}") for p in range(5)] + [(2, 0, "My Book\na"), (2, 1, "My Book\nb")]
     frame = spark.createDataFrame(book, "doc int, page int, text string")
