@@ -32,6 +32,8 @@ from loomtext.llm.common import cut, forget, staged
 
 SAMPLE, TREES, CELL, DEGREE, REVERSE, NEAR, CHANGED = 16_384, 4, 150, 32, 24, 12, 0.05
 EF, EXPAND, ENTRIES = 192, 48, 256
+#: Rows of a batch that tasks give back, about.
+OUT_ROWS = 20_000
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -90,7 +92,7 @@ def by_group(frame: DataFrame, keys: list[str], order: list[str], work, schema:
     """`work` on the rows of each group (a table, in order), as sorted partitions stream by; it yields batches or None."""
     dealt = frame.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -112,16 +114,35 @@ def by_group(frame: DataFrame, keys: list[str], order: list[str], work, schema:
         if held and (out := work(pa.Table.from_batches(held))) is not None:
             yield out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What `worked` gives, a few groups' rows at a time: a batch for each group takes longer than its rows."""
+        out: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in worked(batches):
+            if batch.num_rows:
+                out.append(batch)
+                rows += batch.num_rows
+            if rows >= OUT_ROWS:
+                yield pa.concat_batches(out)
+                out, rows = [], 0
+        if out:
+            yield pa.concat_batches(out)
+
     return dealt.mapInArrow(run, schema)
 
 
 PAIRS = "a long, b long, d double"
 
 
-def _pairs(ids: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(ids: np.ndarray, d: np.ndarray, most: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's `most` nearest; with `reach`, those of them that aren't farther than the row's own."""
     most = min(most, len(ids) - 1)
     near = np.argpartition(d, most - 1, axis=1)[:, :most]
-    return np.repeat(ids, most), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+    a, b, far = np.repeat(ids, most), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+    if reach is None:
+        return a, b, far
+    ok = far <= np.repeat(reach * (1 + 1e-9) + 1e-9, most)  # sums may differ in their last bits
+    return a[ok], b[ok], far[ok]
 
 
 def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
@@ -174,16 +195,19 @@ def nearest(pairs: DataFrame, k: int = DEGREE) -> DataFrame:
 
 
 def descended(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
-    """One round: nodes that share a list, and so are neighbours of neighbours, are compared where the list is."""
+    """One round: nodes that share a list, and so are neighbours of neighbours, are compared where the list is. A node with
+    `k` neighbours takes its farthest one's distance along: what is farther can't enter its list, and isn't shuffled."""
+    farthest = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("reach"))
+    known = nodes.join(farthest.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("m"), "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))
     back = graph.withColumn("rank", rank).where(f"rank <= {reverse}").select(F.col("b").alias("at"), F.col("a").alias("m"))
     lists = graph.select(F.col("a").alias("at"), F.col("b").alias("m")).unionByName(back).distinct()
-    lists = lists.join(nodes.withColumnRenamed("node", "m"), "m")
+    lists = lists.join(known, "m")
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
-        return _batch([_pairs(rows.column("m").to_numpy(), squared(matrix(rows.column("vec"))), NEAR)])
+        return _batch([_pairs(rows.column("m").to_numpy(), squared(matrix(rows.column("vec"))), NEAR, rows.column("reach").to_numpy())])
 
     met = by_group(lists, ["at"], ["m"], compare, PAIRS).withColumn("fresh", F.lit(True))
     return nearest(graph.withColumn("fresh", F.lit(False)).unionByName(met), k)

@@ -68,3 +68,28 @@ def test_recall(spark):
     got, expected = collected(ann.neighbours(frame, every=100)), brute(rows, 100, 10)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
     assert hits >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_a_round_gives_back_only_what_can_enter(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "node long, vec array<float>")
+    pairs = ann._pairs
+    ids, d = np.arange(400), ann.squared(v.astype(np.float64))
+    reach = np.sort(d, axis=1)[:, 7]
+    reach[5] = np.inf  # a list that isn't full
+    a, b, far = pairs(ids, d, 12, reach)
+    every = list(zip(*pairs(ids, d, 12)))
+    assert set(zip(a, b, far)) == {(x, y, z) for x, y, z in every if z <= reach[x] or x == 5} and len(a) == 399 * 8 + 12 < len(every)
+    graph = ann.nearest(spark.createDataFrame([(i, (i + s) % 400, float(d[i, (i + s) % 400])) for i in range(400) for s in range(1, 9)], "a long, b long, d double").withColumn("fresh", F.lit(False)), 8)
+    done = {(r.a, r.b) for r in ann.descended(graph, nodes, 8, 8).collect()}
+    links, lists = {}, {i: set() for i in range(400)}
+    for r in graph.collect():
+        links.setdefault(r.a, set()).add(r.b)
+    for i in range(400):
+        lists[i] |= links[i] | set(sorted((x for x in links if i in links[x]), key=lambda x: (d[x, i], x))[:8])
+    met = {i: set(s) for i, s in links.items()}
+    for members in lists.values():
+        for x in members:
+            met[x] |= set(sorted(members - {x}, key=lambda y: d[x, y])[: ann.NEAR])
+    assert done == {(x, y) for x, s in met.items() for y in sorted(s, key=lambda y: (d[x, y], y))[:8]}
